@@ -23,8 +23,8 @@ def robust_fusion(rows: DataFrame, keys: list[str], value: str, weight: str, sig
     return kept.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count(inside(F.lit(1))).alias("n_used"),
-        F.round(F.try_divide(F.sum(inside(F.col(value) * F.col(weight))), F.sum(inside(F.col(weight)))), 4).alias("fused"),
-        F.round(F.stddev_pop(inside(F.col(value))), 4).alias("spread"),
+        F.round(F.try_divide(F.sum(inside(F.col(value) * F.col(weight))), F.sum(inside(F.col(weight)))), 6).alias("fused"),
+        F.round(F.stddev_pop(inside(F.col(value))), 6).alias("spread"),
     )
 
 
@@ -48,7 +48,7 @@ d AS (SELECT e.h, v, w, abs(v - med) AS dev FROM e JOIN m USING (h)),
 s AS (SELECT h, median(dev) AS mad FROM d GROUP BY h),
 k AS (SELECT d.*, dev <= 3.0 * 1.4826 * mad AS ok FROM d JOIN s USING (h)),
 f AS (SELECT h, count(*) AS n, count(*) FILTER (ok) AS n_used,
-  round(sum(v * w) FILTER (ok) / sum(w) FILTER (ok), 4) AS fused, round(stddev_pop(v) FILTER (ok), 4) AS spread FROM k GROUP BY h)
+  round(sum(v * w) FILTER (ok) / sum(w) FILTER (ok), 6) AS fused, round(stddev_pop(v) FILTER (ok), 6) AS spread FROM k GROUP BY h)
 SELECT strftime(h, '%Y-%m-%d %H:%M') AS hour, n, n_used, fused, spread,
   CASE WHEN spread < 20 THEN 'A' WHEN spread < 25 THEN 'B' WHEN spread < 30 THEN 'C' ELSE 'D' END AS grade FROM f""",
 }
