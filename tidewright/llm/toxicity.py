@@ -37,7 +37,7 @@ class OrdinalModel:
         return np.diff(np.hstack([np.zeros((len(scores), 1)), below, np.ones((len(scores), 1))]), axis=1)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, k: int, n_grades: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, k: int, n_grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights (shared by all thresholds) and rising thresholds that maximise the penalised likelihood, by Adam.
 
     ``rows`` and ``cols`` list the ones of a 0/1 matrix with ``k`` columns.
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return OrdinalModel({f: float(w[i]) for f, i in place.items()}, tuple(float(x) for x in theta))
 
 
-def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", cutoff: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", cutoff: float = 0.2) -> DataFrame:
     """``docs`` with expected_severity (0 and up), grade (the likeliest) and toxic (at ``cutoff`` or above).
 
     Whole texts are read. Null and empty texts have no features. Without a model
