@@ -47,3 +47,9 @@ def words(text: str | None) -> list[bytes]:
     ``bytes.lower`` and ``bytes.split`` touch ASCII only, which is this very definition.
     """
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes over all columns, nulls told apart: equal for repeated rows only."""
+    cols = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return [F.xxhash64(F.lit(i), *cols).alias(f"_h{i}") for i in (1, 2)]

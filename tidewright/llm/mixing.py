@@ -7,11 +7,11 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewright.llm.common import stash
+from tidewright.llm.common import row_keys, stash
 
 #: More sources than this are joined instead of broadcast; a row of the plan has under 100 bytes beside its name.
 MOST_BROADCAST = 50_000
@@ -80,12 +80,6 @@ def permuted(at: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) ->
     return out.astype(np.int64)
 
 
-def _row_keys(docs: DataFrame) -> list[Column]:
-    """Two hashes over all columns, nulls told apart: equal for repeated rows only."""
-    cols = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    return [F.xxhash64(F.lit(i), *cols).alias(f"_h{i}") for i in (1, 2)]
-
-
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 128, shard_slots: int = 1024, bucket_rows: int = 2_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """What a mix of as many words as ``docs`` has takes from each row.
 
@@ -108,7 +102,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
     them, so that no task holds a whole source.
     """
     spark = docs.sparkSession
-    keyed = docs.select(*_row_keys(docs), *[F.col(f"`{c}`") for c in docs.columns if c != text_col], n_words(F.col(text_col)).alias("size"))
+    keyed = docs.select(*row_keys(docs), *[F.col(f"`{c}`") for c in docs.columns if c != text_col], n_words(F.col(text_col)).alias("size"))
     sized = stash(keyed)
     totals = sized.groupBy(F.col(source_col).alias("_source")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     totals.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
@@ -193,7 +187,7 @@ def mixed(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     _, parts = mix(docs, text_col, **params)
     lists = parts.groupBy("_h1", "_h2", "_start").agg(F.collect_list(F.struct("_from", "_to", "_times")).alias("_parts"))
     lists = lists.groupBy("_h1", "_h2").agg(F.collect_list("_parts").alias("_lists"))
-    keys = _row_keys(docs)
+    keys = row_keys(docs)
     whole = docs.withColumns({"_h1": keys[0], "_h2": keys[1]}).dropDuplicates(["_h1", "_h2"]).join(lists, ["_h1", "_h2"])
 
     @F.pandas_udf("array<string>")

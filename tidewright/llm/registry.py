@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import exact_dedup, mixing, quality, toxicity, url_filter
+from tidewright.llm import exact_dedup, mixing, quality, sentencepieces, toxicity, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,19 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and their decoding, as counts and hashes."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentencepieces.decode(sentencepieces.encode(docs))
+    return rows.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -47,6 +60,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
