@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import exact_dedup, mixing, quality, sentencepieces, toxicity, url_filter
+from tidewright.llm import exact_dedup, language_model, mixing, quality, sentencepieces, toxicity, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and their decoding, as counts and hashes."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
+    "op6_language_model": op6_language_model,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
