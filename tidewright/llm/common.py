@@ -53,3 +53,12 @@ def row_keys(docs: DataFrame) -> list[Column]:
     """Two hashes over all columns, nulls told apart: equal for repeated rows only."""
     cols = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
     return [F.xxhash64(F.lit(i), *cols).alias(f"_h{i}") for i in (1, 2)]
+
+
+#: Tables of more rows than this are joined by shuffles; fewer rows of some tens of bytes each are broadcast.
+MOST_BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, with a broadcast hint where its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= most_rows else df
