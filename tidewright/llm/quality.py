@@ -78,16 +78,18 @@ def pool_adjacent_violators(value: np.ndarray, weight: np.ndarray) -> np.ndarray
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
-def _stat_rows(rows: DataFrame) -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"y": b["_y"], "stats": [statistics(t) for t in b["_text"]]})
+def measure(docs: DataFrame, text_col: str = "text", out_col: str = "_stats") -> DataFrame:
+    """``docs`` with the statistics of the text in place of the text: all that training and scoring read."""
+
+    @F.pandas_udf("array<double>")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t) for t in texts], dtype=object)
 
-    return rows.mapInPandas(each, "y double, stats array<double>")
+    return docs.withColumn(out_col, each(F.col(text_col))).drop(text_col)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", n_features: int = 256, width: float = 1.0, ridge: float = 1e-3, bins: int = 512, seed: int = 7) -> QualityModel | None:
-    """Fit on every labelled row of ``docs``. ``width`` scales the Gaussian kernel's width, the root of the number of statistics.
+def train(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", n_features: int = 256, width: float = 1.0, ridge: float = 1e-3, bins: int = 512, seed: int = 7) -> QualityModel | None:
+    """Fit on every labelled row of ``measured``. ``width`` scales the Gaussian kernel's width, the root of the number of statistics.
 
     Each partition sums its part of the normal equations; Spark adds the parts.
     For the calibration, the raw scores meet in ``bins`` equal-width bins, so
@@ -95,8 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     distinct label of an id counts. None where no row is labelled 0 or 1.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(marks, "_id")
-    known = stash(_stat_rows(rows.select("_text", "_y")))
+    rows = measured.select(F.col(id_col).alias("_id"), F.col("_stats").alias("stats")).join(marks, "_id")
+    known = stash(rows.select(F.col("_y").alias("y"), "stats"))
     if known.isEmpty():
         return None
     p = len(STATS)
@@ -136,21 +138,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return QualityModel(model.mean, model.scale, model.frequencies, model.phases, weights, table["at"].to_numpy(), steps.clip(0, 1))
 
 
-def score(docs: DataFrame, model: QualityModel | None, text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 where score >= ``cutoff``).
+def score(measured: DataFrame, model: QualityModel | None, cutoff: float = 0.3) -> DataFrame:
+    """``measured`` with score (0 to 1) and predicted (1 where score >= ``cutoff``).
 
-    Only the text is read. Null and empty texts are scored as texts without
+    Only the statistics are read. Null and empty texts are scored as texts without
     words. Without a model every score is 0.5. Repeated rows get the same
-    result; columns of these names that ``docs`` has are replaced.
+    result; columns of these names that there are already are replaced.
     """
     if model is None:
-        return docs.withColumns({"score": F.lit(0.5), "predicted": F.lit(int(0.5 >= cutoff))})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        return measured.withColumns({"score": F.lit(0.5), "predicted": F.lit(int(0.5 >= cutoff))}).drop("_stats")
+    shared = measured.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def judge(texts: pd.Series) -> pd.Series:
-        if not len(texts):
+    def judge(stats: pd.Series) -> pd.Series:
+        if not len(stats):
             return pd.Series([], dtype=float)
-        return pd.Series(shared.value.calibrated(shared.value.raw(np.array([statistics(t) for t in texts]))))
+        return pd.Series(shared.value.calibrated(shared.value.raw(np.stack(stats.to_numpy()))))
 
-    return docs.withColumn("score", judge(F.col(text_col))).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
+    return measured.withColumn("score", judge("_stats")).withColumn("predicted", (F.col("score") >= cutoff).cast("int")).drop("_stats")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import exact_dedup, language_model, mixing, ngram_join, quality, sentencepieces, toxicity, url_filter
+from tidewright.llm.common import stash
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +55,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    measured = stash(quality.measure(read(spark, sf_dir, "documents").select("doc_id", "text")))
     held_out = fold(F.col("doc_id"), 5) == 0
-    model = quality.train(docs.where(~held_out), read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    model = quality.train(measured.where(~held_out), read(spark, sf_dir, "labels"))
+    return quality.score(measured, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
