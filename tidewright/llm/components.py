@@ -40,6 +40,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return held.select(F.col("a").alias("node"), F.col("b").alias("component")).union(held.select("b", "b").distinct())
 
 
+def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of 0..n-1 the smallest number that the pairs (i, j) connect it with, within a task."""
+    label = np.arange(n)
+    while True:
+        least, new = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 class Forest:
     """Union-find over 0..n-1 within a task."""
 
@@ -60,11 +73,3 @@ class Forest:
             return False
         self.parent[max(a, b)] = min(a, b)
         return True
-
-    def roots(self) -> np.ndarray:
-        p = self.parent
-        while True:
-            q = p[p]
-            if (q == p).all():
-                return p
-            p[:] = q

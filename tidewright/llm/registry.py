@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import exact_dedup, language_model, mixing, ngram_join, quality, sentencepieces, toxicity, url_filter
+from tidewright.llm import embedding_dedup, exact_dedup, language_model, mixing, ngram_join, quality, sentencepieces, toxicity, url_filter
 from tidewright.llm.common import stash
 
 
@@ -33,6 +33,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_links(read(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_language_model": op6_language_model,
     "op8_sentencepiece": op8_sentencepiece,
@@ -79,6 +84,14 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_sum([x * x FOR x IN e])) AS n FROM v WHERE label IS NOT NULL AND list_count(e) = len(e) AND len([x FOR x IN e IF isnan(x) OR isinf(x)]) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+c(r, z) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.r, l.b FROM c JOIN l ON c.z = l.a),
+m AS (SELECT r AS vec_id, min(z) AS component_id FROM c GROUP BY r), k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k USING (vec_id)""",
     "op1_ngram_join": f"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')]
