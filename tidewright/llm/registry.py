@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import embedding_dedup, exact_dedup, language_model, mixing, ngram_join, quality, sentencepieces, toxicity, url_filter
+from tidewright.llm import embedding_dedup, exact_dedup, language_model, mixing, ngram_join, quality, secret_scan, sentencepieces, toxicity, url_filter
 from tidewright.llm.common import stash
 
 
@@ -45,6 +45,11 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and their decoding, as counts and hashes."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +81,7 @@ QUERIES = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_language_model": op6_language_model,
+    "op7_secret_scan": op7_secret_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
