@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Timestamps in the measurement model are UTC, and AQE re-plans joins from measured sizes.
@@ -24,3 +30,20 @@ def local_session(app: str = "tidewright", cores: int | str = "*", shuffle_parti
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, read by Spark so that any path its file systems know works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the session's executors, once; those that have it installed lose nothing by it."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    # The driver serves the file to executors for as long as it runs.
+    folder = tempfile.mkdtemp(prefix="tidewright-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, "tidewright.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tidewright_shipped = True
