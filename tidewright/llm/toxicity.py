@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import stash
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Word beginnings of these lengths are features beside whole words: insults are inflected.
@@ -67,13 +69,15 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, k: int, n_gra
     return at[:k], at[k] + np.concatenate([[0], np.cumsum(np.exp(at[k + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_features: int = 2_000, least_docs: int = 5) -> OrdinalModel | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_features: int = 2_000, least_docs: int = 5, least_ratio: float = 24.0) -> OrdinalModel | None:
     """Fit on at most ``most_rows`` labelled rows: those whose id hashes lowest.
 
     The labels are 0 and 1. Toxic rows get grade 1, 2 or 3 by how many marker
-    words they hold (thirds of the training rows), clean rows grade 0; marker
-    features are those that occur in at least ``least_docs`` rows and far more
-    often in toxic ones. None where no usable label exists.
+    words they hold (thirds of the training rows), clean rows grade 0. Features
+    are those that occur in at least ``least_docs`` rows and in toxic ones so
+    often that the log-likelihood ratio is ``least_ratio`` or more: few of a
+    million features get there by chance. Equal texts count once. None where no
+    label or no feature is of use.
     """
     sample = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
@@ -83,7 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .limit(most_rows)
     )
     # most_rows ids and labels, 16 bytes each, are small by that bound.
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y").dropDuplicates(["_text"])
+    texts = stash(texts)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,8 +103,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r["_y"]: r["count"] for r in sizes}
     if not n.get(0) or not n.get(1):
         return None
-    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
-    best = counts.where((F.col("clean") + F.col("toxic") >= least_docs) & (odds > 1)).withColumn("gain", F.col("toxic") * odds).orderBy(F.desc("gain"), "f").limit(most_features).collect()
+    # Log-likelihood ratio of the feature's rows being toxic more often than the others, against no difference.
+    share = lambda k, total: F.when(k > 0, k * F.log(k / total)).otherwise(0.0)
+    with_f, all_toxic = F.col("clean") + F.col("toxic"), n[1] / (n[0] + n[1])
+    ratio = 2 * (share(F.col("toxic"), with_f * all_toxic) + share(F.col("clean"), with_f * (1 - all_toxic)))
+    marking = (with_f >= least_docs) & (F.col("toxic") / with_f > min(0.5 + all_toxic / 2, 3 * all_toxic)) & (F.col("ratio") >= least_ratio)
+    best = counts.withColumn("ratio", ratio).where(marking).orderBy(F.desc("ratio"), "f").limit(most_features).collect()
     if not best:
         return None
     place = {r["f"]: i for i, r in enumerate(best)}
@@ -124,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return OrdinalModel({f: float(w[i]) for f, i in place.items()}, tuple(float(x) for x in theta))
 
 
-def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", cutoff: float = 0.2) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
     """``docs`` with expected_severity (0 and up), grade (the likeliest) and toxic (at ``cutoff`` or above).
 
     Whole texts are read. Null and empty texts have no features. Without a model
