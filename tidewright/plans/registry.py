@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import fusion
+from tidewright.plans import fusion, measurements
 
 FLAGSHIP = "hourly_fusion"
 
-QUERIES = {**fusion.QUERIES}
-ORACLES = {**fusion.ORACLES}
+QUERIES = {**fusion.QUERIES, **measurements.QUERIES}
+ORACLES = {**fusion.ORACLES, **measurements.ORACLES}
