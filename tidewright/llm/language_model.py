@@ -77,15 +77,28 @@ def count_tokens(docs: DataFrame, text_col: str = "text", most_held: int = 500_0
     return docs.select(F.col(text_col).alias("text")).mapInPandas(each, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def vocabulary(counts: DataFrame, head: int = 300_000, own: int = 480) -> Vocabulary:
-    """``counts`` in sum, and its ``head`` most frequent tokens: a bounded number reaches the driver."""
-    top = counts.orderBy(F.desc("n"), "token").limit(head).toPandas()
+def vocabulary(counts: DataFrame, head: int = 200_000, own: int = 480) -> Vocabulary:
+    """``counts`` in sum, and its most frequent tokens, up to ``head``: a bounded number reaches the driver.
+
+    A histogram over sixteenths of powers of two, of at most a thousand bins, says
+    how frequent the last token that still fits has to be.
+    """
+    place = F.floor(F.log2("n") * 16)
+    bins = counts.groupBy(place.alias("bin")).agg(F.count("*").alias("v"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
+    held, least = 0, None
+    for one in bins:
+        held += one["v"]
+        if held > head:
+            break
+        least = one["least"]
+    top = counts.where(F.col("n") >= (least if least is not None else 2**62)).toPandas()
+    top = top.assign(token=[bytes(t) for t in top["token"]]).sort_values(["n", "token"], ascending=[False, True])
 
     def by_shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"shape": [shape(bytes(t)) for t in b["token"]], "n": b["n"]})
 
-    tokens = [bytes(t) for t in top["token"]]
+    tokens = list(top["token"])
     own = min(own, len(tokens))
     sums = counts.mapInPandas(by_shape, "shape int, n long").groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     shape_n, shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
@@ -242,7 +255,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", batch: int
     return LogBilinear.of_rows(np.stack(found["values"].to_numpy()))
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 300_000, own: int = 480, **params) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 200_000, own: int = 480, **params) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row; the model learns from those not held out.
 
     Whole texts are scored; null counts as empty and has the end token only.
@@ -295,7 +308,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     keyed = base.select("_id", F.xxhash64(F.col("text").isNull(), "text").alias("h"), "text", "held")
     schema = f"_id {id_type.simpleString()}, h long, held boolean, token binary, times long, n long, known long, base double, score double"
     rows = keyed.mapInArrow(each, schema)
-    rare = counts.where(F.col("n") <= int(vocab.counts.min())) if len(vocab.counts) else counts
+    rare = counts.where(F.col("n") < int(vocab.counts.min())) if len(vocab.counts) else counts
     joined = rows.join(rare.withColumnRenamed("n", "c"), "token", "left")
     log_c = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
     total = joined.groupBy("_id", "h", "held").agg(
