@@ -16,6 +16,9 @@ from tidewright.llm.common import row_keys, stash
 #: More sources than this are joined instead of broadcast; a row of the plan has under 100 bytes beside its name.
 MOST_BROADCAST = 50_000
 
+#: Names of the columns that a mix has beside those of the documents, where they give way.
+RESERVED = {"_h1", "_h2", "_s", "_source", "_bucket", "_base", "_inner", "_start", "_blocks", "_at", "_taken", "size", "source_size", "target", "taken"}
+
 
 @F.pandas_udf(LongType())
 def n_words(texts: pd.Series) -> pd.Series:
@@ -91,8 +94,8 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
     source has more than ``most`` times its blocks as slots, no block is taken more
     often than ``most``, rounded up.
 
-    Gives (rows, parts). rows has a row for each of ``docs``: _h1, _h2, all
-    columns but the text, size, source_size, target, taken. parts has _h1, _h2,
+    Gives (rows, parts). rows has a row for each of ``docs``: _h1, _h2, its
+    columns but the text and ``RESERVED`` names, size, source_size, target, taken. parts has _h1, _h2,
     _start, _from, _to, _times: for each row, the ranges of its words that blocks
     cover and how often each is taken.
 
@@ -102,7 +105,8 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
     them, so that no task holds a whole source.
     """
     spark = docs.sparkSession
-    keyed = docs.select(*row_keys(docs), *[F.col(f"`{c}`") for c in docs.columns if c != text_col], n_words(F.col(text_col)).alias("size"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in RESERVED]
+    keyed = docs.select(*row_keys(docs), *others, n_words(F.col(text_col)).alias("size"))
     sized = stash(keyed)
     totals = sized.groupBy(F.col(source_col).alias("_source")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     totals.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
