@@ -469,3 +469,74 @@ def packet_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = measurements(spark, sf_dir).withColumn("q", F.pmod(F.col("event_id") * 7919, F.lit(65536)))
     step = timing.counter_delta(F.col("q"), F.lag("q").over(Window.partitionBy("channel").orderBy(*ORDER)), bits=16)
     return m.withColumn("step", step).where("step is not null").select("event_id", "step", (F.col("step") > 1).alias("gap"))
+
+
+@query()
+def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clock filter over each channel's rows: recursive, so no SQL tells the same; tests hold it against streams."""
+    from tidewright.streaming import state
+
+    m = measurements(spark, sf_dir).select("channel", F.col("s").alias("at"), F.col("value").alias("measured"), F.col("snr").cast("double").alias("snr"))
+    return state.tracks(m, ["channel"])
+
+
+def _geometry(sql: str, name: str):
+    """As ``query``, without the measurements."""
+
+    def keep(f):
+        QUERIES[name], ORACLES[name] = f, sql
+        return f
+
+    return keep
+
+
+_PLACES = "p AS (SELECT n_nationkey AS k, n_nationkey * 6.5 - 80 AS lat1, n_nationkey * 13.0 - 170 AS lon1, 40.0 AS lat2, -105.0 AS lon2, n_nationkey * 3.5 + 1 AS el FROM nation)"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(k.alias("k"), (k * 6.5 - 80).alias("lat1"), (k * 13.0 - 170).alias("lon1"), F.lit(40.0).alias("lat2"), F.lit(-105.0).alias("lon2"), (k * 3.5 + 1).alias("el"))
+
+
+@_geometry(f"""WITH {_PLACES}, h AS (SELECT *, sin(radians(lat2 - lat1) / 2) ** 2 + cos(radians(lat1)) * cos(radians(lat2)) * sin(radians(lon2 - lon1) / 2) ** 2 AS h FROM p), d AS (SELECT *, 2 * 6371.0 * asin(sqrt(least(h, 1.0))) AS d FROM h),
+n AS (SELECT *, greatest(CAST(ceil(d / (2 * 6371.0 * acos(6371.0 / 6671.0))) AS INTEGER), 1) AS n FROM d)
+SELECT k, round(d, 4) AS km, n AS hops, round(sqrt(6371.0 ** 2 + 6671.0 ** 2 - 2 * 6371.0 * 6671.0 * cos(d / (2 * n * 6371.0))) * 2 * n, 4) AS path_km, round(least(1 / sqrt(1 - (6371.0 * cos(radians(greatest(el, 3.0))) / 6721.0) ** 2), 10.0), 6) AS obliquity,
+  round(40.3 * 20 * 1e16 * CASE WHEN el > 5 THEN 1 / sin(radians(el)) ELSE 5.0 END / (299792458.0 * 1e7 * 1e7) * 2 * n * 1000, 6) AS delay_ms FROM n""", "path_geometry")
+def path_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.functions import geometry as g
+
+    p = _places(spark, sf_dir).withColumn("km", g.great_circle_km(*[F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]))
+    p = p.withColumn("hops", g.hops_needed(F.col("km"), F.lit(300.0)))
+    path = g.hop_path_km(F.col("km"), F.lit(300.0), F.col("hops"))
+    delay = g.group_delay_ms(F.lit(20.0), F.lit(10.0), F.col("hops"), F.col("el"))
+    return p.select("k", r(F.col("km"), 4).alias("km"), "hops", r(path, 4).alias("path_km"), r(g.obliquity(F.col("el"))).alias("obliquity"), r(delay).alias("delay_ms"))
+
+
+@_geometry(f"""WITH {_PLACES}, e AS (SELECT k, el, k * 4.0 - 40 AS sun FROM p), f AS (SELECT *, CASE WHEN sun <= -18 THEN 3.0 WHEN sun <= 0 THEN 3.0 + (sun + 18) / 18 * (10.9 * 0.6 - 3.0) ELSE greatest(10.9 * greatest(sin(radians(sun)), 0.01) ** 0.25, 3.0) END AS f2 FROM e)
+SELECT k, round(f2, 6) AS f2, round(CASE WHEN sun <= 0 THEN 0.5 ELSE greatest(0.9 * ((180 + 1.44 * 70) * greatest(sin(radians(sun)), 0)) ** 0.25, 0.5) END, 6) AS e,
+  round(CASE WHEN el <= 0 OR el >= 89 THEN f2 ELSE f2 * least(sqrt(1 + 600.0 / 6371.0) / greatest(sin(radians(el)), 0.05), 4.5) END, 6) AS muf FROM f""", "layer_frequencies")
+def layer_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.functions import geometry as g
+
+    p = _places(spark, sf_dir).withColumn("sun", F.col("k") * 4.0 - 40)
+    p = p.withColumn("f2", g.f2_critical_mhz(F.col("sun")))
+    return p.select("k", r(F.col("f2")).alias("f2"), r(g.e_critical_mhz(F.col("sun"))).alias("e"), r(g.oblique_muf_mhz(F.col("f2"), F.col("el"))).alias("muf"))
+
+
+@_geometry("SELECT vec_id, round(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding]) / len(embedding), 6) AS power, len(embedding) AS n FROM embeddings", "array_power")
+def array_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.operators import kernels
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", r(kernels.power(F.col("embedding"))).alias("power"), F.size("embedding").cast("long").alias("n"))
+
+
+@_geometry("""SELECT c_mktsegment AS segment, n_name AS nation, count(*) AS orders, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY 1, 2""", "fact_dimensions")
+def fact_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts joined to two dimensions and kept where a child row exists; AQE picks each join by the sizes it measures."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+    large = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("n_nationkey"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    kept = orders.join(large, "o_orderkey", "left_semi").join(customers, "o_custkey").join(nations, "n_nationkey")
+    return kept.groupBy("segment", "nation").agg(F.count("*").alias("orders"), r(F.sum("o_totalprice"), 2).alias("total"), r(F.avg("o_totalprice"), 4).alias("mean"))
