@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids (pieces) and what they decode to (decoded)."""
-    return sentencepieces.decode(sentencepieces.encode(docs))
+    return sentencepieces.encode(docs, decoded_col="decoded")
 
 
 STAGES = [

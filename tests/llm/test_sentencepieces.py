@@ -40,7 +40,7 @@ def texts(n):
 def test_ids_are_the_library_s(library, model):
     for text in texts(150):
         want = library.encode(text)
-        assert model.encode(text) == want
+        assert model.encode(text).tolist() == want
         assert chunked(model, text, 17 + len(text) % 20) == want
         assert model.decode(want) == text
 
@@ -55,7 +55,9 @@ def test_matrix_product_is_associative(model):
 def test_encode_and_decode(spark, library):
     rows = [(0, None), (1, ""), (2, " "), (3, "plain text, twice"), (3, "plain text, twice"), (None, "x"), (4, "word " * 5000), (5, "nospaces" * 4000), (6, "日本" * 3000), (6, "日本" * 3000), (7, "▁a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"pieces": F.lit("clash"), "i": F.lit(1)})
-    got = sp.decode(sp.encode(docs, chunk=997)).collect()
+    rows_of = sp.encode(docs, decoded_col="same", chunk=997)
+    got = sp.decode(rows_of).collect()
+    assert all(r.same == r.decoded for r in got)
     assert sorted([(r.doc_id, r.pieces, r.decoded) for r in got], key=str) == sorted([(i, library.encode(t or ""), (t or "").replace("▁", " ")) for i, t in rows], key=str)
 
 

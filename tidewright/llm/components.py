@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import stash
 
 
-def _summary(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and a sum that tells sets of them apart; both come with the write."""
+    seen = Observation()
+    told = edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s"))
+    out = stash(told)
+    return out, (seen.get["n"], seen.get["s"])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,21 +24,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     then its smaller ones, are linked to the smallest it knows of, until every
     component is a star. The number of edges never grows and the rounds grow as
     the logarithm of the size. The smallest neighbours are written before the
-    join that uses them, so that AQE can split a node with very many edges.
+    join of a node with all its edges, so that AQE can split one with very many.
     """
-    held = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ordered = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    held, now = _written(ordered(edges))
     before = None
     for _ in range(most_rounds):
-        now = _summary(held)
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
         both = held.union(held.select("b", "a"))
         least = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = stash(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = stash(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a")
-        held = stash(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        large = stash(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        held, now = _written(ordered(small.union(large.groupBy("a").agg(F.min("b").alias("b")))))
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return held.select(F.col("a").alias("node"), F.col("b").alias("component")).union(held.select("b", "b").distinct())

@@ -27,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(1_000_000)
+@lru_cache(250_000)
 def _word(w: bytes) -> int:
     return xxhash.xxh64_intdigest(w)
 
@@ -98,6 +98,33 @@ class Spaces:
         return np.concatenate(out) if out else np.zeros(0, dtype=_U)
 
 
+class Bands:
+    """Keys for similarities under 0.9, where equal parts would hold too few elements to tell sets apart.
+
+    A key is made of the least elements under ``rows`` hash functions, so two sets
+    share it with their similarity to that power. There are so many keys that
+    a pair at the threshold shares none with a probability of ``miss`` at most: no
+    more than one in a billion, the order of a clash of hashes.
+    """
+
+    def __init__(self, num: int, den: int, rows: int = 6, miss: float = 1e-9, seed: int = 17) -> None:
+        self.rows, self.bands = rows, math.ceil(math.log(miss) / math.log(1 - (num / den) ** rows))
+        rng = np.random.default_rng(seed)
+        self.flip, self.times = (rng.integers(0, 2**32, self.rows * self.bands, dtype=np.uint32) for _ in "ab")
+        self.times |= np.uint32(1)
+        self.name = mixed(np.arange(self.bands, dtype=_U) + _ODD[2])
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        low = s.astype(np.uint32)
+        least = np.full(len(self.flip), np.uint32(2**32 - 1))
+        for i in range(0, len(low), 512):
+            np.minimum(least, ((low[i : i + 512, None] ^ self.flip) * self.times).min(axis=0), out=least)
+        key = self.name.copy()
+        for column in least.reshape(self.bands, self.rows).T:
+            key = mixed(key ^ column)
+        return key
+
+
 #: Bits of a signature.
 BITS = 2048
 
@@ -192,7 +219,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     Rows link where the Jaccard similarity of their sets of ``n``-word shingles is
     at least ``num / den``; component_id is the smallest id reachable by links.
-    No link is lost: every pair that links shares a key of ``Spaces``. Sets, not
+    From a similarity of 0.9 on no link is lost: every pair that links shares a key
+    of ``Spaces``; below that, one of ``Bands`` but for a chance of one in a billion. Sets, not
     rows, are compared: equal ones are one set throughout, known by a 64-bit
     hash. Keys make coarse groups; only their members' texts are read again.
     A group of over ``block`` sets is dealt out as pairs of blocks, so the
@@ -208,14 +236,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spaces, seen = Spaces(num, den), set()
-        for b in batches:
+        spaces, seen = Spaces(num, den) if 10 * num >= 9 * den else Bands(num, den), set()
+        # Long texts have many keys: a thousand rows at a time bound what a task holds.
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             sets = [shingles(t.as_py(), n) for t in b.column(2)]
             sizes = np.array([len(s) for s in sets], dtype=np.int32)
             ids = np.array([int(s.sum(dtype=_U)) for s in sets], dtype=_U)
             ids = mixed(ids + sizes.astype(_U) * _ODD[1]).view(np.int64)
             # A set met before in this task has sent its keys.
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 seen = set()
             fresh = [i for i in range(len(sets)) if sizes[i] and not (ids[i] in seen or seen.add(ids[i]))]
             keys = [spaces.keys(sets[i]) for i in fresh]
@@ -262,7 +291,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     texts = rows.join(if_small(wanted), F.col("_id").eqNullSafe(F.col("_want")) & (F.col("_hash") == F.col("_want_hash")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             made = pa.array([shingles(t.as_py(), n).tobytes() for t in b.column(4)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], made], names=["component", "sid", "own", "blocks", "set"])
 

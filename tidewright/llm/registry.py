@@ -53,7 +53,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and their decoding, as counts and hashes."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = sentencepieces.decode(sentencepieces.encode(docs))
+    rows = sentencepieces.encode(docs, decoded_col="decoded")
     return rows.select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),

@@ -21,7 +21,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tidewright.llm.common import row_keys, stash
 
@@ -32,7 +32,7 @@ SPACE = "▁"
 _FRAGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 #: Memoised fragments; the memo starts anew when it is full.
-MOST_KEPT = 1_000_000
+MOST_KEPT = 200_000
 
 State = tuple[int, int]  # a piece's first character and the end after its last, from the edge that it lies over
 
@@ -51,8 +51,8 @@ class Pieces:
         if sp.encode("a  b") != sp.encode("a", out_type=int) + sp.encode(" b", out_type=int):
             raise ValueError("only BPE models that keep white space and put one space before the text are supported")
         self.bytes = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(sp.get_piece_size())]
-        self.kept: dict[str, list[int]] = {}
-        self.stable = lru_cache(1_000_000)(self._stable)
+        self.kept: dict[str, bytes] = {}
+        self.stable = lru_cache(200_000)(self._stable)
 
     def fragment(self, f: str) -> list[int]:
         """Ids of spaces and the characters after them."""
@@ -64,32 +64,32 @@ class Pieces:
         """A character's id, or those of its bytes."""
         return [self.ids[char]] if char in self.ids else self.sp.encode(char)[-len(char.encode()) :]
 
-    def run(self, text: str) -> list[int]:
+    def run(self, text: str) -> np.ndarray:
         """Ids of a text, its spaces escaped, that begins with a space and ends where another would begin, or the whole text does."""
         kept = self.kept
         if len(kept) > MOST_KEPT:
             kept.clear()
-        out: list[int] = []
+        out: list[bytes] = []
         for f in _FRAGMENT.findall(text) if SPACE * 2 in text else [SPACE + w for w in text.split(SPACE)[1:]]:
             ids = kept.get(f)
             if ids is None:
-                ids = self.fragment(f)
+                ids = np.array(self.fragment(f), dtype=np.int32).tobytes()
                 if len(f) <= 64:
                     kept[f] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         """What the library gives for the whole text."""
         if not text:
-            return []
-        return self.run(SPACE + text.replace(" ", SPACE)) if self.apart else self.sp.encode(text)
+            return np.zeros(0, dtype=np.int32)
+        return self.run(SPACE + text.replace(" ", SPACE)) if self.apart else np.array(self.sp.encode(text), dtype=np.int32)
 
-    def decode(self, ids) -> str:
-        """The text of the ids, without the space that encoding puts before it."""
+    def decode(self, ids, first: bool = True) -> str:
+        """The text of the ids; without the space that encoding puts before it, where they are a text's ``first``."""
         table = self.bytes
-        raw = b"".join([table[i] for i in ids])
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        raw = b"".join([table[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
+        return (raw[1:] if first and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text: the best pair is merged, the leftmost of equals, until none is a piece."""
@@ -204,7 +204,7 @@ def traced(p: Pieces, text: str, low: int, high: int, left: State | None, right:
     if start is None or start[1] < first:
         states, _ = p.walk(text, {start: 1}, first, low)
         out += back(start, low, next(s for s in states if s[1] == first), first)
-    out += p.run(text[first:last])
+    out += p.run(text[first:last]).tolist()
     return out + (back(None, last, end, high) if last < high else [])
 
 
@@ -228,25 +228,30 @@ def solve_edges(chunks: list[tuple[list[State], list[State], list[int]]]) -> lis
     return out[::-1]
 
 
-def encode(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text", out_col: str = "pieces", chunk: int = 16_384) -> DataFrame:
-    """``docs`` with ``out_col``: the ids (array of int) of the whole text.
+def encode(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text", out_col: str = "pieces", decoded_col: str | None = None, chunk: int = 16_384) -> DataFrame:
+    """``docs`` with ``out_col``: the ids (array of int) of the whole text; and with ``decoded_col``, if named, what they decode to, in the same pass.
 
     Texts over twice ``chunk`` characters are cut into chunks of that size, spread
     over tasks; the others are encoded as they are. Null and empty texts give an
-    empty array. Repeated rows get the same result; a column named ``out_col`` is
+    empty array. Repeated rows get the same result; columns of the new names are
     replaced.
     """
-    docs = docs.drop(out_col)
+    made = [c for c in (out_col, decoded_col) if c]
+    docs = docs.drop(*made)
     proto = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, model_file))
-    schema = StructType([*docs.schema.fields, StructField(out_col, ArrayType(IntegerType(), False))])
+    kinds = [StructField(out_col, ArrayType(IntegerType(), False)), StructField(decoded_col or "", StringType())][: len(made)]
+    schema = StructType([*docs.schema.fields, *kinds])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(proto.value)
-        for b in batches:
+        # Long texts have many ids: some hundred rows at a time bound what a task holds.
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             ids = [p.encode(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat)], names=[*b.schema.names, out_col])
+            columns = [*b.columns, pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, dtype=np.int32), *ids]))]
+            if decoded_col:
+                columns.append(pa.array([p.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *made])
 
     size = F.coalesce(F.length(text_col), F.lit(0))
     short = docs.where(size <= 2 * chunk).mapInArrow(whole, schema)
@@ -263,10 +268,10 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text"
                 for i in range(n):
                     low, high = i * chunk, min(len(text), (i + 1) * chunk)
                     base = max(0, low - longest)
-                    yield pd.DataFrame({"_h1": [h1], "_h2": [h2], "i": [i], "n": [n], "text": [text[base : high + longest]], "low": [low - base], "high": [high - base]})
+                    yield pd.DataFrame({"_h1": [h1], "_h2": [h2], "i": [i], "text": [text[base : high + longest]], "low": [low - base], "high": [high - base]})
 
-    shape = "_h1 long, _h2 long, i int, n int, text string, low int, high int"
-    cut = giant.dropDuplicates(["_h1", "_h2"]).select("_h1", "_h2", F.col(text_col).alias("_text")).mapInPandas(chunks, shape)
+    texts = giant.select("_h1", "_h2", F.col(text_col).alias("_text")).dropDuplicates(["_h1", "_h2"])
+    cut = texts.mapInPandas(chunks, "_h1 long, _h2 long, i int, text string, low int, high int")
     cut = stash(cut.repartition("_h1", "_h2", "i"))
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,12 +295,16 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text"
         p = pieces(proto.value)
         for b in batches:
             ids = [traced(p, t, low, high, None if i == 0 else (e[0], e[1]), (e[2], e[3])) for t, low, high, i, e in zip(b["text"], b["low"], b["high"], b["i"], b["edges"])]
-            yield b[["_h1", "_h2", "i"]].assign(ids=ids)
+            said = [p.decode(x, i == 0) if decoded_col else "" for x, i in zip(ids, b["i"])]
+            yield b[["_h1", "_h2", "i"]].assign(ids=ids, said=said)
 
-    parts = cut.join(edges, ["_h1", "_h2", "i"]).mapInPandas(trace, "_h1 long, _h2 long, i int, ids array<int>")
+    parts = cut.join(edges, ["_h1", "_h2", "i"]).mapInPandas(trace, "_h1 long, _h2 long, i int, ids array<int>, said string")
     # A text's ids are about as large as the text, which is one row already.
-    joined = parts.groupBy("_h1", "_h2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias(out_col))
-    return short.unionByName(giant.join(joined, ["_h1", "_h2"]).drop("_h1", "_h2"))
+    joined = parts.groupBy("_h1", "_h2").agg(F.array_sort(F.collect_list(F.struct("i", "ids", "said"))).alias("_parts"))
+    whole_ids = F.flatten(F.transform("_parts", lambda x: x["ids"])).alias(out_col)
+    whole_text = [F.array_join(F.transform("_parts", lambda x: x["said"]), "").alias(decoded_col)] if decoded_col else []
+    long = giant.join(joined, ["_h1", "_h2"]).select(*docs.columns, whole_ids, *whole_text)
+    return short.unionByName(long)
 
 
 def decode(rows: DataFrame, model_file: str = MODEL_FILE, ids_col: str = "pieces", out_col: str = "decoded") -> DataFrame:
@@ -305,6 +314,6 @@ def decode(rows: DataFrame, model_file: str = MODEL_FILE, ids_col: str = "pieces
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         p = pieces(proto.value)
-        return pd.Series([p.decode(x.tolist()) if x is not None else "" for x in ids], dtype=object)
+        return pd.Series([p.decode(x) if x is not None else "" for x in ids], dtype=object)
 
     return rows.withColumn(out_col, text(F.col(ids_col)))

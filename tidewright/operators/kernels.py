@@ -20,6 +20,18 @@ def _each(kind: str, f: Callable[[np.ndarray], object]):
     return run
 
 
+def _struct(kind: str, f: Callable[[np.ndarray], dict | None]):
+    """The same for a struct of values; its fields are null where there is none."""
+    names = [part.split()[0] for part in kind.split(",")]
+
+    @F.pandas_udf(kind)
+    def run(rows: pd.Series) -> pd.DataFrame:
+        got = [(f(np.asarray(x, dtype=float)) if x is not None and len(x) else None) or {} for x in rows]
+        return pd.DataFrame({n: pd.array([g.get(n) for g in got], dtype="Float64") for n in names})
+
+    return run
+
+
 def low_pass(taps: int, cutoff: float) -> np.ndarray:
     """A windowed-sinc filter; ``cutoff`` in cycles a sample."""
     n = np.arange(taps) - (taps - 1) / 2
@@ -64,7 +76,7 @@ def match(samples: Column, template: np.ndarray) -> Column:
             shift = float(0.5 * (a - d) / bend) if bend else 0.0
         return {"lag": i + shift, "peak": float(c[i]), "snr_db": float(20 * np.log10(abs(c[i]) / noise)) if noise > 0 else None}
 
-    return _each("lag double, peak double, snr_db double", best)(samples)
+    return _struct("lag double, peak double, snr_db double", best)(samples)
 
 
 def multipath(samples: Column, template: np.ndarray, gain: float = 0.5, most: int = 20, floor: float = 0.1) -> Column:
