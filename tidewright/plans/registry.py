@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewright.plans import fusion, measurements
+from tidewright.plans import fusion, measurements, propagation
 
 FLAGSHIP = "hourly_fusion"
 
-QUERIES = {**fusion.QUERIES, **measurements.QUERIES}
+QUERIES = {**fusion.QUERIES, **measurements.QUERIES, **propagation.QUERIES}
+#: Those of ``propagation`` are registered with those of ``measurements``.
 ORACLES = {**fusion.ORACLES, **measurements.ORACLES}
