@@ -36,6 +36,13 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Python tasks of the session get at most ``rows`` texts at a time, as texts are long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case and nothing else. ``lower`` does the same where no other letters occur, and faster."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewright.llm.common import row_keys, stash
+from tidewright.llm.common import bounded_batches, row_keys, stash
 
 #: More sources than this are joined instead of broadcast; a row of the plan has under 100 bytes beside its name.
 MOST_BROADCAST = 50_000
@@ -105,6 +105,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
     them, so that no task holds a whole source.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in RESERVED]
     keyed = docs.select(*row_keys(docs), *others, n_words(F.col(text_col)).alias("size"))
     sized = stash(keyed)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import if_small, stash, words
+from tidewright.llm.common import bounded_batches, if_small, stash, words
 from tidewright.llm.components import Forest, components
 
 _U = np.uint64
@@ -27,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(250_000)
+@lru_cache(50_000)
 def _word(w: bytes) -> int:
     return xxhash.xxh64_intdigest(w)
 
@@ -232,6 +232,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     and texts have the same component_id. An empty table gives an empty result;
     other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
 

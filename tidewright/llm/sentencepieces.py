@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tidewright.llm.common import row_keys, stash
+from tidewright.llm.common import bounded_batches, row_keys, stash
 
 #: Where the public tokenizers' files lie, by default.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,7 +32,7 @@ SPACE = "▁"
 _FRAGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 #: Memoised fragments; the memo starts anew when it is full.
-MOST_KEPT = 200_000
+MOST_KEPT = 50_000
 
 State = tuple[int, int]  # a piece's first character and the end after its last, from the edge that it lies over
 
@@ -52,7 +52,7 @@ class Pieces:
             raise ValueError("only BPE models that keep white space and put one space before the text are supported")
         self.bytes = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(sp.get_piece_size())]
         self.kept: dict[str, bytes] = {}
-        self.stable = lru_cache(200_000)(self._stable)
+        self.stable = lru_cache(50_000)(self._stable)
 
     def fragment(self, f: str) -> list[int]:
         """Ids of spaces and the characters after them."""
@@ -238,6 +238,7 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text"
     """
     made = [c for c in (out_col, decoded_col) if c]
     docs = docs.drop(*made)
+    bounded_batches(docs.sparkSession)
     proto = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, model_file))
     kinds = [StructField(out_col, ArrayType(IntegerType(), False)), StructField(decoded_col or "", StringType())][: len(made)]
     schema = StructType([*docs.schema.fields, *kinds])

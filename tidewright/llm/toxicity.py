@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import stash
+from tidewright.llm.common import bounded_batches, stash
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,6 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     million features get there by chance. Equal texts count once. None where no
     label or no feature is of use.
     """
+    bounded_batches(docs.sparkSession)
     sample = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
         .groupBy(F.col(id_col).alias("_id"))
@@ -91,12 +92,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = stash(texts)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = {0: Counter(), 1: Counter()}
+
+        def told() -> pd.DataFrame:
+            names = list(seen[0].keys() | seen[1].keys())
+            return pd.DataFrame({"f": names, "clean": [seen[0][x] for x in names], "toxic": [seen[1][x] for x in names]}).astype({"clean": "int64", "toxic": "int64"})
+
         for b in batches:
-            seen = {0: Counter(), 1: Counter()}
             for text, y in zip(b["_text"], b["_y"]):
                 seen[y].update(features(text))
-            names = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"f": names, "clean": [seen[0][x] for x in names], "toxic": [seen[1][x] for x in names]})
+            if len(seen[0]) + len(seen[1]) > 100_000:
+                yield told()
+                seen = {0: Counter(), 1: Counter()}
+        yield told()
 
     counts = texts.mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = texts.groupBy("_y").count().collect()
