@@ -171,13 +171,13 @@ def layer_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""v AS (SELECT date_trunc('hour', ts) AS h, station, avg(value) AS x, coalesce(stddev_pop(value), 0) AS u FROM m GROUP BY 1, 2), c AS (SELECT h, avg(x) AS mid, count(*) AS n FROM v GROUP BY 1)
-SELECT strftime(h, '%Y-%m-%d %H') AS hour, any_value(n) AS witnesses, count(*) FILTER (abs(x - mid) > greatest(0.5 * u, 20.0)) AS against, count(*) FILTER (abs(x - mid) > greatest(0.5 * u, 20.0)) > any_value(n) / 2 AS outvoted FROM v JOIN c USING (h) GROUP BY h""")
+SELECT strftime(h, '%Y-%m-%d %H') AS hour, any_value(n) AS witnesses, count(*) FILTER (round(abs(x - mid), 6) > round(greatest(0.5 * u, 20.0), 6)) AS against, count(*) FILTER (round(abs(x - mid), 6) > round(greatest(0.5 * u, 20.0), 6)) > any_value(n) / 2 AS outvoted FROM v JOIN c USING (h) GROUP BY h""")
 def majority_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many stations are far from the mean of their hour, and whether these are the majority."""
     hour = F.date_format("ts", "yyyy-MM-dd HH").alias("hour")
     means = measurements(spark, sf_dir).groupBy(hour, "station").agg(F.avg("value").alias("x"), F.stddev_pop("value").alias("u"))
     told = means.withColumn("mid", F.avg("x").over(Window.partitionBy("hour")))
-    against = F.count(F.when(F.abs(F.col("x") - F.col("mid")) > F.greatest(0.5 * F.col("u"), F.lit(20.0)), 1))
+    against = F.count(F.when(r(F.abs(F.col("x") - F.col("mid"))) > r(F.greatest(0.5 * F.col("u"), F.lit(20.0))), 1))
     return told.groupBy("hour").agg(F.count("*").alias("witnesses"), against.alias("against"), (against > F.count("*") / 2).alias("outvoted"))
 
 
