@@ -65,6 +65,39 @@ def test_training_learns_a_pattern():
     assert p[2] > 0.8
 
 
+def test_two_levels_add_up_to_one():
+    counts = np.sort(np.random.default_rng(1).integers(2, 5000, 3000 + lm.SHAPES))[::-1].astype(float)
+    model, k = lm.LogBilinear.start(counts), 3000 + lm.SHAPES
+    assert model.starts[-1] == k and 1 < np.diff(model.starts).max() <= lm.WIDEST
+    assert (np.diff(model.starts)[-lm.SHAPES :] == 1).all()
+    tables = model.tables(100)
+    for p1, p2 in ((0, 5), (2500, 3), (7, 2900)):
+        assert np.exp(model.log_p(np.full(k, p1), np.full(k, p2), np.arange(k), tables)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_words_beyond_rank_480_learn_from_what_stands_before():
+    k = 1000 + lm.SHAPES
+    counts = np.full(k, 50.0)
+    trainer = lm.Trainer(lm.LogBilinear.start(counts), counts, np.random.default_rng(0))
+    assert len(trainer.m.top_bias) < 1000
+    p1 = np.tile(np.arange(500), 16)
+    for _ in range(150):
+        trainer.step(p1, np.zeros_like(p1), p1 + 500)
+    at, before = np.arange(500), np.zeros(500, dtype=np.int64)
+    right = trainer.m.log_p(at, before, at + 500, trainer.m.tables(100))
+    assert np.exp(right).mean() > 20 / k
+
+
+def test_rare_words_score_by_context(spark):
+    rng = np.random.default_rng(0)
+    rows = [(j, " ".join(f"a{i} b{i}" for i in rng.integers(0, 600, 400))) for j in range(300)]
+    docs = spark.createDataFrame([*rows, (1000, " ".join(f"a{i} b{i}" for i in range(600)))], "doc_id long, text string").coalesce(1)
+    vocab = lm.vocabulary(lm.count_tokens(docs))
+    assert vocab.own == 1201
+    got = lm.score(docs, F.col("doc_id") == 1000).where("held_out").first()
+    assert got.score > got.base_score + 100
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs, F.lit(False)).count() == 0

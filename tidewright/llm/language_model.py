@@ -1,4 +1,4 @@
-"""A log-bilinear language model, trained with noise-contrastive estimation, and a smoothed unigram beside it."""
+"""A log-bilinear language model in two levels, trained with noise-contrastive estimation, and a smoothed unigram beside it."""
 
 from __future__ import annotations
 
@@ -21,6 +21,15 @@ END = b"\n"
 #: Shape classes of words that are too rare for a class of their own: by last byte, script and length.
 SHAPES = 24
 
+#: Up to so many classes are each a group of their own; more are put into groups of at most ``WIDEST``.
+FLAT, WIDEST = 512, 4096
+
+#: Contexts of two of the so many most frequent tokens have their groups' normaliser in a table.
+FREQUENT = 480
+
+#: Parameters of so many classes are averaged in a task's group of rows.
+STRIPE = 256
+
 
 def shape(word: bytes) -> int:
     last = word[-1:]
@@ -77,7 +86,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", most_held: int = 500_0
     return docs.select(F.col(text_col).alias("text")).mapInPandas(each, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def vocabulary(counts: DataFrame, head: int = 200_000, own: int = 480) -> Vocabulary:
+def vocabulary(counts: DataFrame, head: int = 200_000, own: int = 200_000) -> Vocabulary:
     """``counts`` in sum, and its most frequent tokens, up to ``head``: a bounded number reaches the driver.
 
     A histogram over sixteenths of powers of two, of at most a thousand bins, says
@@ -110,82 +119,198 @@ def vocabulary(counts: DataFrame, head: int = 200_000, own: int = 480) -> Vocabu
     return Vocabulary(n, v, {t: i for i, t in enumerate(tokens)}, top["n"].to_numpy(dtype=np.int64), own, shape_n, shape_v)
 
 
+def group_starts(class_counts: np.ndarray) -> np.ndarray:
+    """Where each group of classes starts, and the number of classes.
+
+    Neighbours in rank share a group so that all groups have about as many
+    tokens: a mean over tokens of (groups + classes of the token's group) is then
+    near twice the root of the number of classes. Frequent words and the shape
+    classes are groups of one.
+    """
+    k = len(class_counts)
+    if k <= FLAT:
+        return np.arange(k + 1)
+    body = class_counts[: k - SHAPES]
+    before = np.cumsum(body) - body
+    group = np.floor(before / body.sum() * np.ceil(np.sqrt(k)))
+    starts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(body))
+    split = [np.arange(x, y, WIDEST) for x, y in zip(starts[:-1], starts[1:])]
+    return np.concatenate([*split, np.arange(len(body), k + 1)])
+
+
 @dataclass
 class LogBilinear:
-    """score(class | two before) = sum over the two of (input * position) . output + bias."""
+    """A class given the two before it: its group, then the class within the group, each normalised.
+
+    Both scores are x . output + bias, where x = sum over the two of input *
+    position. ``inputs``, ``outputs`` and ``bias`` have a row for each class,
+    ``tops`` and ``top_bias`` one for each group.
+    """
 
     inputs: np.ndarray
     outputs: np.ndarray
     bias: np.ndarray
+    tops: np.ndarray
+    top_bias: np.ndarray
     positions: np.ndarray
+    starts: np.ndarray
 
     @classmethod
     def start(cls, class_counts: np.ndarray, dim: int = 16, seed: int = 3) -> LogBilinear:
         rng, k = np.random.default_rng(seed), len(class_counts)
+        starts = group_starts(class_counts)
+        sums = np.add.reduceat(class_counts, starts[:-1])
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        return cls(small(k, dim), small(k, dim), np.log(class_counts / class_counts.sum()).astype(np.float32), np.ones((2, dim), dtype=np.float32))
+        bias = np.log(class_counts / np.repeat(sums, np.diff(starts)))
+        return cls(small(k, dim), small(k, dim), bias.astype(np.float32), small(len(sums), dim), np.log(sums / sums.sum()).astype(np.float32), np.ones((2, dim), dtype=np.float32), starts)
+
+    def group_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+
+    def context(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        return self.inputs[p1] * self.positions[0] + self.inputs[p2] * self.positions[1]
 
     def rows(self) -> np.ndarray:
-        """All parameters as a matrix: a row for each class, then one for the positions."""
-        body = np.hstack([self.inputs, self.outputs, self.bias[:, None]])
-        return np.vstack([body, np.append(self.positions.ravel(), 0)[None, :]])
+        """The parameters of the classes as a matrix with a row for each."""
+        return np.hstack([self.inputs, self.outputs, self.bias[:, None]])
 
-    @classmethod
-    def of_rows(cls, rows: np.ndarray) -> LogBilinear:
-        d = (rows.shape[1] - 1) // 2
-        return cls(rows[:-1, :d], rows[:-1, d : 2 * d], rows[:-1, -1], rows[-1, :-1].reshape(2, d))
+    def shared(self) -> np.ndarray:
+        """All other parameters in a row: those of the groups and the positions."""
+        return np.concatenate([self.tops.ravel(), self.top_bias, self.positions.ravel()])
+
+    def with_rows(self, rows: np.ndarray, shared: np.ndarray) -> LogBilinear:
+        d, n = self.tops.shape[1], len(self.top_bias)
+        rows, shared = rows.astype(np.float32), shared.astype(np.float32)
+        parts = np.ascontiguousarray(rows[:, :d]), np.ascontiguousarray(rows[:, d : 2 * d]), rows[:, -1].copy()
+        return LogBilinear(*parts, shared[: n * d].reshape(n, d), shared[n * d : n * d + n], shared[n * d + n :].reshape(2, d), self.starts)
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log-probabilities as three parts: by (previous, class), by (one before it, class) and the normaliser of the two.
+    def tables(self, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log-probabilities of the groups after two of the first ``most`` classes, as three parts: by (previous, group), by (one before it, group) and the normaliser of the two.
 
         The normaliser of all pairs takes one matrix product for each first class.
         """
-        first, second = ((self.inputs * self.positions[i]) @ self.outputs.T for i in (0, 1))
-        second = second + self.bias
-        norm = np.empty((len(self.bias), len(self.bias)), dtype=np.float32)
+        first, second = ((self.inputs[:most] * self.positions[i]) @ self.tops.T for i in (0, 1))
+        second = second + self.top_bias
+        norm = np.empty((len(first), len(first)), dtype=np.float32)
         for i in range(len(norm)):
-            logits = first[i] + second
-            top = logits.max(axis=1)
-            norm[i] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            norm[i] = _log_sum(first[i] + second)
         return np.stack([first, second]).astype(np.float32), norm
 
+    def log_p(self, p1: np.ndarray, p2: np.ndarray, c: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Natural log-probabilities of classes ``c``, normalised over all groups and then over the group's classes."""
+        first, norm = tables
+        groups = np.searchsorted(self.starts, c, side="right") - 1
+        out = np.empty(len(c), dtype=np.float64)
+        held = (p1 < len(norm)) & (p2 < len(norm))
+        a, b, g = p1[held], p2[held], groups[held]
+        out[held] = first[0][a, g] + first[1][b, g] - norm[a, b]
+        rest = np.flatnonzero(~held)
+        for i in range(0, len(rest), 512):
+            at = rest[i : i + 512]
+            logits = self.context(p1[at], p2[at]) @ self.tops.T + self.top_bias
+            out[at] = logits[np.arange(len(at)), groups[at]]
+            out[at] -= _log_sum(logits)
+        wide = np.flatnonzero(np.diff(self.starts)[groups] > 1)
+        wide = wide[np.argsort(groups[wide], kind="stable")]
+        for part in np.split(wide, np.flatnonzero(np.diff(groups[wide])) + 1) if len(wide) else ():
+            lo, hi = self.starts[groups[part[0]]], self.starts[groups[part[0]] + 1]
+            step = max(1, 250_000 // int(hi - lo))
+            for i in range(0, len(part), step):
+                at = part[i : i + step]
+                logits = self.context(p1[at], p2[at]) @ self.outputs[lo:hi].T + self.bias[lo:hi]
+                out[at] += logits[np.arange(len(at)), c[at] - lo]
+                out[at] -= _log_sum(logits)
+        return out
+
+
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials; ``logits`` are overwritten."""
+    top = logits.max(axis=1)
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return top + np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
+
 
 def _scatter(index: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.stack([np.bincount(index, weights=rows[:, j], minlength=k) for j in range(rows.shape[1])], axis=1).astype(np.float32)
 
 
+def _sigma(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
 class Trainer:
-    """Noise-contrastive estimation by Adagrad; a minibatch shares its noise samples."""
+    """Noise-contrastive estimation by Adagrad in both levels; a minibatch shares its noise groups, and in each group its noise classes.
+
+    Only the rows of classes that a minibatch has change. ``touched`` counts how often each one did.
+    """
 
-    def __init__(self, model: LogBilinear, class_counts: np.ndarray, rng: np.random.Generator, noise: int = 24, rate: float = 0.05) -> None:
-        self.m, self.rng, self.noise, self.rate, self.seen = model, rng, noise, rate, 0
-        p = class_counts / class_counts.sum()
+    def __init__(self, model: LogBilinear, class_counts: np.ndarray, rng: np.random.Generator, noise: int = 24, within: int = 8, rate: float = 0.05, rate_rows: float = 0.05, squares_rows: float = 1e-2) -> None:
+        self.m, self.rng, self.noise, self.within, self.rate, self.rate_rows, self.seen = model, rng, noise, within, rate, rate_rows, 0
+        self.group_of, self.wide = model.group_of(), np.flatnonzero(np.diff(model.starts) > 1)
+        self.wide_of = np.full(len(model.starts) - 1, -1)
+        self.wide_of[self.wide] = np.arange(len(self.wide))
+        sums = np.add.reduceat(class_counts, model.starts[:-1])
+        p = sums / sums.sum()
         self.cumulative, self.log_kq = np.cumsum(p), np.log(noise * p).astype(np.float32)
-        self.squares = [np.full_like(x, 1e-3) for x in (model.inputs, model.outputs, model.bias, model.positions)]
+        self.below = np.concatenate([[0.0], np.cumsum(class_counts)])
+        self.log_kw = np.log(within * class_counts / sums[self.group_of]).astype(np.float32)
+        self.squares = [np.full_like(x, 1e-3) for x in (model.tops, model.top_bias, model.positions)]
+        self.squares_rows = [np.full_like(x, squares_rows) for x in (model.inputs, model.outputs, model.bias)]
+        self.touched = np.zeros(len(model.bias), dtype=np.int64)
+
+    def _change(self, i: int, value: np.ndarray, index: np.ndarray, grad: np.ndarray) -> None:
+        """Adagrad on the rows ``index`` (repeating) of a class parameter."""
+        rows, inverse, times = np.unique(index, return_inverse=True, return_counts=True)
+        sums = _scatter(inverse, grad.reshape(len(grad), -1), len(rows)).reshape(len(rows), *value.shape[1:])
+        squares = self.squares_rows[i]
+        squares[rows] += sums * sums
+        value[rows] -= self.rate_rows * sums / np.sqrt(squares[rows])
+        self.touched[rows] += times
 
     def step(self, p1: np.ndarray, p2: np.ndarray, c: np.ndarray) -> None:
-        m, k = self.m, len(self.m.bias)
+        m, n, groups = self.m, len(c), self.group_of[c]
         r1, r2 = m.inputs[p1], m.inputs[p2]
         x = r1 * m.positions[0] + r2 * m.positions[1]
-        drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.noise)), k - 1)
-        good, bad = m.outputs[c], m.outputs[drawn]
-        sigma = lambda z: 1 / (1 + np.exp(-z))
-        g = (sigma(np.einsum("ij,ij->i", x, good) + m.bias[c] - self.log_kq[c]) - 1).astype(np.float32)
-        h = sigma(x @ bad.T + m.bias[drawn] - self.log_kq[drawn]).astype(np.float32)
-        n = len(c)
+        drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.noise)), len(m.top_bias) - 1)
+        good, bad = m.tops[groups], m.tops[drawn]
+        g = (_sigma(np.einsum("ij,ij->i", x, good) + m.top_bias[groups] - self.log_kq[groups]) - 1).astype(np.float32)
+        h = _sigma(x @ bad.T + m.top_bias[drawn] - self.log_kq[drawn]).astype(np.float32)
         dx = g[:, None] * good + h @ bad
-        d_out = _scatter(c, g[:, None] * x, k)
-        np.add.at(d_out, drawn, h.T @ x)
-        d_bias = np.bincount(c, weights=g, minlength=k).astype(np.float32)
+        d_tops = _scatter(groups, g[:, None] * x, len(m.top_bias))
+        np.add.at(d_tops, drawn, h.T @ x)
+        d_bias = np.bincount(groups, weights=g, minlength=len(m.top_bias)).astype(np.float32)
         np.add.at(d_bias, drawn, h.sum(axis=0))
-        d_in = _scatter(p1, dx * m.positions[0], k) + _scatter(p2, dx * m.positions[1], k)
+        at = np.flatnonzero(self.wide_of[groups] >= 0)
+        if len(at):
+            dx[at] += self._within(x[at], c[at], groups[at])
         d_pos = np.stack([np.einsum("ij,ij->j", dx, r1), np.einsum("ij,ij->j", dx, r2)])
-        for value, grad, squares in zip((m.inputs, m.outputs, m.bias, m.positions), (d_in, d_out, d_bias, d_pos), self.squares):
+        for value, grad, squares in zip((m.tops, m.top_bias, m.positions), (d_tops, d_bias, d_pos), self.squares):
             grad = grad / n
             squares += grad * grad
             value -= self.rate * grad / np.sqrt(squares)
+        self._change(0, m.inputs, np.concatenate([p1, p2]), np.concatenate([dx * m.positions[0], dx * m.positions[1]]))
         self.seen += n
 
+    def _within(self, x: np.ndarray, c: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """The second level: changes the classes' outputs, gives the gradient by ``x``."""
+        m, k = self.m, self.within
+        here, w = np.unique(self.wide_of[groups], return_inverse=True)
+        lo, hi = m.starts[self.wide[here]], m.starts[self.wide[here] + 1]
+        u = self.below[lo][:, None] + self.rng.random((len(here), k)) * (self.below[hi] - self.below[lo])[:, None]
+        drawn = np.clip(np.searchsorted(self.below, u, side="right") - 1, lo[:, None], hi[:, None] - 1)
+        good, bad = m.outputs[c], m.outputs[drawn]
+        g = (_sigma(np.einsum("ij,ij->i", x, good) + m.bias[c] - self.log_kw[c]) - 1).astype(np.float32)
+        h = _sigma(np.einsum("ij,ikj->ik", x, bad[w]) + (m.bias[drawn] - self.log_kw[drawn])[w]).astype(np.float32)
+        dx = g[:, None] * good + np.einsum("ik,ikj->ij", h, bad[w])
+        order = np.argsort(w, kind="stable")
+        edges = np.searchsorted(w[order], np.arange(len(here)))
+        d_bad = np.add.reduceat(h[order][:, :, None] * x[order][:, None, :], edges, axis=0)
+        index = np.concatenate([c, drawn.ravel()])
+        self._change(1, m.outputs, index, np.concatenate([g[:, None] * x, d_bad.reshape(-1, x.shape[1])]))
+        self._change(2, m.bias, index, np.concatenate([g, np.add.reduceat(h[order], edges, axis=0).ravel()]))
+        return dx
+
 
 class Coder:
     """Tokens of texts as ranks and classes."""
@@ -205,6 +330,18 @@ class Coder:
             classes[i] = self.own + shape(found[i])
         return found, ranks, classes
 
+    def together(self, texts: Iterator[tuple[int, pa.Scalar]], most: int = 65_536) -> Iterator[list[tuple[int, list[bytes], np.ndarray, np.ndarray]]]:
+        """Number and tokens of texts, in lists of texts of about ``most`` tokens."""
+        out, size = [], 0
+        for i, text in texts:
+            out.append((i, *self(text.as_py())))
+            size += len(out[-1][3])
+            if size >= most:
+                yield out
+                out, size = [], 0
+        if out:
+            yield out
+
     def contexts(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The classes one and two places before each; before the text stand ends."""
         before = np.concatenate([[self.end, self.end], classes])
@@ -212,7 +349,12 @@ class Coder:
 
 
 def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", batch: int = 8192, **params) -> LogBilinear:
-    """One pass over every row: each task trains on its rows from the same start, and the tasks' parameters are averaged by tokens."""
+    """One pass over every row: each task trains on its rows from the same start, and the tasks' parameters are averaged.
+
+    A class's parameters are averaged over the tasks that changed them, by how
+    often each did, and those that all classes share by tokens. Tasks send
+    only what they changed.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
 
@@ -240,29 +382,53 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", batch: int
                     held, size = [], 0
         if held:
             run()
-        rows = trainer.m.rows()
-        yield pd.DataFrame({"row": np.arange(len(rows)), "seen": trainer.seen, "values": list(rows.astype(float))})
+        yield _sent(trainer)
 
     def mean(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        weight = parts["seen"].to_numpy(dtype=float)
-        weight = weight if weight.sum() else weight + 1
-        return pd.DataFrame({"row": [key[0]], "seen": [int(parts["seen"].sum())], "values": [np.average(np.stack(parts["values"].to_numpy()), axis=0, weights=weight)]})
-
-    kind = "row int, seen long, values array<double>"
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(each, kind).groupBy("row").applyInPandas(mean, kind).toPandas().sort_values("row")
-    if not len(found):
-        return LogBilinear.start(vocab.class_counts())
-    return LogBilinear.of_rows(np.stack(found["values"].to_numpy()))
-
-
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 200_000, own: int = 480, **params) -> DataFrame:
+        sums: dict[int, list] = {}
+        for p in parts.sort_values("part").itertuples():
+            at, weight = np.frombuffer(p.at, np.int32), np.frombuffer(p.weight, np.int64)
+            for i, n, v in zip(at.tolist(), weight.tolist(), np.frombuffer(p.values, np.float32).reshape(len(at), -1).astype(float)):
+                held = sums.setdefault(i, [0, 0.0])
+                held[0] += n
+                held[1] = held[1] + n * v
+        at = sorted(i for i in sums if sums[i][0])
+        values = np.stack([sums[i][1] / sums[i][0] for i in at]).astype(np.float32).tobytes() if at else b""
+        return pd.DataFrame({"stripe": [key[0]], "part": [0], "at": [np.array(at, np.int32).tobytes()], "weight": [b""], "values": [values]})
+
+    kind = "stripe int, part int, at binary, weight binary, values binary"
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(each, kind).groupBy("stripe").applyInPandas(mean, kind).toPandas()
+    model = LogBilinear.start(vocab.class_counts())
+    rows, rest = model.rows(), model.shared()
+    for one in found.itertuples():
+        at = np.frombuffer(one.at, np.int32)
+        values = np.frombuffer(one.values, np.float32).reshape(len(at), -1) if len(at) else None
+        if len(at) and one.stripe < 0:
+            rest = values[0]
+        elif len(at):
+            rows[at] = values
+    return model.with_rows(rows, rest)
+
+
+def _sent(trainer: Trainer) -> pd.DataFrame:
+    """What a task learnt: the classes it changed, in stripes, and in stripe -1 the parameters that all share."""
+    at, part = np.flatnonzero(trainer.touched), TaskContext.get().partitionId()
+    rows = trainer.m.rows()
+    out = [(-1, part, np.zeros(1, np.int32).tobytes(), np.array([trainer.seen], np.int64).tobytes(), trainer.m.shared().astype(np.float32).tobytes())]
+    for some in np.split(at, np.flatnonzero(np.diff(at // STRIPE)) + 1) if len(at) else ():
+        out.append((int(some[0]) // STRIPE, part, some.astype(np.int32).tobytes(), trainer.touched[some].tobytes(), rows[some].tobytes()))
+    return pd.DataFrame(out, columns=["stripe", "part", "at", "weight", "values"])
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 200_000, own: int = 200_000, **params) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row; the model learns from those not held out.
 
     Whole texts are scored; null counts as empty and has the end token only.
     base_score is the add-one unigram's log10 probability. score is the
     log-bilinear model's: the class of each token given the two before it,
-    normalised over all classes, times the add-one share of the token within its
-    shape class.
+    normalised over all classes. The ``own`` most frequent tokens are classes of
+    their own; any other has its shape class's probability times its add-one share
+    within that.
 
     Counts of the ``head`` most frequent tokens, a bounded number, go to every
     task. Of other tokens a text sends each distinct one once, to be joined with
@@ -272,34 +438,35 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     counts = stash(count_tokens(base.where("not held")))
     vocab = vocabulary(counts, head, own)
-    first, norm = train(base.where("not held"), vocab, **params).tables()
-    shared = base.sparkSession.sparkContext.broadcast((vocab, first, norm))
+    model = train(base.where("not held"), vocab, **params)
+    shared = base.sparkSession.sparkContext.broadcast((vocab, model, model.tables(FREQUENT)))
     id_type = docs.schema[id_col].dataType
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, tables, norm = shared.value
+        vocab, model, tables = shared.value
         coder, within = Coder(vocab), np.log10(vocab.counts + 1.0) if len(vocab.counts) else np.zeros(1)
         share = np.concatenate([np.zeros(vocab.own), vocab.log_within()])
         for b in batches:
             ids, hashes, held = (b.column(i) for i in (0, 1, 3))
             at, tokens, times, numbers = [], [], [], []
-            for i, text in enumerate(b.column(2)):
-                found, ranks, c = coder(text.as_py())
-                p1, p2 = coder.contexts(c)
-                known = ranks >= 0
-                counted = np.where(known, within[ranks], 0.0)
-                classed = (tables[0][p1, c] + tables[1][p2, c] - norm[p1, p2]).sum(dtype=float) / np.log(10)
-                inside = np.where(c >= vocab.own, counted - share[c], 0.0).sum()
-                at.append(i)
-                tokens.append(b" " + str(hashes[i]).encode() + b" " + str(ids[i]).encode())
-                times.append(None)
-                numbers.append((len(c), int(known.sum()), counted.sum(), classed + inside))
-                if not known.all():
-                    for w, n in Counter(found[j] for j in np.flatnonzero(~known)).items():
-                        at.append(i)
-                        tokens.append(w)
-                        times.append(n)
-                        numbers.append((None, None, None, None))
+            for rows in coder.together(enumerate(b.column(2))):
+                p1, p2, c = (np.concatenate(x) for x in zip(*((*coder.contexts(r[3]), r[3]) for r in rows)))
+                logs = model.log_p(p1, p2, c, tables) / np.log(10)
+                sums = np.add.reduceat(logs, np.cumsum([0, *(len(r[3]) for r in rows[:-1])]))
+                for (i, found, ranks, c), classed in zip(rows, sums.tolist()):
+                    known = ranks >= 0
+                    counted = np.where(known, within[ranks], 0.0)
+                    inside = np.where(c >= vocab.own, counted - share[c], 0.0).sum()
+                    at.append(i)
+                    tokens.append(b" " + str(hashes[i]).encode() + b" " + str(ids[i]).encode())
+                    times.append(None)
+                    numbers.append((len(c), int(known.sum()), counted.sum(), classed + inside))
+                    if not known.all():
+                        for w, n in Counter(found[j] for j in np.flatnonzero(~known)).items():
+                            at.append(i)
+                            tokens.append(w)
+                            times.append(n)
+                            numbers.append((None, None, None, None))
             pick = pa.array(at, pa.int32())
             columns = [ids.take(pick), hashes.take(pick), held.take(pick), pa.array(tokens, pa.binary()), pa.array(times, pa.int64())]
             columns += [pa.array([x[k] for x in numbers], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
