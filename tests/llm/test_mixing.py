@@ -26,6 +26,39 @@ def test_permutations(n):
         assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key))) == list(range(n))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 257, 4096])
+def test_permutations_back(n):
+    at = np.arange(n)
+    for key in (0, 1, 99):
+        there = mixing.permuted(at, np.full(n, n), np.full(n, key))
+        assert (mixing.permuted(there, np.full(n, n), np.full(n, key), back=True) == at).all()
+
+
+def test_slots_hold_the_words():
+    rng = np.random.default_rng(0)
+    size = rng.integers(0, 400, 3000)
+    words = rng.integers(0, 3 * size + 1)
+    slots, ended = mixing.slots_for(words, size, 32, 7)
+    for s in range(len(size)):
+        blocks, taken = -(-size[s] // 32), 0
+        for i in range(slots[s]):
+            k = mixing.permuted(np.array([i % blocks]), np.array([blocks]), mixing.keys(7, np.array([s]), np.array([i // blocks])))[0]
+            has = min(32, size[s] - 32 * k)
+            taken += min(has, ended[s]) if i == slots[s] - 1 else has
+        assert taken == words[s] and (not slots[s] or ended[s] > 0)
+
+
+def test_sources_of_less_than_a_block(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40 + i * 37 % 81)), f"s{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs)[0].collect()
+    assert len(got) == 300 and all(abs(r.taken - r.target) <= 1 and r.taken > 0 for r in got)
+    assert sum(r.taken for r in got) == sum(r["size"] for r in got)
+    out = mixing.mixed(docs).collect()
+    assert {r.doc_id for r in out} == set(range(300))
+    assert sum(len(r.text.split()) for r in out) == sum(r["size"] for r in got)
+
+
 def test_draws_add_up():
     slots = np.array([100, 0, 7, 1000])
     draws = mixing.shard_draws(slots, 9, 1)

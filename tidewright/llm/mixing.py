@@ -62,8 +62,44 @@ def shard_draws(slots: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def permuted(at: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
-    """Position ``at`` (0 <= at < n) under a pseudorandom permutation of range(n) that ``key`` picks.
+def rounded(wanted: list[float], most: list[int]) -> np.ndarray:
+    """Whole numbers within 1 of ``wanted``, none above ``most``: the steps of the rounded running sum, so that the whole is kept."""
+    ends = np.floor(np.cumsum([0.0, *wanted]) + 0.5)
+    return np.minimum(np.diff(ends), np.array(most, dtype=float)).astype(np.int64)
+
+
+def keys(seed: int, source: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """What picks a source's permutation for each time that all its blocks are used up."""
+    return np.uint64(seed * 1_000_003) + source.astype(np.uint64) * np.uint64(0x9E3779B1) + again.astype(np.uint64) * np.uint64(0xC2B2AE35)
+
+
+def slots_for(words: np.ndarray, size: np.ndarray, block: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each source that hold ``words`` words, and how many words its last slot takes.
+
+    All blocks of a source have ``block`` words but its last one, which has what
+    remains of ``size``. Rounds through all blocks take the whole source, so only
+    the round that stays unfinished has to be looked at, and in it only whether
+    the short block is among those taken.
+    """
+    blocks = -(-size // block)
+    some = np.maximum(size, 1)
+    full, rest = words // some, words % some
+    short = size - (blocks - 1) * block
+    place = np.zeros(len(size), dtype=np.int64)
+    has = np.flatnonzero(size > 0)
+    place[has] = permuted(blocks[has] - 1, blocks[has], keys(seed, has, full[has]), back=True)
+    # Slots of the round if the short block comes after them; if it does not, the missing words take up to one slot more.
+    n = -(-rest // block)
+    among = (n > 0) & (place < n)
+    n = np.where(among, -(-(rest + block - short) // block), n)
+    before = (n - 1) * block - np.where(among & (place < n - 1), block - short, 0)
+    ended = rest - before
+    # Without an unfinished round the last slot takes its whole block.
+    return full * blocks + n, np.where(n > 0, ended, block)
+
+
+def permuted(at: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4, back: bool = False) -> np.ndarray:
+    """Position ``at`` (0 <= at < n) under a pseudorandom permutation of range(n) that ``key`` picks, or ``back`` under its inverse.
 
     A Feistel network over the next even power of two; positions that land at n
     or above walk on along their cycle.
@@ -74,10 +110,14 @@ def permuted(at: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) ->
     out, todo = at.copy(), np.arange(len(at))
     while len(todo):
         left, right = out[todo] >> half[todo], out[todo] & mask[todo]
-        for r in range(rounds):
+        if back:
+            left, right = right, left
+        for r in reversed(range(rounds)) if back else range(rounds):
             mixed = (right + key[todo] + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
             left, right = right, (left ^ (mixed >> np.uint64(31))) & mask[todo]
+        if back:
+            left, right = right, left
         out[todo] = (left << half[todo]) | right
         todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)
@@ -90,14 +130,15 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
     source's words lie end to end, in an order that its rows' hashes fix, and are
     cut into blocks of ``block`` words. The mix has slots; each output shard draws
     how many slots each source fills, and a source's i-th slot holds block
-    permutation(i), a new permutation each time all blocks are used up. As no
-    source has more than ``most`` times its blocks as slots, no block is taken more
-    often than ``most``, rounded up.
+    permutation(i), a new permutation each time all blocks are used up. A source's
+    last slot takes only the words that are missing to its target, so each source
+    gives its target, rounded to a whole word. As that is not more than ``most``
+    times its size, no block is taken more often than ``most``, rounded up.
 
     Gives (rows, parts). rows has a row for each of ``docs``: _h1, _h2, its
     columns but the text and ``RESERVED`` names, size, source_size, target, taken. parts has _h1, _h2,
-    _start, _from, _to, _times: for each row, the ranges of its words that blocks
-    cover and how often each is taken.
+    _start, _from, _to, _times: for each row, the ranges of its words that blocks,
+    or what a last slot takes of one, cover and how often each is taken.
 
     Null and wordless texts have size 0 and are never taken. Repeated rows count
     as rows of their own. An empty table gives empty results. Positions are
@@ -114,7 +155,8 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
     n_buckets = max(1, sum(r["rows"] for r in totals) // bucket_rows)
     wanted = targets([r["size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most)
     blocks = [math.ceil(r["size"] / block) for r in totals]
-    slots = np.array([min(math.floor(most * b), round(t * b / r["size"])) if b else 0 for r, t, b in zip(totals, wanted, blocks)], dtype=np.int64)
+    sizes = [int(r["size"]) for r in totals]
+    slots, ended = slots_for(rounded(wanted, [math.floor(most * n) for n in sizes]), np.array(sizes, dtype=np.int64), block, seed)
     plan_rows = [(r["_source"], i, int(r["size"]), float(t), int(b)) for i, (r, t, b) in enumerate(zip(totals, wanted, blocks))]
     plan = spark.createDataFrame(plan_rows, "_source string, _s int, source_size long, target double, _blocks long")
     plan = F.broadcast(plan) if len(plan_rows) <= MOST_BROADCAST else plan
@@ -133,24 +175,28 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
     draws = shard_draws(slots, n_shards, seed) if total else np.zeros((1, len(plan_rows)), dtype=np.int64)
     firsts = np.cumsum(draws, axis=0) - draws
     shard, source = np.nonzero(draws)
-    drawn = pd.DataFrame({"shard": shard, "_s": source, "first": firsts[shard, source], "n": draws[shard, source], "_blocks": np.array(blocks, dtype=np.int64)[source] if len(source) else np.array([], dtype=np.int64)})
-    drawn = spark.createDataFrame(drawn.astype("int64"), "shard long, _s long, first long, n long, _blocks long")
+    blocks_of = np.array(blocks, dtype=np.int64)
+    drawn = pd.DataFrame({"shard": shard, "_s": source, "first": firsts[shard, source], "n": draws[shard, source], "_blocks": blocks_of[source], "_slots": slots[source], "_ended": ended[source]})
+    drawn = spark.createDataFrame(drawn.astype("int64"), "shard long, _s long, first long, n long, _blocks long, _slots long, _ended long")
 
     @F.pandas_udf("long")
     def block_of(slot: pd.Series, n: pd.Series, s: pd.Series) -> pd.Series:
         slot, n, s = (x.to_numpy() for x in (slot, n, s))
-        key = np.uint64(seed * 1_000_003) + s.astype(np.uint64) * np.uint64(0x9E3779B1) + (slot // n).astype(np.uint64) * np.uint64(0xC2B2AE35)
-        return pd.Series(permuted(slot % n, n, key))
+        return pd.Series(permuted(slot % n, n, keys(seed, s, slot // n)))
 
-    filled = drawn.repartition("shard").select("_s", "_blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
-    times = filled.select(F.col("_s").cast("int").alias("_s"), block_of("slot", "_blocks", "_s").alias("_block")).groupBy("_s", "_block").agg(F.count("*").alias("_times"))
+    filled = drawn.repartition("shard").select("_s", "_blocks", "_slots", "_ended", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    # A source's last slot may take the first words of its block only.
+    words = F.when(F.col("slot") == F.col("_slots") - 1, F.col("_ended")).otherwise(F.lit(block))
+    filled = filled.select(F.col("_s").cast("int").alias("_s"), block_of("slot", "_blocks", "_s").alias("_block"), words.alias("_words"))
+    times = filled.groupBy("_s", "_block").agg(F.count("*").alias("_all"), F.min("_words").alias("_words"))
     end, b = F.col("_start") + F.col("size"), F.lit(block)
     spread = placed.where("size > 0").select("_h1", "_h2", "_s", "_start", "size", F.explode(F.sequence(F.floor(F.col("_start") / b), F.floor((end - 1) / b))).alias("_block"))
-    parts = spread.join(times, ["_s", "_block"]).select(
-        "_h1", "_h2", "_s", "_start", "_times",
-        (F.greatest(F.col("_start"), F.col("_block") * b) - F.col("_start")).alias("_from"),
-        (F.least(end, (F.col("_block") + 1) * b) - F.col("_start")).alias("_to"),
-    )
+    low, high, split = F.greatest(F.col("_start"), F.col("_block") * b), F.least(end, (F.col("_block") + 1) * b), F.col("_block") * b + F.col("_words")
+    ranges = F.array(
+        F.struct((low - F.col("_start")).alias("_from"), (F.least(high, split) - F.col("_start")).alias("_to"), F.col("_all").alias("_times")),
+        F.struct((F.greatest(low, split) - F.col("_start")).alias("_from"), (high - F.col("_start")).alias("_to"), (F.col("_all") - 1).alias("_times")),
+    )
+    parts = spread.join(times, ["_s", "_block"]).select("_h1", "_h2", "_s", "_start", F.inline(F.filter(ranges, lambda r: (r["_from"] < r["_to"]) & (r["_times"] > 0))))
     parts = stash(parts)
     got = parts.groupBy("_s", "_start").agg(F.sum((F.col("_to") - F.col("_from")) * F.col("_times")).alias("_taken"))
     # Rows without words share the place of the row after them, so they are kept out of the join's key.
