@@ -69,6 +69,42 @@ def test_field_learns_and_adds_spans():
     assert not ss.field_spans(texts[0], model, known)
 
 
+def test_stretches_lose_nothing():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        e, move = rng.normal(size=(40, 3)) * 2 + [-2, -2, 2], rng.normal(size=(3, 3))
+        tags = [ss.O] * 40
+        for a, b in ss.stretches(e, move):
+            tags[a:b] = ss.viterbi(e[a:b], move)
+        assert tags == ss.viterbi(e, move)
+
+
+def test_tokens_lie_end_to_end_and_spans_have_insides():
+    text = " token = ab.cd/ef=\n é, x \n"
+    assert "".join(ss.tokens_of(text)) == text.rstrip()
+    assert [t for _, tags in ss.examples("token = ab.cd/efgh", ss.value_spans("token = ab.cd/efgh")) for t in tags] == [ss.O, ss.O, ss.B, ss.I, ss.I, ss.I, ss.I]
+
+
+def test_field_finds_secrets_of_letters_and_of_several_tokens():
+    rng = random.Random(3)
+    words = ["river", "stone", "walk", "the", "and", "garden", "over", "quiet", "morning", "paper", "light", "seven"]
+    prose = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(500)]
+    model = ss.fit_field([x for i, t in enumerate(prose[:400]) for x in [*ss.examples(t, []), *ss.examples(*ss.planted(t, i))]])
+    hits = total = several = wrong = 0
+    for i, t in enumerate(prose[400:]):
+        text, spans = ss.planted(t, 10_000 + i)
+        got = ss.field_spans(text, model, [])
+        for a, b, _ in spans:
+            total += 1
+            hits += any(s < b and a < e for s, e, _ in got)
+            several += any(s == a and e == b for s, e, _ in got) and len(ss.tokens_of(text[a:b])) > 1
+        wrong += sum(not any(s < b and a < e for a, b, _ in spans) for s, e, _ in got)
+    print("recall", hits / total, "several", several, "wrong", wrong)
+    assert hits > 0.8 * total and several >= 5 and wrong <= 5
+    for text, value in (("over the river pwd: correcthorsebattery and stone", "correcthorsebattery"), ("the passphrase is hunterhunter and paper", "hunterhunter"), ("walk Bearer QwErTyUiOpAsDfGh over", "QwErTyUiOpAsDfGh")):
+        assert [text[s:e] for s, e, _ in ss.field_spans(text, model, [])] == [value]
+
+
 def test_scan_and_digest(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(None, TEXTS[0]), (0, TEXTS[0])], "doc_id long, text string")
     rows = ss.digest(ss.scan(docs, ss.train(docs))).collect()

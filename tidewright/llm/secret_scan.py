@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,10 +47,16 @@ B, I, O = range(3)  # noqa: E741
 #: Features are hashed into so many columns.
 COLUMNS = 4096
 
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
-#: A token is in question if it holds a digit among letters, a mark of assignment, or is long; all others are outside.
-_QUESTION = re.compile(r"[0-9=]|[A-Za-z0-9+/_-]{20}")
+#: A token is a run of ASCII letters and digits, a run of other letters, or one mark; the white space before it comes with it.
+_TOKEN = re.compile(r"[\x20\x09-\x0D]*(?:[A-Za-z0-9]+|[^\x00-\x7F]+|[^A-Za-z0-9\x20\x09-\x0D])")
+_WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
+#: What stands before and after a text's tokens.
+_START, _END = ["<start>"] * 3, ["<end>"]
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens, end to end from the start of ``text``; only white space follows the last."""
+    return _TOKEN.findall(text.rstrip(_WHITE))
 
 
 def shape(token: str) -> str:
@@ -59,29 +67,46 @@ def shape(token: str) -> str:
 
 def _bits(token: str) -> float:
     """Entropy of the characters, in bits."""
-    n = np.unique(list(token), return_counts=True)[1] / len(token)
-    return float(-(n * np.log2(n)).sum())
+    return -sum((n := token.count(c) / len(token)) * math.log2(n) for c in set(token))
 
 
 def _column(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=4).digest(), "big") % COLUMNS
-
-
-def token_features(tokens: list[str], at: int, file: list[str]) -> list[int]:
-    """Columns of a token: its shape, length, entropy and alphabet, the words about it, and what holds for its whole text."""
-    t = tokens[at]
-    core = max(_CORE.findall(t), key=len, default="")
-    before = tokens[at - 1].lower()[:16] if at else "<start>"
-    second = tokens[at - 2].lower()[:16] if at > 1 else "<start>"
-    after = tokens[at + 1].lower()[:16] if at + 1 < len(tokens) else "<end>"
-    length = min(8, len(core) // 4)
-    hexed = bool(core) and all(c in "0123456789abcdef" for c in core)
-    names = [
-        "bias", f"shape {shape(t)}", f"length {length}", f"bits {int(_bits(core) * 2) if core else 0}", f"hex {hexed} {length}",
-        f"digits {sum(c.isdigit() for c in core) * 4 // max(1, len(core))} {length}", f"before {before}", f"second {second}", f"after {after}",
-        f"before shape {shape(before)}", f"equals {before.endswith('=') or '=' in t} {length}", f"upper {core.isupper()} {length}",
-    ]
-    return [_column(x) for x in names + file]
+    return zlib.crc32(name.encode("utf-8", "replace")) % COLUMNS
+
+
+def own_names(token: str) -> list[str]:
+    """Features of a token by itself: its shape, length, entropy and alphabet, and the white space before it."""
+    t = token.lstrip(_WHITE)
+    gap = "glued" if len(t) == len(token) else "line" if "\n" in token else "space"
+    length, digits = min(8, len(t) // 4), sum(c.isdigit() for c in t)
+    hexed = not t.strip("0123456789abcdef")
+    kind = shape(t)
+    # Keys change between letters and digits at random; what counts is which kinds they have.
+    kind = kind if len(kind) <= 4 else "mixed " + "".join(sorted(set(kind)))
+    return ["bias", f"shape {kind}", f"length {length}", f"bits {int(_bits(t) * 2)}", f"hex {hexed} {length}", f"digits {digits * 4 // len(t)} {length}", f"gap {gap}", f"gap {gap} {kind}", f"upper {t.isupper()} {length}"]
+
+
+def near_names(token: str) -> tuple[list[str], list[str], list[str], list[str]]:
+    """Features that a token gives to the one after it, the second, the third, and the one before it."""
+    t = token.strip(_WHITE).lower()[:16]
+    return [f"before {t}", f"before shape {shape(t)}"], [f"second {t}"], [f"third {t}"], [f"after {t}"]
+
+
+def mark_of(token: str) -> int:
+    t = token.strip(_WHITE)
+    return 1 if t in "=:" else 2 if t in "\"'" else 3 if t in "+/_.-" else 0
+
+
+def look_of(token: str) -> int:
+    t = token.strip(_WHITE)
+    return min(7, len(t) // 4) * 4 + 2 * any(c.isdigit() for c in t) + (t != t.lower())
+
+
+def token_features(padded: list[str], at: int, file: list[str]) -> list[int]:
+    """Columns of a token of a text with ``_START`` and ``_END`` about it: its own, those by its neighbours, and what holds for its whole text."""
+    near = near_names(padded[at - 1])[0] + near_names(padded[at - 2])[1] + near_names(padded[at - 3])[2] + near_names(padded[at + 1])[3]
+    pair = f"pair {mark_of(padded[at - 1])} {look_of(padded[at])}"
+    return [_column(x) for x in [*own_names(padded[at]), *near, pair, *file]]
 
 
 def file_features(text: str) -> list[str]:
@@ -96,8 +121,35 @@ class Field:
     emit: np.ndarray
     move: np.ndarray
 
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
-        return np.array([self.emit[r].sum(axis=0) for r in rows])
+
+class Scorer(dict):
+    """Places of distinct tokens in a table of what each adds to its own score and to those of its neighbours."""
+
+    def __init__(self, model: Field, most: int = 200_000) -> None:
+        super().__init__()
+        self.model, self.most = model, most
+        self.pair = np.array([[model.emit[_column(f"pair {k} {c}")] for c in range(32)] for k in range(4)])
+        self.table, self.kinds = np.empty((1024, 5, 3)), np.empty((1024, 2), dtype=np.int64)
+
+    def __missing__(self, token: str) -> int:
+        at, emit = len(self), self.model.emit
+        if at == len(self.table):
+            self.table, self.kinds = (np.concatenate([x, np.empty_like(x)]) for x in (self.table, self.kinds))
+        for i, names in enumerate((own_names(token), *near_names(token))):
+            self.table[at, i] = emit[[_column(x) for x in names]].sum(axis=0)
+        self.kinds[at] = mark_of(token), look_of(token)
+        self[token] = at
+        return at
+
+    def __call__(self, tokens: list[str], file: list[str]) -> np.ndarray:
+        """Scores of all tokens of a text by tag."""
+        if len(self) > self.most:
+            self.clear()
+        at = np.array([self[t] for t in (*_START, *tokens, *_END)])
+        own, table, kinds = at[3:-1], self.table, self.kinds
+        out = table[own, 0] + table[at[2:-2], 1] + table[at[1:-3], 2] + table[at[:-4], 3] + table[at[4:], 4]
+        out += self.pair[kinds[at[2:-2], 0], kinds[own, 1]]
+        return out + self.model.emit[[_column(x) for x in file]].sum(axis=0)
 
 
 #: Moves that cannot be: inside follows begin or inside only.
@@ -122,7 +174,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit_field(sequences: list[tuple[list[list[int]], list[int]]], steps: int = 60, rate: float = 0.2, l2: float = 1e-3) -> Field:
+def fit_field(sequences: list[tuple[list[list[int]], list[int]]], steps: int = 60, rate: float = 0.2, l2: float = 1e-5) -> Field:
     """Weights that maximise the penalised conditional likelihood of the tags, by Adam; gradients by forward and backward sums."""
     emit, move = np.zeros((COLUMNS, 3)), np.zeros((3, 3))
     emit[:, O] = 0.0
@@ -134,7 +186,7 @@ def fit_field(sequences: list[tuple[list[list[int]], list[int]]], steps: int = 6
     total = max(1, sum(len(r) for r, _ in sequences))
     packed = []
     for n, group in by_length.items():
-        columns = np.array([[r for r in sequences[i][0]] for i in group])
+        columns = np.array([sequences[i][0] for i in group])
         packed.append((n, columns, np.array([sequences[i][1] for i in group])))
     for t in range(1, steps + 1):
         g_emit, g_move = l2 * emit, l2 * move
@@ -169,76 +221,91 @@ def fit_field(sequences: list[tuple[list[list[int]], list[int]]], steps: int = 6
     return Field(emit, move)
 
 
-def runs(text: str) -> list[tuple[list[str], list[tuple[int, int]], int, int]]:
-    """Runs of tokens in question: for each, the tokens from two before to one after it, their places, and where the run lies among them.
+def stretches(emitted: np.ndarray, move: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of tokens outside of which the likeliest tags of the whole chain are surely outside.
 
-    Tokens between runs are outside by definition, so each run is a chain of its own.
+    A secret can be in the best chain only if its tokens gain over outside ones in
+    sum. Each token's gain is at most its best tag's score with the best move to
+    it, so one that is in no span with a positive sum of these is outside.
     """
-    out: list = []
-    places: list[tuple[int, int]] = []
-    at = 0
-    while m := _QUESTION.search(text, at):
-        start = m.start()
-        while start and not _SPACE(text[start - 1]):
-            start -= 1
-        end = _TOKEN.match(text, start).end()
-        places.append((start, end))
+    gain = (move + _FORBIDDEN - move[O, O]).ravel()[:-1].max()
+    sums = np.concatenate([[0.0], np.cumsum(emitted[:, :O].max(axis=1) - emitted[:, O] + gain)])
+    best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], best + max(0.0, gain) >= -1e-6, [0]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def places_of(tokens: list[str]) -> list[tuple[int, int]]:
+    """Start, without the white space, and end of each token."""
+    out, at = [], 0
+    for t in tokens:
+        end = at + len(t)
+        out.append((end - len(t.lstrip(_WHITE)), end))
         at = end
-    k = 0
-    while k < len(places):
-        last = k
-        while last + 1 < len(places) and not text[places[last][1] : places[last + 1][0]].strip(" \t\n\r\x0b\x0c"):
-            last += 1
-        near = [*_before(text, places[k][0], 2), *places[k : last + 1], *_after(text, places[last][1])]
-        first = len(_before(text, places[k][0], 2))
-        out.append(([text[a:b] for a, b in near], near, first, first + last - k + 1))
-        k = last + 1
-    return out
-
-
-def _SPACE(c: str) -> bool:
-    return c == " " or "\x09" <= c <= "\x0d"
-
-
-def _before(text: str, at: int, n: int) -> list[tuple[int, int]]:
-    """The ``n`` tokens before a place, or as many as there are."""
-    out: list[tuple[int, int]] = []
-    while len(out) < n:
-        while at and _SPACE(text[at - 1]):
-            at -= 1
-        end = at
-        while at and not _SPACE(text[at - 1]):
-            at -= 1
-        if at == end:
-            break
-        out.append((at, end))
-    return out[::-1]
-
-
-def _after(text: str, at: int) -> list[tuple[int, int]]:
-    m = _TOKEN.search(text, at)
-    return [m.span()] if m else []
-
-
-def examples(text: str, spans: list[Span]) -> list[tuple[list[list[int]], list[int]]]:
-    """Feature columns and tags of each run of a text whose secrets are ``spans``."""
-    file, out = file_features(text), []
-    for tokens, places, first, end in runs(text):
-        tags = []
-        for a, b in places[first:end]:
-            hit = next((s for s in spans if s[0] < b and a < s[1]), None)
-            tags.append(O if hit is None else I if tags and tags[-1] != O and hit[0] < places[first + len(tags)][0] else B)
-        out.append(([token_features(tokens, i, file) for i in range(first, end)], tags))
     return out
 
 
-def field_spans(text: str, model: Field, known: list[Span]) -> list[Span]:
-    """Secrets that the field finds apart from ``known``: from the first to the last character of their tokens' cores."""
-    found: list[Span] = []
-    file = None
-    for tokens, places, first, end in runs(text):
-        file = file or file_features(text)
-        tags = viterbi(model.scores([token_features(tokens, i, file) for i in range(first, end)]), model.move)
+def tags_of(places: list[tuple[int, int]], spans: list[Span]) -> list[int]:
+    tags, last = [], None
+    for a, b in places:
+        hit = next((s for s in spans if s[0] < b and a < s[1]), None)
+        tags.append(O if hit is None else I if hit is last else B)
+        last = hit
+    return tags
+
+
+def examples(text: str, spans: list[Span], about: int = 8, plain: int = 4, width: int = 24) -> list[tuple[list[list[int]], list[int]]]:
+    """Feature columns and tags of a text whose secrets are ``spans``: of windows about each and of ``plain`` others without, all of it where it is short."""
+    tokens = tokens_of(text)
+    tags = tags_of(places_of(tokens), sorted(spans))
+    n, file, padded = len(tokens), file_features(text), [*_START, *tokens, *_END]
+    windows: list[tuple[int, int]] = [(0, n)] if 0 < n <= 2 * width else []
+    if n > 2 * width:
+        inside = [i for i, t in enumerate(tags) if t != O]
+        for i in inside:
+            if windows and i - about <= windows[-1][1]:
+                windows[-1] = (windows[-1][0], min(n, i + 1 + about))
+            else:
+                windows.append((max(0, i - about), min(n, i + 1 + about)))
+        for k in range(plain):
+            a = k * (n - width) // plain
+            if all(t == O for t in tags[a : a + width]):
+                windows.append((a, a + width))
+    return [([token_features(padded, i + 3, file) for i in range(a, b)], tags[a:b]) for a, b in windows]
+
+
+_CUES = ("pwd: ", "pwd = ", "passphrase is ", "passphrase: ", "Bearer ", "my password is ", "login with ", "credential: ", "Authorization: Basic ", "private key:\n", "pin code ", "auth ")
+
+
+def planted(text: str, seed: int, length: int = 160) -> tuple[str, list[Span]]:
+    """The beginning of a text with a secret after a cue, of one token or several, or in one case of four an ordinary word after a cue."""
+    rng, words = random.Random(seed), [w for w in text[: 4 * length].split() if w.isalpha() and w.isascii()] or ["word"]
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    small, mixed = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    joined = lambda: "".join(rng.choice(words).lower() for _ in range(4))[: rng.randint(12, 22)]
+    kinds = (
+        joined, joined, lambda: some(small, rng.randint(12, 24)), lambda: some(mixed, rng.randint(14, 30)), lambda: some(mixed + "0123456789", rng.randint(12, 40)),
+        lambda: "\n".join(some(mixed + "0123456789+/", 32) for _ in range(rng.randint(2, 4))), lambda: rng.choice(" -").join(some("0123456789abcdef", 8) for _ in range(rng.randint(2, 5))),
+        lambda: rng.choice("._/+-").join(some(mixed + "0123456789", rng.randint(6, 14)) for _ in range(rng.randint(2, 4))),
+    )
+    value, plain = rng.choice(kinds)(), rng.random() < 0.25
+    value = rng.choice(words)[:10] if plain else value
+    at = text.rfind(" ", 0, rng.randint(1, length)) + 1
+    head = text[:at] + rng.choice(_CUES)
+    tail = text[at : at + length]
+    return f"{head}{value} {tail}", [] if plain else [(len(head), len(head) + len(value), "planted")]
+
+
+def field_spans(text: str, model: Field | Scorer, known: list[Span]) -> list[Span]:
+    """Secrets that the field finds apart from ``known``, by the likeliest tags of all tokens of the text."""
+    scorer = model if isinstance(model, Scorer) else Scorer(model)
+    tokens, found = tokens_of(text), []
+    if not tokens:
+        return found
+    emitted, move = scorer(tokens, file_features(text)), scorer.model.move
+    ends = None
+    for first, end in stretches(emitted, move):
+        tags = viterbi(emitted[first:end], move)
         k = 0
         while k < len(tags):
             if tags[k] == O:
@@ -247,20 +314,20 @@ def field_spans(text: str, model: Field, known: list[Span]) -> list[Span]:
             last = k
             while last + 1 < len(tags) and tags[last + 1] == I:
                 last += 1
-            a, b = places[first + k][0], places[first + last][1]
-            cores = list(_CORE.finditer(text, a, b))
-            a, b = (cores[0].start(), cores[-1].end()) if cores else (a, b)
+            ends = ends if ends is not None else np.cumsum([len(t) for t in tokens]).tolist()
+            a, b = ends[first + k] - len(tokens[first + k].lstrip(_WHITE)), ends[first + last]
             if not any(s[0] < b and a < s[1] for s in known):
                 found.append((a, b, "field"))
             k = last + 1
     return found
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_texts: int = 2_000, longest: int = 40) -> Field | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_texts: int = 2_000, longest: int = 120) -> Field | None:
     """Fit on the patterns' matches in at most ``most_texts`` texts that have some and as many others, those whose hash is lowest.
 
-    From the texts only their runs of up to ``longest`` tokens in question reach
-    the driver. None where no text has a match.
+    Each text also gives one example with a planted secret, of one token or more.
+    From the texts only windows of up to ``longest`` tokens reach the driver.
+    None where no text has a match.
     """
     likely = F.col("_text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     texts = docs.select(F.col(text_col).alias("_text")).where(F.col("_text").rlike("[0-9=]")).withColumn("_likely", likely).withColumn("_h", F.xxhash64("_text"))
@@ -271,13 +338,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(h, [x for r in rs for x in r], tags) for h, text in zip(b["_h"], b["_text"]) for rs, tags in examples(text, value_spans(text)) if len(tags) <= longest]
+            rows = [(h, [x for r in rs for x in r], tags) for h, text in zip(b["_h"], b["_text"]) for rs, tags in [*examples(text, value_spans(text)), *examples(*planted(text, h))] if len(tags) <= longest]
             yield pd.DataFrame(rows, columns=["h", "columns", "tags"])
 
-    got = sample.mapInPandas(each, "h long, columns array<int>, tags array<int>").withColumn("k", F.xxhash64("columns", "tags")).dropDuplicates(["k"]).orderBy(F.col("k")).limit(20 * most_texts).toPandas()
+    got = sample.mapInPandas(each, "h long, columns array<int>, tags array<int>").withColumn("k", F.xxhash64("columns", "tags")).dropDuplicates(["k"]).orderBy(F.col("k")).limit(3 * most_texts).toPandas()
     if not len(got) or not any((np.asarray(t) != O).any() for t in got["tags"]):
         return None
-    return fit_field([(np.asarray(c).reshape(len(t), -1).tolist(), list(t)) for c, t in zip(got["columns"], got["tags"])])
+    return fit_field([(np.asarray(c, dtype=np.int16).reshape(len(t), -1), list(t)) for c, t in zip(got["columns"], got["tags"])])
 
 
 def scan(docs: DataFrame, model: Field | None, text_col: str = "text") -> DataFrame:
@@ -287,13 +354,17 @@ def scan(docs: DataFrame, model: Field | None, text_col: str = "text") -> DataFr
     ``field``. Null and empty texts have none. Repeated rows get the same result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    #: The task's scorer, once it has one.
+    scorers: list[Scorer] = []
 
     @F.pandas_udf("array<struct<start:long,end:long,kind:string>>")
     def find(texts: pd.Series) -> pd.Series:
         out = []
+        if shared.value is not None and not scorers:
+            scorers.append(Scorer(shared.value))
         for text in texts:
             known = base_spans(text) if text else []
-            more = field_spans(text, shared.value, known) if text and shared.value is not None else []
+            more = field_spans(text, scorers[0], known) if text and shared.value is not None else []
             out.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted([*known, *more], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))])
         return pd.Series(out, dtype=object)
 
