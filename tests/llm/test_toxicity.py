@@ -73,3 +73,19 @@ def test_no_labels_and_empty_table(spark):
     assert tox.train(docs, none) is None
     assert tox.score(docs, None).first().toxic is False
     assert tox.train(docs.limit(0), none) is None and tox.score(docs.limit(0), None).count() == 0
+
+
+def test_partitions_that_end_on_a_flush_or_have_no_rows(spark):
+    rows, labels = corpus(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, cut = (tox.train(docs, marks, least_ratio=3.0, flush_at=n) for n in (100_000, 0))
+    assert whole.weights and whole == cut
+
+
+def test_clashing_columns_come_back_whole(spark):
+    docs = spark.createDataFrame([(1, "a fiend", "keep", True)], "doc_id long, text string, grade string, _judged boolean")
+    model = tox.OrdinalModel({"=fiend": 0.1}, (2.0, 3.0))
+    assert tox.clean_rows(docs, model).collect() == docs.collect()
+    assert tox.clean_rows(docs, tox.OrdinalModel({"=fiend": 9.0}, (2.0, 3.0))).count() == 0
+    assert tox.score(docs, model).columns == ["doc_id", "text", "grade", "_judged", "expected_severity", "toxic"]

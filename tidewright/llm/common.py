@@ -43,6 +43,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or it with as many underscores before it as no column of ``taken`` has; case does not tell columns apart."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case and nothing else. ``lower`` does the same where no other letters occur, and faster."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))

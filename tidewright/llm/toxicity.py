@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, stash
+from tidewright.llm.common import bounded_batches, free_name, stash
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,15 +69,17 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, k: int, n_gra
     return at[:k], at[k] + np.concatenate([[0], np.cumsum(np.exp(at[k + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_features: int = 2_000, least_docs: int = 5, least_ratio: float = 24.0) -> OrdinalModel | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_features: int = 2_000, least_docs: int = 5, least_ratio: float = 24.0, flush_at: int = 100_000) -> OrdinalModel | None:
     """Fit on at most ``most_rows`` labelled rows: those whose id hashes lowest.
 
-    The labels are 0 and 1. Toxic rows get grade 1, 2 or 3 by how many marker
-    words they hold (thirds of the training rows), clean rows grade 0. Features
-    are those that occur in at least ``least_docs`` rows and in toxic ones so
-    often that the log-likelihood ratio is ``least_ratio`` or more: few of a
-    million features get there by chance. Equal texts count once. None where no
-    label or no feature is of use.
+    The labels are 0 and 1. Clean rows get grade 0, toxic rows grade 1, 2 or 3
+    by how many marker words they hold (thirds of the training rows); the marker
+    words of a row are told from the other half of the rows alone, so that no row
+    has a part in its own grade. Features are those that occur in at least
+    ``least_docs`` rows and in toxic ones so often that the log-likelihood ratio
+    is ``least_ratio`` or more: few of a million features get there by chance.
+    Equal texts count once. None where no label or no feature is of use. A task
+    hands on its counts when it holds ``flush_at`` features.
     """
     bounded_batches(docs.sparkSession)
     sample = (
@@ -89,45 +91,55 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     # most_rows ids and labels, 16 bytes each, are small by that bound.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y").dropDuplicates(["_text"])
-    texts = stash(texts)
+    texts = stash(texts.withColumn("_half", F.pmod(F.xxhash64("_text"), F.lit(2)).cast("int")))
+    kinds = ["clean0", "toxic0", "clean1", "toxic1"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = {0: Counter(), 1: Counter()}
+        seen = [Counter() for _ in kinds]
 
         def told() -> pd.DataFrame:
-            names = list(seen[0].keys() | seen[1].keys())
-            return pd.DataFrame({"f": names, "clean": [seen[0][x] for x in names], "toxic": [seen[1][x] for x in names]}).astype({"clean": "int64", "toxic": "int64"})
+            names = list(set().union(*seen))
+            return pd.DataFrame({"f": pd.Series(names, dtype=object)} | {k: np.array([c[x] for x in names], dtype=np.int64) for k, c in zip(kinds, seen)})
 
         for b in batches:
-            for text, y in zip(b["_text"], b["_y"]):
-                seen[y].update(features(text))
-            if len(seen[0]) + len(seen[1]) > 100_000:
+            for text, y, half in zip(b["_text"], b["_y"], b["_half"]):
+                seen[2 * half + y].update(features(text))
+            if sum(map(len, seen)) > flush_at:
                 yield told()
-                seen = {0: Counter(), 1: Counter()}
-        yield told()
-
-    counts = texts.mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sizes = texts.groupBy("_y").count().collect()
-    n = {r["_y"]: r["count"] for r in sizes}
-    if not n.get(0) or not n.get(1):
+                seen = [Counter() for _ in kinds]
+        # Nothing to tell after a flush at the last batch, or without rows.
+        if any(seen):
+            yield told()
+
+    counts = texts.mapInPandas(count, "f string, " + ", ".join(f"{k} long" for k in kinds)).groupBy("f").agg(*[F.sum(k).alias(k) for k in kinds])
+    sizes = {(r["_half"], r["_y"]): r["count"] for r in texts.groupBy("_half", "_y").count().collect()}
+    n = {y: sizes.get((0, y), 0) + sizes.get((1, y), 0) for y in (0, 1)}
+    if not n[0] or not n[1]:
         return None
-    # Log-likelihood ratio of the feature's rows being toxic more often than the others, against no difference.
-    share = lambda k, total: F.when(k > 0, k * F.log(k / total)).otherwise(0.0)
-    with_f, all_toxic = F.col("clean") + F.col("toxic"), n[1] / (n[0] + n[1])
-    ratio = 2 * (share(F.col("toxic"), with_f * all_toxic) + share(F.col("clean"), with_f * (1 - all_toxic)))
-    marking = (with_f >= least_docs) & (F.col("toxic") / with_f > min(0.5 + all_toxic / 2, 3 * all_toxic)) & (F.col("ratio") >= least_ratio)
-    best = counts.withColumn("ratio", ratio).where(marking).orderBy(F.desc("ratio"), "f").limit(most_features).collect()
+    all_toxic = n[1] / (n[0] + n[1])
+
+    def ratio_of(clean: Column, toxic: Column) -> Column:
+        """Log-likelihood ratio of the feature's rows being toxic more often than the others, against no difference; null for others."""
+        share = lambda k, total: F.when(k > 0, k * F.log(k / total)).otherwise(0.0)
+        both = clean + toxic
+        ratio = 2 * (share(toxic, both * all_toxic) + share(clean, both * (1 - all_toxic)))
+        return F.when((both >= least_docs) & (toxic / both > min(0.5 + all_toxic / 2, 3 * all_toxic)) & (ratio >= least_ratio), ratio)
+
+    halves = [ratio_of(F.col(f"clean{h}"), F.col(f"toxic{h}")) for h in (0, 1)]
+    counts = stash(counts.select("f", ratio_of(F.col("clean0") + F.col("clean1"), F.col("toxic0") + F.col("toxic1")).alias("ratio"), halves[0].alias("ratio0"), halves[1].alias("ratio1")).where("ratio is not null or ratio0 is not null or ratio1 is not null"))
+    best = counts.where("ratio is not null").orderBy(F.desc("ratio"), "f").limit(most_features).collect()
     if not best:
         return None
     place = {r["f"]: i for i, r in enumerate(best)}
+    # The words that the rows of each half are graded by come from the other half.
+    marked = [{r["f"][1:] for r in counts.where(F.col(c).isNotNull() & F.col("f").startswith("=")).orderBy(F.desc(c), "f").limit(most_features).collect()} for c in ("ratio1", "ratio0")]
 
     def ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             hits = [sorted(place[x] for x in features(t) & place.keys()) for t in b["_text"]]
-            marks = [sum(w in marked for w in words) for words in (_WORD.findall((t or "").lower()) for t in b["_text"])]
-            yield pd.DataFrame({"y": b["_y"], "hits": hits, "marks": marks})
+            marks = [sum(w in marked[half] for w in _WORD.findall((t or "").lower())) for t, half in zip(b["_text"], b["_half"])]
+            yield pd.DataFrame({"y": b["_y"], "hits": pd.Series(hits, dtype=object), "marks": np.array(marks, dtype=np.int32)})
 
-    marked = {r["f"][1:] for r in best if r["f"][0] == "="}
     got = texts.mapInPandas(ones, "y int, hits array<int>, marks int").toPandas()  # at most most_rows
     got = got.sort_values(["y", "marks"], kind="stable").reset_index(drop=True)
     toxic = got["y"].to_numpy() == 1
@@ -141,18 +153,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return OrdinalModel({f: float(w[i]) for f, i in place.items()}, tuple(float(x) for x in theta))
 
 
-def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
-    """``docs`` with expected_severity (0 and up), grade (the likeliest) and toxic (at ``cutoff`` or above).
+def judged(docs: DataFrame, model: OrdinalModel | None, out_col: str, text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
+    """``docs`` with a struct ``out_col``: expected_severity (0 and up), grade (the likeliest) and toxic (at ``cutoff`` or above).
 
     Whole texts are read. Null and empty texts have no features. Without a model
-    severity is 0. Repeated rows get the same result; columns of these names
-    that ``docs`` has are replaced.
+    severity is 0. Repeated rows get the same result; an empty table gives an
+    empty one.
     """
     if model is None:
-        return docs.withColumns({"expected_severity": F.lit(0.0), "grade": F.lit(0), "toxic": F.lit(False)})
+        return docs.withColumn(out_col, F.struct(F.lit(0.0).alias("expected_severity"), F.lit(0).alias("grade"), F.lit(False).alias("toxic")))
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("expected_severity double, grade int")
+    @F.pandas_udf("expected_severity double, grade int, toxic boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
         known = shared.value
         whole = {f[1:]: w for f, w in known.weights.items() if f[0] == "="}
@@ -168,8 +181,20 @@ def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", c
                     s += sum(table[p] for p in {w[:n] for w in found} & table.keys())
             scores[i] = s
         p = known.grades(scores)
-        return pd.DataFrame({"expected_severity": p @ np.arange(p.shape[1]), "grade": p.argmax(axis=1).astype(np.int32)})
+        severity = p @ np.arange(p.shape[1])
+        return pd.DataFrame({"expected_severity": severity, "grade": p.argmax(axis=1).astype(np.int32), "toxic": severity >= cutoff})
+
+    return docs.withColumn(out_col, judge(F.col(text_col)))
+
+
+def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
+    """``docs`` with expected_severity, grade and toxic, as ``judged`` gives them; columns of these names that ``docs`` has are replaced."""
+    name = free_name("_judged", docs.columns)
+    rows = judged(docs, model, name, text_col, cutoff)
+    return rows.withColumns({c: F.col(f"{name}.{c}") for c in ("expected_severity", "grade", "toxic")}).drop(name)
+
 
-    judged = docs.withColumn("_judged", judge(F.col(text_col)))
-    out = judged.withColumns({"expected_severity": F.col("_judged.expected_severity"), "grade": F.col("_judged.grade")}).drop("_judged")
-    return out.withColumn("toxic", F.col("expected_severity") >= cutoff)
+def clean_rows(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with their own columns, whatever those are called."""
+    name = free_name("_judged", docs.columns)
+    return judged(docs, model, name, text_col, cutoff).where(~F.col(f"{name}.toxic")).drop(name)
