@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewright.llm import exact_dedup, mixing, ngram_join, sentencepieces, toxicity
 from tidewright.llm.common import shared_dir
@@ -19,7 +18,7 @@ from tidewright.llm.common import shared_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the severity model, trained on the labelled rows of these documents, does not call toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    return toxicity.clean_rows(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
