@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import stash, words
+from tidewright.llm.common import bounded_batches, stash, words
 
 #: The end of a text, a token of its own. No word can be it.
 END = b"\n"
@@ -81,7 +81,9 @@ def count_tokens(docs: DataFrame, text_col: str = "text", most_held: int = 500_0
             if len(seen) > most_held:
                 yield pd.DataFrame({"token": list(seen.keys()), "n": list(seen.values())})
                 seen = Counter()
-        yield pd.DataFrame({"token": list(seen.keys()), "n": list(seen.values())}).astype({"n": "int64"})
+        # Nothing to tell after a flush at the last batch, or without rows.
+        if seen:
+            yield pd.DataFrame({"token": list(seen.keys()), "n": list(seen.values())})
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(each, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
 
@@ -204,41 +206,48 @@ class LogBilinear:
         held = (p1 < len(norm)) & (p2 < len(norm))
         a, b, g = p1[held], p2[held], groups[held]
         out[held] = first[0][a, g] + first[1][b, g] - norm[a, b]
+        # A last column of ones takes the biases into the matrix products.
+        x = np.hstack([self.context(p1, p2), np.ones((len(c), 1), dtype=np.float32)])
+        tops = np.vstack([self.tops.T, self.top_bias])
         rest = np.flatnonzero(~held)
-        for i in range(0, len(rest), 512):
-            at = rest[i : i + 512]
-            logits = self.context(p1[at], p2[at]) @ self.tops.T + self.top_bias
-            out[at] = logits[np.arange(len(at)), groups[at]]
-            out[at] -= _log_sum(logits)
+        for i in range(0, len(rest), 128):
+            at = rest[i : i + 128]
+            logits = x[at] @ tops
+            out[at] = logits[np.arange(len(at)), groups[at]] - _log_sum(logits)
         wide = np.flatnonzero(np.diff(self.starts)[groups] > 1)
         wide = wide[np.argsort(groups[wide], kind="stable")]
         for part in np.split(wide, np.flatnonzero(np.diff(groups[wide])) + 1) if len(wide) else ():
             lo, hi = self.starts[groups[part[0]]], self.starts[groups[part[0]] + 1]
-            step = max(1, 250_000 // int(hi - lo))
+            inner = np.vstack([self.outputs[lo:hi].T, self.bias[lo:hi]])
+            # Blocks of about so many numbers stay in a core's cache.
+            step = max(1, 65_536 // int(hi - lo))
             for i in range(0, len(part), step):
                 at = part[i : i + step]
-                logits = self.context(p1[at], p2[at]) @ self.outputs[lo:hi].T + self.bias[lo:hi]
-                out[at] += logits[np.arange(len(at)), c[at] - lo]
-                out[at] -= _log_sum(logits)
+                logits = x[at] @ inner
+                out[at] += logits[np.arange(len(at)), c[at] - lo] - _log_sum(logits)
         return out
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of each row's exponentials; ``logits`` are overwritten."""
-    top = logits.max(axis=1)
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    return top + np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
-
-
-def _scatter(index: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    return np.stack([np.bincount(index, weights=rows[:, j], minlength=k) for j in range(rows.shape[1])], axis=1).astype(np.float32)
+    """The logarithm of the sum of each row's exponentials; rows that leave the range of floats are shifted first."""
+    ones = np.ones(logits.shape[1], dtype=logits.dtype)
+    with np.errstate(over="ignore"):
+        sums = np.exp(logits) @ ones
+    if not (sums > 1e-30).all() or not (sums < 1e30).all():
+        top = logits.max(axis=1)
+        return top + np.log(np.exp(logits - top[:, None]) @ ones)
+    return np.log(sums)
 
 
 def _sigma(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
 class Trainer:
     """Noise-contrastive estimation by Adagrad in both levels; a minibatch shares its noise groups, and in each group its noise classes.
 
@@ -259,76 +268,103 @@ class Trainer:
         self.squares_rows = [np.full_like(x, squares_rows) for x in (model.inputs, model.outputs, model.bias)]
         self.touched = np.zeros(len(model.bias), dtype=np.int64)
 
-    def _change(self, i: int, value: np.ndarray, index: np.ndarray, grad: np.ndarray) -> None:
-        """Adagrad on the rows ``index`` (repeating) of a class parameter."""
-        rows, inverse, times = np.unique(index, return_inverse=True, return_counts=True)
-        sums = _scatter(inverse, grad.reshape(len(grad), -1), len(rows)).reshape(len(rows), *value.shape[1:])
-        squares = self.squares_rows[i]
-        squares[rows] += sums * sums
-        value[rows] -= self.rate_rows * sums / np.sqrt(squares[rows])
-        self.touched[rows] += times
+    def _change(self, index: np.ndarray, times: np.ndarray, *grads: tuple[int, np.ndarray, np.ndarray]) -> None:
+        """Adagrad on the rows ``index`` (repeating) of class parameters: each with its number, values and gradients."""
+        order = np.argsort(index)
+        starts = _runs(index[order])
+        rows = index[order[starts]]
+        for i, value, grad in grads:
+            sums = np.add.reduceat(grad[order], starts, axis=0)
+            squares = self.squares_rows[i][rows] + sums * sums
+            self.squares_rows[i][rows] = squares
+            value[rows] -= self.rate_rows * sums / np.sqrt(squares)
+            self.touched[rows] += np.add.reduceat(times[order], starts)
 
     def step(self, p1: np.ndarray, p2: np.ndarray, c: np.ndarray) -> None:
+        # In the order of classes, the tokens of a class and of a group lie together.
+        order = np.argsort(c)
+        p1, p2, c = p1[order], p2[order], c[order]
         m, n, groups = self.m, len(c), self.group_of[c]
         r1, r2 = m.inputs[p1], m.inputs[p2]
         x = r1 * m.positions[0] + r2 * m.positions[1]
         drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.noise)), len(m.top_bias) - 1)
+        starts = _runs(groups)
+        here, sizes = groups[starts], np.diff(np.append(starts, n))
         good, bad = m.tops[groups], m.tops[drawn]
         g = (_sigma(np.einsum("ij,ij->i", x, good) + m.top_bias[groups] - self.log_kq[groups]) - 1).astype(np.float32)
-        h = _sigma(x @ bad.T + m.top_bias[drawn] - self.log_kq[drawn]).astype(np.float32)
+        h = _sigma(x @ bad.T + (m.top_bias[drawn] - self.log_kq[drawn]))
         dx = g[:, None] * good + h @ bad
-        d_tops = _scatter(groups, g[:, None] * x, len(m.top_bias))
+        d_tops, d_bias = np.zeros_like(m.tops), np.zeros_like(m.top_bias)
+        d_tops[here], d_bias[here] = np.add.reduceat(g[:, None] * x, starts, axis=0), np.add.reduceat(g, starts)
         np.add.at(d_tops, drawn, h.T @ x)
-        d_bias = np.bincount(groups, weights=g, minlength=len(m.top_bias)).astype(np.float32)
         np.add.at(d_bias, drawn, h.sum(axis=0))
-        at = np.flatnonzero(self.wide_of[groups] >= 0)
-        if len(at):
-            dx[at] += self._within(x[at], c[at], groups[at])
+        wide = self.wide_of[here] >= 0
+        if wide.any():
+            self._within(x, c, dx, here[wide], starts[wide], sizes[wide])
         d_pos = np.stack([np.einsum("ij,ij->j", dx, r1), np.einsum("ij,ij->j", dx, r2)])
         for value, grad, squares in zip((m.tops, m.top_bias, m.positions), (d_tops, d_bias, d_pos), self.squares):
             grad = grad / n
             squares += grad * grad
             value -= self.rate * grad / np.sqrt(squares)
-        self._change(0, m.inputs, np.concatenate([p1, p2]), np.concatenate([dx * m.positions[0], dx * m.positions[1]]))
+        self._change(np.concatenate([p1, p2]), np.ones(2 * n, dtype=np.int64), (0, m.inputs, np.concatenate([dx * m.positions[0], dx * m.positions[1]])))
         self.seen += n
 
-    def _within(self, x: np.ndarray, c: np.ndarray, groups: np.ndarray) -> np.ndarray:
-        """The second level: changes the classes' outputs, gives the gradient by ``x``."""
+    def _within(self, x: np.ndarray, c: np.ndarray, dx: np.ndarray, here: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """The second level for the groups ``here``, whose tokens lie together: changes the classes' outputs and adds to the gradient by ``x``."""
         m, k = self.m, self.within
-        here, w = np.unique(self.wide_of[groups], return_inverse=True)
-        lo, hi = m.starts[self.wide[here]], m.starts[self.wide[here] + 1]
+        lo, hi = m.starts[here], m.starts[here + 1]
         u = self.below[lo][:, None] + self.rng.random((len(here), k)) * (self.below[hi] - self.below[lo])[:, None]
         drawn = np.clip(np.searchsorted(self.below, u, side="right") - 1, lo[:, None], hi[:, None] - 1)
+        ends = np.cumsum(sizes)
+        spans = list(zip((ends - sizes).tolist(), ends.tolist()))
+        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
+        x, c = x[at], c[at]
         good, bad = m.outputs[c], m.outputs[drawn]
         g = (_sigma(np.einsum("ij,ij->i", x, good) + m.bias[c] - self.log_kw[c]) - 1).astype(np.float32)
-        h = _sigma(np.einsum("ij,ikj->ik", x, bad[w]) + (m.bias[drawn] - self.log_kw[drawn])[w]).astype(np.float32)
-        dx = g[:, None] * good + np.einsum("ik,ikj->ij", h, bad[w])
-        order = np.argsort(w, kind="stable")
-        edges = np.searchsorted(w[order], np.arange(len(here)))
-        d_bad = np.add.reduceat(h[order][:, :, None] * x[order][:, None, :], edges, axis=0)
-        index = np.concatenate([c, drawn.ravel()])
-        self._change(1, m.outputs, index, np.concatenate([g[:, None] * x, d_bad.reshape(-1, x.shape[1])]))
-        self._change(2, m.bias, index, np.concatenate([g, np.add.reduceat(h[order], edges, axis=0).ravel()]))
-        return dx
+        h = np.repeat(m.bias[drawn] - self.log_kw[drawn], sizes, axis=0)
+        for i, (a, b) in enumerate(spans):
+            h[a:b] += x[a:b] @ bad[i].T
+        h = _sigma(h)
+        more, d_bad = g[:, None] * good, np.empty_like(bad)
+        for i, (a, b) in enumerate(spans):
+            more[a:b] += h[a:b] @ bad[i]
+            np.matmul(h[a:b].T, x[a:b], out=d_bad[i])
+        dx[at] += more
+        runs = _runs(c)
+        index = np.concatenate([c[runs], drawn.ravel()])
+        times = np.concatenate([np.diff(np.append(runs, len(c))), np.ones(drawn.size, dtype=np.int64)])
+        d_out = np.concatenate([np.add.reduceat(g[:, None] * x, runs, axis=0), d_bad.reshape(-1, x.shape[1])])
+        d_bias = np.concatenate([np.add.reduceat(g, runs), np.add.reduceat(h, ends - sizes, axis=0).ravel()])
+        self._change(index, times, (1, m.outputs, d_out), (2, m.bias, d_bias))
+
+
+class Codes(dict):
+    """Tokens of the head by rank; others get the head's size and their shape. ``most`` bounds how many others are kept."""
+
+    def __init__(self, rank: dict[bytes, int], most: int = 200_000) -> None:
+        super().__init__(rank)
+        self.head, self.most = len(rank), len(rank) + most
+
+    def __missing__(self, token: bytes) -> int:
+        code = self.head + shape(token)
+        if len(self) < self.most:
+            self[token] = code
+        return code
 
 
 class Coder:
     """Tokens of texts as ranks and classes."""
 
     def __init__(self, vocab: Vocabulary) -> None:
-        self.get, self.own = vocab.rank.get, vocab.own
-        self.class_of = vocab.class_of_rank()
-        end = vocab.rank.get(END, -1)
-        self.end = int(self.class_of[end]) if end >= 0 else vocab.own + shape(END)
+        self.codes = Codes(vocab.rank)
+        self.class_of = np.concatenate([vocab.class_of_rank(), vocab.own + np.arange(SHAPES)])
+        self.end = int(self.class_of[self.codes[END]])
 
     def __call__(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Tokens, ranks (-1 beyond the head) and classes."""
         found = [*words(text), END]
-        get = self.get
-        ranks = np.array([get(w, -1) for w in found], dtype=np.int64)
-        classes = self.class_of[ranks] if len(self.class_of) else np.zeros(len(ranks), dtype=np.int64)
-        for i in np.flatnonzero(ranks < 0):
-            classes[i] = self.own + shape(found[i])
-        return found, ranks, classes
+        codes = np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found))
+        return found, np.where(codes < self.codes.head, codes, -1), self.class_of[codes]
 
     def together(self, texts: Iterator[tuple[int, pa.Scalar]], most: int = 65_536) -> Iterator[list[tuple[int, list[bytes], np.ndarray, np.ndarray]]]:
         """Number and tokens of texts, in lists of texts of about ``most`` tokens."""
@@ -433,8 +469,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     Counts of the ``head`` most frequent tokens, a bounded number, go to every
     task. Of other tokens a text sends each distinct one once, to be joined with
     the counts; none of these is frequent, so no key is hot. Repeated rows get
-    a result each. Without training rows every count is 0.
+    a result each. Without training rows every count is 0. An empty table gives
+    an empty result; other columns are not read, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     counts = stash(count_tokens(base.where("not held")))
     vocab = vocabulary(counts, head, own)
