@@ -15,9 +15,9 @@ def sets(text, n):
 
 
 def brute(rows, n, num, den):
-    """(id, size, smallest id reachable) for each row."""
+    """(id, size, smallest id reachable, number of rows linked) for each row."""
     s = [sets(t, n) for _, t in rows]
-    label = list(range(len(rows)))
+    label, n_links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while label[i] != i:
@@ -28,11 +28,13 @@ def brute(rows, n, num, den):
         for j in range(i):
             if s[i] and s[j] and den * len(s[i] & s[j]) >= num * len(s[i] | s[j]):
                 label[find(i)] = find(j)
+                n_links[i] += 1
+                n_links[j] += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    return sorted(((d, len(s[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
+    return sorted(((d, len(s[i]), least.get(find(i)), n_links[i]) for i, (d, _) in enumerate(rows)), key=str)
 
 
 def families(seed=0, n=12):
@@ -81,12 +83,38 @@ def test_tree_bounds_lose_no_pair():
     assert want <= got and len(got) < len(many) ** 2 / 8
 
 
+def test_common_sizes_by_products_and_one_by_one():
+    rng = np.random.default_rng(2)
+    a = [np.unique(rng.integers(0, 300, int(rng.integers(1, 200))).astype(np.uint64)) for _ in range(30)]
+    b = [np.unique(rng.integers(0, 300, int(rng.integers(1, 200))).astype(np.uint64)) for _ in range(20)] + [np.array([2**63], dtype=np.uint64)]
+    p, q = (x.ravel() for x in np.mgrid[:30, :21])
+    want = [len(np.intersect1d(a[i], b[j])) for i, j in zip(p, q)]
+    assert nj.common_sizes(a, b, p, q, few=0, width=50).tolist() == want == nj.common_sizes(a, b, p, q, few=10_000).tolist()
+
+
+def test_sets_with_many_empty_parts_share_keys_only_where_they_link():
+    spaces, rng = nj.Spaces(90, 100), np.random.default_rng(3)
+    # All elements in few of the first hash's parts: strangers, and for each a near copy.
+    few = [np.unique((rng.integers(0, 3, 100, dtype=np.uint64) << np.uint64(62)) + rng.integers(0, 2**40, 100, dtype=np.uint64)) for _ in range(40)]
+    keys = [set(spaces.keys(s).tolist()) for s in few]
+    assert not any(keys[i] & keys[j] for i in range(40) for j in range(i))
+    for s, k in zip(few, keys):
+        near = np.unique(np.concatenate([s[2:], rng.integers(0, 2**64, 2, dtype=np.uint64)]))
+        assert k & set(spaces.keys(near).tolist())
+
+
+def test_near_dedup_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in families(7)], "doc_id long, text string, _lost long, _lost_hash string")
+    got = nj.near_dedup(docs)
+    assert got.columns == docs.columns and all(r._lost == r.doc_id and r._lost_hash == "x" for r in got.collect())
+
+
 def test_near_dedup_keeps_one_of_each_component(spark):
     rows = families(7)
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
     got = nj.near_dedup(docs)
     assert got.columns == docs.columns
-    assert {r.doc_id for r in got.collect()} == {d for d, _, c in brute(rows, 5, 80, 100) if d == c}
+    assert {r.doc_id for r in got.collect()} == {d for d, _, c, _ in brute(rows, 5, 80, 100) if d == c}
 
 
 def test_empty_table(spark):

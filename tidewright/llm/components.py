@@ -55,25 +55,3 @@ def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if (new == label).all():
             return label
         label = new
-
-
-class Forest:
-    """Union-find over 0..n-1 within a task."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
-
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return int(i)
-
-    def join(self, i: int, j: int) -> bool:
-        """Whether the two were apart."""
-        a, b = self.find(i), self.find(j)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True

@@ -13,8 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, if_small, stash, words
-from tidewright.llm.components import Forest, components
+from tidewright.llm.common import bounded_batches, free_name, if_small, stash, words
+from tidewright.llm.components import components, connected
 
 _U = np.uint64
 _ODD = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -50,7 +50,7 @@ class Spaces:
 
     Two sets that link differ in at most d elements, where d follows from the sizes.
     Split into d + 1 parts by hash, they agree in one part at least; ``spare``
-    more parts make it one part that is not empty, unless a set has more empty
+    more parts make it one part that is not empty, unless both have more empty
     parts than that. A set is split as its own size class asks and, where it
     can link with sets of the next class, as that one asks.
     """
@@ -81,20 +81,31 @@ class Spaces:
         return [j, j + 1] if n * self.den >= self.num * self.get(j + 1)[0] else [j]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """One key for each part that counts: equal parts of the same class have equal keys."""
+        """One key for each part that counts: equal parts of the same class have equal keys.
+
+        Two sets that agree in empty parts only have more than ``spare`` of them
+        both. So a set with that many is split by another hash as well, and by a
+        third and a fourth if it has as many again. Only a set that has them under all four,
+        which chance does not make, sends keys for its empty parts.
+        """
         out = []
         for j in self.of(len(s)):
             _, k, spare = self.get(j)
             if k == 1:
                 continue
-            part = ((s >> _U(32)) * _U(k)) >> _U(32)
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sums, names = np.add.reduceat(s, starts), part[starts]
-            if k - len(starts) > spare:
-                full = np.zeros(k, dtype=_U)
-                full[names.astype(np.int64)] = sums
-                sums, names = full, np.arange(k, dtype=_U)
-            out.append(mixed(sums ^ mixed(names + _U(j << 32) + _ODD[0])))
+            for t in range(4):
+                x = s if t == 0 else np.sort(mixed(s + _ODD[t]))
+                part = ((x >> _U(32)) * _U(k)) >> _U(32)
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                sums, names = np.add.reduceat(x, starts), part[starts]
+                odd = k - len(starts) > spare
+                if odd and t == 3:
+                    full = np.zeros(k, dtype=_U)
+                    full[names.astype(np.int64)] = sums
+                    sums, names = full, np.arange(k, dtype=_U)
+                out.append(mixed(sums ^ mixed(names + _U(j << 32) + _U(t << 60) + _ODD[0])))
+                if not odd:
+                    break
         return np.concatenate(out) if out else np.zeros(0, dtype=_U)
 
 
@@ -196,36 +207,60 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(x) + len(y) - common)
 
 
-def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect whatever all links connect; right sets are numbered after the left ones, and None means the left ones among themselves.
+def common_sizes(left: list[np.ndarray], right: list[np.ndarray], p: np.ndarray, q: np.ndarray, few: int = 64, width: int = 4096) -> np.ndarray:
+    """How many elements left set p[i] and right set q[i] share, exactly.
 
-    Pairs that earlier links connect need no look at their sets.
+    Few pairs are looked at one by one. Many come out of products of 0/1 matrices
+    over the elements that both sides have, ``width`` of them at a time.
     """
+    if len(p) <= few:
+        return np.array([len(np.intersect1d(left[i], right[j], assume_unique=True)) for i, j in zip(p, q)], dtype=np.int64)
+    flat = [np.concatenate(sets) for sets in (left, right)]
+    both = np.intersect1d(*(np.unique(x) for x in flat), assume_unique=True)
+    out, columns = np.zeros((len(left), len(right)), dtype=np.float32), []
+    for x, sets in zip(flat, (left, right)):
+        at = np.searchsorted(both, x)
+        hit = at < len(both)
+        hit[hit] = both[at[hit]] == x[hit]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
+        order = np.argsort(at[hit], kind="stable")
+        columns.append((at[hit][order], owner[order], len(sets)))
+    for first in range(0, len(both), width):
+        parts = []
+        for at, owner, n in columns:
+            lo, hi = np.searchsorted(at, [first, first + width])
+            m = np.zeros((n, min(width, len(both) - first)), dtype=np.float32)
+            m[owner[lo:hi], at[lo:hi] - first] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out[p, q].astype(np.int64)
+
+
+def links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions that link: of a left set with a right one, or with None of left sets among themselves, each pair once."""
     a = SignatureTree(left)
     b = a if right is None else SignatureTree(right)
     p, q = candidates(a, b, num, den, right is None)
-    offset = 0 if right is None else len(left)
-    sets = left if right is None else left + right
-    forest, out = Forest(len(sets)), []
-    for i, j in zip(p.tolist(), (q + offset).tolist()):
-        if forest.find(i) != forest.find(j) and linked(sets[i], sets[j], num, den):
-            forest.join(i, j)
-            out.append((i, j))
-    return out
+    others = left if right is None else right
+    common = common_sizes(left, others, p, q)
+    sizes = [np.array([len(s) for s in sets], dtype=np.int64) for sets in (left, others)]
+    near = den * common >= num * (sizes[0][p] + sizes[1][q] - common)
+    return p[near], q[near]
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
-    """id, n_shingles, component_id and _hash (xxhash64 of the text) for each row.
+    """id, n_shingles, component_id, n_links and _hash (xxhash64 of the text) for each row.
 
     Rows link where the Jaccard similarity of their sets of ``n``-word shingles is
-    at least ``num / den``; component_id is the smallest id reachable by links.
+    at least ``num / den``; component_id is the smallest id reachable by links, and
+    n_links the number of other rows linked directly.
     From a similarity of 0.9 on no link is lost: every pair that links shares a key
     of ``Spaces``; below that, one of ``Bands`` but for a chance of one in a billion. Sets, not
     rows, are compared: equal ones are one set throughout, known by a 64-bit
     hash. Keys make coarse groups; only their members' texts are read again.
     A group of over ``block`` sets is dealt out as pairs of blocks, so the
-    largest task holds two blocks of sets. Each task gives no more links than it
-    has sets.
+    largest task holds two blocks of sets. Each task gives how many links its sets
+    have and who is connected, not all pairs.
 
     Null and wordless texts have n_shingles 0 and link with nothing. Null ids
     take part; component_id is null where a component has no id. Repeated rows
@@ -288,37 +323,44 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     by_set = stash(by_set.join(coarse, by_set["sid"] == coarse["node"], "left").select("sid", "component", "rows", "row._id", "row._hash"))
     members = by_set.where("component is not null")
     blocks = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    wanted = stash(members.join(blocks, "component").select("sid", "component", "blocks", F.pmod("sid", F.col("blocks").cast("long")).cast("int").alias("own"), F.col("_id").alias("_want"), F.col("_hash").alias("_want_hash")))
+    wanted = stash(members.join(blocks, "component").select("sid", "component", "blocks", "rows", F.pmod("sid", F.col("blocks").cast("long")).cast("int").alias("own"), F.col("_id").alias("_want"), F.col("_hash").alias("_want_hash")))
     texts = rows.join(if_small(wanted), F.col("_id").eqNullSafe(F.col("_want")) & (F.col("_hash") == F.col("_want_hash")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
-            made = pa.array([shingles(t.as_py(), n).tobytes() for t in b.column(4)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], made], names=["component", "sid", "own", "blocks", "set"])
+            made = pa.array([shingles(t.as_py(), n).tobytes() for t in b.column(5)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], made], names=["component", "sid", "own", "blocks", "rows", "set"])
 
-    sets = texts.select("component", "sid", "own", "blocks", "_text").mapInArrow(sets_of, "component long, sid long, own int, blocks int, set binary")
-    cells = sets.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "_y").alias("i"), F.greatest("own", "_y").alias("j"), "sid", "own", "set")
+    sets = texts.select("component", "sid", "own", "blocks", "rows", "_text").mapInArrow(sets_of, "component long, sid long, own int, blocks int, rows long, set binary")
+    cells = sets.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "_y").alias("i"), F.greatest("own", "_y").alias("j"), "sid", "own", "rows", "set")
 
     def link(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.drop_duplicates("sid")
         left, right = cell[cell["own"] == key[1]], cell[cell["own"] != key[1]]
-        out: list[tuple[int, int]] = []
-        if len(left) and (len(right) or key[1] == key[2]):
-            load = lambda part: [np.frombuffer(x, dtype=_U) for x in part["set"]]
-            sids = [*left["sid"], *right["sid"]]
-            out = [(sids[i], sids[j]) for i, j in spanning_links(load(left), load(right) if len(right) else None, num, den)]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    links = cells.groupBy("component", "i", "j").applyInPandas(link, "a long, b long")
-    fine = components(stash(links))
-
-    named = by_set.select("sid", "rows", "_id").join(fine, F.col("sid") == F.col("node"), "left")
-    named = stash(named.where("rows > 1 or node is not null").select("sid", "_id", F.coalesce("component", "sid").alias("root")))
+        if not len(left) or not (len(right) or key[1] == key[2]):
+            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
+        load = lambda part: [np.frombuffer(x, dtype=_U) for x in part["set"]]
+        p, q = links(load(left), load(right) if len(right) else None, num, den)
+        q = q + (len(left) if len(right) else 0)
+        sids, rows = (np.concatenate([left[c], right[c]]).astype(np.int64) for c in ("sid", "rows"))
+        counts = np.zeros(len(sids), dtype=np.int64)
+        np.add.at(counts, p, rows[q])
+        np.add.at(counts, q, rows[p])
+        label = connected(len(sids), p, q)
+        has, tied = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(sids)))
+        return pd.DataFrame({"a": np.concatenate([sids[has], sids[tied]]), "b": np.concatenate([sids[has], sids[label[tied]]]), "n": np.concatenate([counts[has], np.zeros(len(tied), dtype=np.int64)])})
+
+    found = stash(cells.groupBy("component", "i", "j").applyInPandas(link, "a long, b long, n long"))
+    fine = components(found.select("a", "b"))
+    partners = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+
+    named = by_set.select("sid", "rows", "_id").join(fine, F.col("sid") == F.col("node"), "left").drop("node").join(partners, F.col("sid") == F.col("node"), "left")
+    named = stash(named.where("rows > 1 or component is not null").select("sid", "_id", F.coalesce("component", "sid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links")))
     least = named.groupBy("root").agg(F.min("_id").alias("least"))
-    ends = stash(named.join(least, "root").select(F.col("sid").alias("_sid"), "least"))
+    ends = stash(named.join(least, "root").select(F.col("sid").alias("_sid"), "least", "n_links"))
     out = placed.join(ends, (F.col("sid") == F.col("_sid")) & (F.col("n") > 0), "left")
     component = F.when(F.col("_sid").isNull(), F.col("_id")).otherwise(F.col("least"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "_hash")
+    return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_hash")
 
 
 def near_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,7 +370,8 @@ def near_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     that share the id and text of one that stays do so too.
     """
     found = jaccard_components(docs, n, num, den, id_col, text_col)
-    lost = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_lost"), F.col("_hash").alias("_lost_hash")).distinct()
+    lost_id, lost_hash = (free_name(c, docs.columns) for c in ("_lost", "_lost_hash"))
+    lost = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(lost_id), F.col("_hash").alias(lost_hash)).distinct()
     lost = if_small(stash(lost))
-    same = F.col(id_col).eqNullSafe(F.col("_lost")) & (F.xxhash64(text_col) == F.col("_lost_hash"))
+    same = F.col(id_col).eqNullSafe(F.col(lost_id)) & (F.xxhash64(text_col) == F.col(lost_hash))
     return docs.join(lost, same, "left_anti")
