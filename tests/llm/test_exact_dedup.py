@@ -49,3 +49,8 @@ def test_clashing_hashes_are_grouped_by_text(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ed.exact_groups(docs).count() == 0 and ed.exact_dedup(docs).count() == 0
+
+
+def test_clashing_columns_come_back_whole(spark):
+    docs = spark.createDataFrame([(1, "A", "x"), (2, "a", "y"), (3, "b", "z"), (3, "b", "z")], "doc_id long, text string, _hash string")
+    assert sorted(map(tuple, ed.exact_dedup(docs).collect())) == [(1, "A", "x"), (3, "b", "z")]

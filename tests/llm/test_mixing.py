@@ -116,3 +116,34 @@ def test_cut_keeps_what_stands_between():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs)[0].count() == 0 and mixing.mixed(docs).count() == 0
+
+
+def test_shards_follow_their_draws(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string").withColumns({"_held": F.lit("clash"), "_own1": F.lit(1), "_text": F.lit(2)})
+    params = {"block": 32, "shard_slots": 64}
+    out = [r for r in mixing.packed(docs, **params).collect()]
+    rows = mixing.mix(docs, **params)[0].collect()
+    # Every source's slots are all filled, once each, with what the mix takes.
+    assert len({(r.source, r.slot) for r in out}) == len(out) and all(r.n_words == len(r.text.split()) for r in out)
+    taken, words, slots = Counter(), Counter(), Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+    for r in out:
+        words[r.source] += r.n_words
+        slots[r.source] += 1
+    assert words == +taken
+    order = sorted(s for s in slots if s is not None) + [None]
+    draws = mixing.shard_draws(np.array([slots[s] for s in [*order[:-1], None]]), max(1, -(-len(out) // 64)), 11)
+    got = Counter((r.shard, r.source) for r in out)
+    # Sources without slots have no part in a draw, but hold a place in it: compare sums by shard.
+    assert [sum(n for (h, _), n in got.items() if h == i) for i in range(len(draws))] == draws.sum(axis=1).tolist()
+    shares = {s: slots[s] / len(out) for s in order}
+    big = [h for h in range(len(draws)) if draws[h].sum() >= 60]
+    assert big and all(abs(got[(h, s)] / draws[h].sum() - shares[s]) < 0.35 for h in big for s in order)
+    by_row = {(r.doc_id, r["size"]): r.n_shards for r in rows}
+    assert all((n > 0) == (taken_words > 0) for (n, taken_words) in ((r.n_shards, r.taken) for r in rows)) and max(by_row.values()) > 1
+
+
+def test_clashing_columns_come_back_whole(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * 200, "s", "keep", 7) for i in range(20)], "doc_id long, text string, source string, _h1 string, _lists long")
+    assert {(r._h1, r._lists) for r in mixing.mixed(docs).collect()} == {("keep", 7)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import ascii_lower, stash
+from tidewright.llm.common import ascii_lower, free_name, stash
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -58,17 +58,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns.
 
     One row stays for each text, also where ids are null or rows repeat: with
-    the smallest (largest) id, nulls last, and then any of the equal rows.
+    the smallest (largest) id, nulls last, and then any of the equal rows. Null
+    and empty texts are one text. An empty table gives an empty result; columns
+    keep their names and values, whatever they are called.
     """
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     groups = exact_groups(docs, id_col, text_col, keep).where("group_size > 1")
     extra = stash(groups.select(F.col(id_col).alias("_id"), "kept", F.unhex(F.substring("text_sha256", 1, 32)).alias("_hash"), "keep_id"))
     lost = extra.where("not kept and keep_id is not null").select("_id", "_hash").distinct()
     repeated = extra.where("kept or keep_id is null").groupBy("_id", "_hash").agg(F.count("*").alias("_copies")).where("_copies > 1")
-    marked = docs.withColumn("_hash", F.unhex(F.substring(F.sha2(norm, 256), 1, 32)))
-    same = lambda other: (F.col(id_col).eqNullSafe(other["_id"])) & (marked["_hash"] == other["_hash"])
+    name = free_name("_hash", docs.columns)
+    marked = docs.withColumn(name, F.unhex(F.substring(F.sha2(norm, 256), 1, 32)))
+    same = lambda other: (marked[id_col].eqNullSafe(other["_id"])) & (marked[name] == other["_hash"])
     stays = marked.join(lost, same(lost), "left_anti")
     if repeated.isEmpty():
-        return stays.select(*docs.columns)
-    once = stays.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "_hash"])
-    return stays.join(repeated, same(repeated), "left_anti").unionByName(once).select(*docs.columns)
+        return stays.drop(name)
+    once = stays.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, name])
+    return stays.join(repeated, same(repeated), "left_anti").unionByName(once).drop(name)

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewright.llm.common import bounded_batches, row_keys, stash
+from tidewright.llm.common import bounded_batches, free_name, row_keys, stash
 
 #: More sources than this are joined instead of broadcast; a row of the plan has under 100 bytes beside its name.
 MOST_BROADCAST = 50_000
 
 #: Names of the columns that a mix has beside those of the documents, where they give way.
-RESERVED = {"_h1", "_h2", "_s", "_source", "_bucket", "_base", "_inner", "_start", "_blocks", "_at", "_taken", "size", "source_size", "target", "taken"}
+RESERVED = {"_h1", "_h2", "_s", "_source", "_bucket", "_base", "_inner", "_start", "_blocks", "_at", "_taken", "size", "source_size", "target", "taken", "n_shards"}
 
 
 @F.pandas_udf(LongType())
@@ -136,9 +136,11 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
     times its size, no block is taken more often than ``most``, rounded up.
 
     Gives (rows, parts). rows has a row for each of ``docs``: _h1, _h2, its
-    columns but the text and ``RESERVED`` names, size, source_size, target, taken. parts has _h1, _h2,
-    _start, _from, _to, _times: for each row, the ranges of its words that blocks,
-    or what a last slot takes of one, cover and how often each is taken.
+    columns but the text and ``RESERVED`` names, size, source_size, target, taken
+    and n_shards, the number of output shards that take words of it. parts has
+    _h1, _h2, _s, _start, _from, _to, _slots, _times: for each row, the ranges of its
+    words that blocks, or what a last slot takes of one, cover, the slots (slot,
+    shard) that take each, and how many they are.
 
     Null and wordless texts have size 0 and are never taken. Repeated rows count
     as rows of their own. An empty table gives empty results. Positions are
@@ -184,25 +186,29 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
         slot, n, s = (x.to_numpy() for x in (slot, n, s))
         return pd.Series(permuted(slot % n, n, keys(seed, s, slot // n)))
 
-    filled = drawn.repartition("shard").select("_s", "_blocks", "_slots", "_ended", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    filled = drawn.repartition("shard").select("shard", "_s", "_blocks", "_slots", "_ended", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     # A source's last slot may take the first words of its block only.
     words = F.when(F.col("slot") == F.col("_slots") - 1, F.col("_ended")).otherwise(F.lit(block))
-    filled = filled.select(F.col("_s").cast("int").alias("_s"), block_of("slot", "_blocks", "_s").alias("_block"), words.alias("_words"))
-    times = filled.groupBy("_s", "_block").agg(F.count("*").alias("_all"), F.min("_words").alias("_words"))
+    filled = filled.select("shard", "slot", F.col("_s").cast("int").alias("_s"), block_of("slot", "_blocks", "_s").alias("_block"), words.alias("_words"))
+    # A block is in at most ``most`` slots, rounded up; a source's last slot is the last of its block's.
+    taking = F.sort_array(F.collect_list(F.struct("slot", "shard")))
+    times = filled.groupBy("_s", "_block").agg(taking.alias("_all"), F.min("_words").alias("_words"))
     end, b = F.col("_start") + F.col("size"), F.lit(block)
     spread = placed.where("size > 0").select("_h1", "_h2", "_s", "_start", "size", F.explode(F.sequence(F.floor(F.col("_start") / b), F.floor((end - 1) / b))).alias("_block"))
     low, high, split = F.greatest(F.col("_start"), F.col("_block") * b), F.least(end, (F.col("_block") + 1) * b), F.col("_block") * b + F.col("_words")
     ranges = F.array(
-        F.struct((low - F.col("_start")).alias("_from"), (F.least(high, split) - F.col("_start")).alias("_to"), F.col("_all").alias("_times")),
-        F.struct((F.greatest(low, split) - F.col("_start")).alias("_from"), (high - F.col("_start")).alias("_to"), (F.col("_all") - 1).alias("_times")),
+        F.struct((low - F.col("_start")).alias("_from"), (F.least(high, split) - F.col("_start")).alias("_to"), F.col("_all").alias("_slots")),
+        F.struct((F.greatest(low, split) - F.col("_start")).alias("_from"), (high - F.col("_start")).alias("_to"), F.slice("_all", 1, F.size("_all") - 1).alias("_slots")),
     )
-    parts = spread.join(times, ["_s", "_block"]).select("_h1", "_h2", "_s", "_start", F.inline(F.filter(ranges, lambda r: (r["_from"] < r["_to"]) & (r["_times"] > 0))))
-    parts = stash(parts)
-    got = parts.groupBy("_s", "_start").agg(F.sum((F.col("_to") - F.col("_from")) * F.col("_times")).alias("_taken"))
+    parts = spread.join(times, ["_s", "_block"]).select("_h1", "_h2", "_s", "_start", F.inline(F.filter(ranges, lambda r: (r["_from"] < r["_to"]) & (F.size(r["_slots"]) > 0))))
+    parts = stash(parts.withColumn("_times", F.size("_slots").cast("long")))
+    shards = F.size(F.array_distinct(F.flatten(F.collect_list("_slots.shard"))))
+    got = parts.groupBy("_s", "_start").agg(F.sum((F.col("_to") - F.col("_from")) * F.col("_times")).alias("_taken"), shards.cast("long").alias("_n"))
     # Rows without words share the place of the row after them, so they are kept out of the join's key.
     at = F.when(F.col("size") > 0, F.col("_start"))
     out = placed.withColumn("_at", at).join(got.withColumnRenamed("_start", "_at"), ["_s", "_at"], "left")
-    return out.withColumn("taken", F.coalesce("_taken", F.lit(0))).drop("_at", "_taken", "_start", "_s", "_blocks"), parts
+    out = out.withColumns({"taken": F.coalesce("_taken", F.lit(0)), "n_shards": F.coalesce("_n", F.lit(0))})
+    return out.drop("_at", "_taken", "_n", "_start", "_s", "_blocks"), parts
 
 
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -233,13 +239,12 @@ def mixed(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
 
     A row whose words are taken up to n times gives n rows; the first has all
     its taken words, the next those taken twice, and so on. ``length_col``, if it
-    is a column, gets the new text's length. Rows of which nothing is taken go.
+    is a column, gets the new text's length. Rows of which nothing is taken go, and so
+    do null and wordless texts. Columns keep their names, whatever they are called.
     """
     _, parts = mix(docs, text_col, **params)
     lists = parts.groupBy("_h1", "_h2", "_start").agg(F.collect_list(F.struct("_from", "_to", "_times")).alias("_parts"))
     lists = lists.groupBy("_h1", "_h2").agg(F.collect_list("_parts").alias("_lists"))
-    keys = row_keys(docs)
-    whole = docs.withColumns({"_h1": keys[0], "_h2": keys[1]}).dropDuplicates(["_h1", "_h2"]).join(lists, ["_h1", "_h2"])
 
     @F.pandas_udf("array<string>")
     def taken(texts: pd.Series, lists: pd.Series) -> pd.Series:
@@ -250,8 +255,47 @@ def mixed(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
                 bounds = [(p["_from"], p["_to"], p["_times"]) for p in one]
                 got += [cut(text, size, ranges_taken(bounds, t)) for t in range(1, max(p[2] for p in bounds) + 1)]
             out.append(got)
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
-    rows = whole.withColumn("_text", F.explode(taken(F.col(text_col), F.col("_lists"))))
-    new = {text_col: F.col("_text")} | ({length_col: F.length("_text").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
+    whole, name = _with_lists(docs, lists)
+    rows = whole.withColumn(name, F.explode(taken(F.col(text_col), F.col(f"{name}._lists"))))
+    new = {text_col: F.col(name)} | ({length_col: F.length(name).cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
     return rows.withColumns(new).select(*docs.columns)
+
+
+def _with_lists(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, str]:
+    """Each different row of ``docs`` that has a row in ``lists`` (by _h1, _h2), that row as a struct column, and the column's name."""
+    name, mine = free_name("_held", docs.columns), [free_name(c, docs.columns) for c in ("_own1", "_own2")]
+    keyed = docs.withColumns(dict(zip(mine, row_keys(docs)))).dropDuplicates(mine)
+    held = lists.select(F.struct(*lists.columns).alias(name))
+    on = (F.col(mine[0]) == F.col(f"{name}._h1")) & (F.col(mine[1]) == F.col(f"{name}._h2"))
+    return keyed.join(held, on).drop(*mine), name
+
+
+def packed(docs: DataFrame, text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+    """The mix as its output shards: shard, slot, source, n_words and text of each slot, a block of words of one source.
+
+    A shard holds as many slots of each source as its multinomial draw says; write
+    with ``partitionBy("shard")``. Words within a block stand in their order,
+    parts of different rows on lines of their own. Repeated rows lie at places of
+    their own; an empty table gives an empty result.
+    """
+    rows, parts = mix(docs, text_col, **params)
+    slots = parts.select("_h1", "_h2", "_s", F.struct((F.col("_start") + F.col("_from")).alias("at"), "_from", "_to", "_slots").alias("_part"))
+    lists = slots.groupBy("_h1", "_h2").agg(F.first("_s").alias("_s"), F.collect_list("_part").alias("_parts"))
+
+    @F.pandas_udf("array<string>")
+    def cuts(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, lists):
+            spans = [m.span() for m in _RUN.finditer(text)]
+            out.append([text[spans[p["_from"]][0] : spans[p["_to"] - 1][1]] for p in found])
+        return pd.Series(out, dtype=object)
+
+    whole, name = _with_lists(docs, lists)
+    made = whole.select(F.col(source_col).alias("source"), F.col(f"{name}._s").alias("s"), F.col(f"{name}._parts").alias("parts"), cuts(F.col(text_col), F.col(f"{name}._parts")).alias("texts"))
+    each = made.select("source", "s", F.explode(F.arrays_zip("parts", "texts")).alias("p"))
+    each = each.select("source", "s", F.col("p.parts.at").alias("at"), (F.col("p.parts._to") - F.col("p.parts._from")).alias("n"), F.col("p.texts").alias("text"), F.explode("p.parts._slots").alias("to"))
+    # A block has at most as many parts as words, so the lists are short.
+    blocks = each.groupBy(F.col("to.shard").alias("shard"), "s", F.col("to.slot").alias("slot")).agg(F.first("source").alias("source"), F.sum("n").alias("n_words"), F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    return blocks.select("shard", "slot", "source", "n_words", F.array_join("parts.text", "\n").alias("text"))

@@ -30,7 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix(read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,13 +103,15 @@ WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_al
 s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')]
   ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM w),
 n AS (SELECT r, doc_id, len(s) AS n, list_aggregate(list_sort(s), 'string_agg', chr(10)) AS k FROM s),
-g AS (SELECT k, any_value(n) AS n, min(r) AS r FROM n WHERE n > 0 GROUP BY k),
+g AS (SELECT k, any_value(n) AS n, min(r) AS r, count(*) AS rows FROM n WHERE n > 0 GROUP BY k),
 t AS (SELECT g.r, g.n, unnest(s.s) AS x FROM g JOIN s USING (r)),
 e AS (SELECT a.r AS a, b.r AS b FROM t AS a JOIN t AS b USING (x) WHERE a.r <> b.r AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
   GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 c(r, z) AS (SELECT r, r FROM g UNION SELECT c.r, e.b FROM c JOIN e ON c.z = e.a),
-m AS (SELECT c.r, min(n.doc_id) AS component_id FROM c JOIN g ON c.z = g.r JOIN n ON n.k = g.k AND n.n > 0 GROUP BY c.r)
-SELECT n.doc_id, n.n AS n_shingles, coalesce(m.component_id, n.doc_id) AS component_id FROM n LEFT JOIN g ON g.k = n.k AND n.n > 0 LEFT JOIN m ON m.r = g.r""",
+m AS (SELECT c.r, min(n.doc_id) AS component_id FROM c JOIN g ON c.z = g.r JOIN n ON n.k = g.k AND n.n > 0 GROUP BY c.r),
+p AS (SELECT e.a AS r, sum(g.rows) AS others FROM e JOIN g ON e.b = g.r GROUP BY e.a)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.component_id, n.doc_id) AS component_id, CAST(coalesce(p.others, 0) + coalesce(g.rows - 1, 0) AS BIGINT) AS n_links
+FROM n LEFT JOIN g ON g.k = n.k AND n.n > 0 LEFT JOIN m ON m.r = g.r LEFT JOIN p ON p.r = g.r""",
     "op5_url_filter": f"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
