@@ -1,18 +1,19 @@
 """The corpus pipeline: documents without toxic ones, exact and near copies, mixed by source and tokenized.
 
 Each stage takes (spark, docs, sf_dir) and reads all that the stage before it
-kept. All but the last give rows with the columns of ``documents``; the last adds
-the SentencePiece ids and the text that they decode to.
+kept. All but the last give rows with the columns of ``documents``, whatever those
+are called; the last adds the SentencePiece ids and the text that they decode to.
+Null and empty texts are not toxic, are exact copies of one another, link with
+nothing and are left out of the mix, as they have no words. An empty table gives an
+empty one; very long texts are read whole.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import exact_dedup, mixing, ngram_join, sentencepieces, toxicity
-from tidewright.llm.common import shared_dir
+from tidewright.llm.common import stash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each one's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
-        docs = spark.read.parquet(f"{base}/{i}")
+    for _, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir))
     return docs
