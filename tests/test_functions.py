@@ -15,11 +15,23 @@ def test_wrapping_counters(spark):
     assert one(spark, timing.counter_delta(F.lit(2**32 - 5), F.lit(5))) == -10
     assert one(spark, timing.sequence_distance(F.lit(65535), F.lit(2))) == 3
     assert one(spark, timing.signed_mod(F.lit(0.7), 1.0)) == pytest.approx(-0.3)
+    assert one(spark, timing.sequence_distance(F.lit(2), F.lit(65535))) == -3
     rate, turn = 24_000, (1 << 32) * 1_000_000_000 // 24_000
     assert one(spark, timing.unwrapped_near(F.lit(24_000), F.lit(0), F.lit(0), F.lit(turn + 900_000_000), rate)) == turn + 1_000_000_000
 
 
+def test_sample_counters_keep_their_nanoseconds(spark):
+    rate, anchor_ns, anchor = 24_000, 1_700_000_000_123_456_789, 4_000_000_000
+    for samples in (1, 7, 24_001, 2**32 + 5, -3, 5 * 2**32 + 12_345):
+        true = anchor_ns + samples * 1_000_000_000 // rate
+        got = one(spark, timing.unwrapped_near(F.lit((anchor + samples) % 2**32), F.lit(anchor), F.lit(anchor_ns), F.lit(true + 3_000_000_000), rate))
+        assert got == true
+
+
 def test_names_and_units(spark):
+    assert one(spark, timing.channel_mhz(F.lit("SHARED_2 10.5 mhz"))) == 10.5
+    assert one(spark, timing.broadcast_key(F.lit("ALL"), F.lit(0.0))) == "ALL" and one(spark, timing.broadcast_key(F.lit("CHU"), F.lit(3.33))) == "CHU_3.33"
+    assert one(spark, timing.unit_microseconds(F.lit("-1.5e-2s"))) == -15_000 and one(spark, timing.unit_microseconds(F.lit("10us later"))) is None
     assert one(spark, timing.frequency_khz(F.lit(7.85))) == 7850 and one(spark, timing.frequency_khz(F.lit(7850.0))) == 7850
     assert one(spark, timing.channel_mhz(F.lit("WWV_10_MHz"))) == 10.0 and one(spark, timing.channel_mhz(F.lit("CHU 7850"))) == 7.85
     assert one(spark, timing.channel_mhz(F.lit("none"))) is None

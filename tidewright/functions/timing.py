@@ -18,15 +18,24 @@ def counter_delta(later: Column, earlier: Column, bits: int = 32) -> Column:
 
 
 def sequence_distance(start: Column, end: Column, bits: int = 16) -> Column:
-    """Steps forward from one sequence number to another."""
-    return F.pmod(end.cast("long") - start.cast("long"), F.lit(1 << bits))
+    """Steps from one wrapping sequence number to another; a step back is negative."""
+    return counter_delta(end, start, bits)
+
+
+def _whole(a: Column, n: Column) -> Column:
+    """The floor of a / n in whole numbers; the quotient of what ``n`` divides is exact in doubles too."""
+    return ((a - F.pmod(a, n)) / n).cast("long")
 
 
 def unwrapped_near(counter: Column, anchor: Column, anchor_ns: Column, hint_ns: Column, rate: int, bits: int = 32) -> Column:
-    """Nanoseconds of a wrapping sample counter, in the turn that lies nearest to the hint."""
-    turn = (1 << bits) * 1_000_000_000 // rate
-    base = anchor_ns + counter_delta(counter, anchor, bits) * 1_000_000_000 / rate
-    return (base + F.round((hint_ns - base) / turn) * turn).cast("long")
+    """Nanoseconds of a wrapping sample counter, in the turn that lies nearest to the hint; whole numbers throughout."""
+    nano, per_second = F.lit(1_000_000_000).cast("long"), F.lit(rate).cast("long")
+    delta = counter_delta(counter, anchor, bits)
+    apart = hint_ns.cast("long") - anchor_ns.cast("long")
+    turns = F.round((apart / 1e9 * rate - delta) / (1 << bits)).cast("long")
+    samples = delta + turns * F.lit(1 << bits)
+    rest = F.pmod(samples, per_second)
+    return anchor_ns.cast("long") + _whole(samples, per_second) * nano + _whole(rest * nano, per_second)
 
 
 def parsed(text: Column) -> Column:
@@ -55,18 +64,20 @@ def frequency_khz(frequency: Column) -> Column:
 
 
 def broadcast_key(station: Column, frequency_mhz: Column) -> Column:
-    """STATION_f, the frequency with two decimals."""
-    return F.concat_ws("_", station, F.format_string("%.2f", frequency_mhz))
+    """STATION_f, the frequency with two decimals; the station alone where that is 0 or less."""
+    return F.when(frequency_mhz <= 0, station).otherwise(F.concat_ws("_", station, F.format_string("%.2f", frequency_mhz)))
 
 
 def channel_mhz(channel: Column) -> Column:
-    """The number in a channel's name, which counts as kHz from 1000 on; null without one."""
-    number = F.try_to_number(F.nullif(F.regexp_extract(channel, r"(\d+(?:\.\d+)?)", 1), F.lit("")), F.lit("999999999.999999")).cast("double")
-    return F.when(number >= 1000, number / 1000).otherwise(number)
+    """The number before "MHz" in a channel's name, or else the first number; a first number of 1000 or more is in kHz. Null without one."""
+    name = F.replace(channel, F.lit("_"), F.lit(" "))
+    mhz = F.regexp_extract(name, r"(?i)(\d+(?:\.\d+)?)\s*mhz", 1).try_cast("double")
+    number = F.regexp_extract(name, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    return F.coalesce(mhz, F.when(number >= 1000, number / 1000).otherwise(number))
 
 
 def unit_microseconds(text: Column) -> Column:
-    """A number with ns, us, ms or s as microseconds; null where it is none."""
-    value = F.regexp_extract(text, r"([+-]?\d+(?:\.\d+)?)\s*(ns|us|ms|s)\b", 1).try_cast("double")
-    unit = F.regexp_extract(text, r"([+-]?\d+(?:\.\d+)?)\s*(ns|us|ms|s)\b", 2)
+    """A number with ns, us, ms or s, and nothing else, as microseconds; null, not 0, where it is none."""
+    pattern = r"^\s*([+-]?\d+\.?\d*(?:[eE][+-]?\d+)?)\s*(ns|us|ms|s)\s*$"
+    value, unit = F.regexp_extract(text, pattern, 1).try_cast("double"), F.regexp_extract(text, pattern, 2)
     return value * F.when(unit == "ns", 0.001).when(unit == "us", 1.0).when(unit == "ms", 1e3).when(unit == "s", 1e6)

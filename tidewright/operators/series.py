@@ -169,7 +169,8 @@ def halves_shift(rows: DataFrame, keys: list[str], order: list[str], value: str)
 def resampled(rows: DataFrame, keys: list[str], seconds: str, value: str, step: int) -> DataFrame:
     """Values on the grid of whole ``step`` seconds between each key's first and last row, linear between neighbours.
 
-    The grid's points are rows among the others, so one sort gives each its neighbours.
+    The grid's points are rows among the others, so a sort each way gives each its
+    neighbours; both frames grow by a row at a time.
     """
     ends = rows.groupBy(*keys).agg(F.ceil(F.min(seconds) / step).alias("_a"), F.floor(F.max(seconds) / step).alias("_b")).where("_a <= _b")
     points = ends.select(*keys, F.explode(F.sequence("_a", "_b")).alias("_point"))
@@ -178,7 +179,8 @@ def resampled(rows: DataFrame, keys: list[str], seconds: str, value: str, step:
     w = _along(keys, ["at", "_grid"])
     known = F.when(F.col("_grid") == 0, F.struct("at", "v"))
     before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("_grid"))
+    after = F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     both = grid.unionByName(held).withColumns({"_b": before, "_a": after}).where("_grid = 1")
     part = F.coalesce(F.try_divide(F.col("at") - F.col("_b.at"), F.nullif(F.col("_a.at") - F.col("_b.at"), F.lit(0.0))), F.lit(0.0))
     exact = F.col("_b.at") == F.col("at")

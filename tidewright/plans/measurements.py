@@ -411,16 +411,19 @@ def two_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT station, event_id, q AS rank FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY ts DESC, event_id DESC) AS q FROM m) AS x WHERE q <= 20")
 def newest_twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("station").orderBy(F.desc("ts"), F.desc("event_id")))
-    return measurements(spark, sf_dir).withColumn("rank", rank).where("rank <= 20").select("station", "event_id", "rank")
+    """The newest twenty of each day first, so that no task sorts a whole station."""
+    newest = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("event_id")))
+    rows = measurements(spark, sf_dir).select("station", "ts", "event_id").withColumn("day", F.to_date("ts"))
+    few = rows.withColumn("rank", newest("station", "day")).where("rank <= 20")
+    return few.withColumn("rank", newest("station")).where("rank <= 20").select("station", "event_id", "rank")
 
 
-@query("""a AS (SELECT DISTINCT channel FROM m WHERE station = 'view' AND ts < TIMESTAMP '2024-01-03'), b AS (SELECT DISTINCT channel FROM m WHERE station = 'click' AND ts < TIMESTAMP '2024-01-03')
-SELECT 'both' AS side, channel FROM (SELECT * FROM a INTERSECT SELECT * FROM b) AS x UNION ALL SELECT 'first', channel FROM (SELECT * FROM a EXCEPT SELECT * FROM b) AS y UNION ALL SELECT 'second', channel FROM (SELECT * FROM b EXCEPT SELECT * FROM a) AS z""")
+@query("""d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, channel, station FROM m), a AS (SELECT day, channel FROM d WHERE station = 'view'), b AS (SELECT day, channel FROM d WHERE station = 'click')
+SELECT 'both' AS side, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) AS x UNION ALL SELECT 'first', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) AS y UNION ALL SELECT 'second', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a) AS z""")
 def channel_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measurements(spark, sf_dir).where(F.col("ts") < "2024-01-03")
-    a, b = (m.where(F.col("station") == s).select("channel").distinct() for s in ("view", "click"))
-    side = lambda df, name: df.select(F.lit(name).alias("side"), "channel")
+    m = measurements(spark, sf_dir).select("station", F.date_format("ts", "yyyy-MM-dd").alias("day"), "channel")
+    a, b = (m.where(F.col("station") == s).select("day", "channel").distinct() for s in ("view", "click"))
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "day", "channel")
     return side(a.intersect(b), "both").union(side(a.subtract(b), "first")).union(side(b.subtract(a), "second"))
 
 

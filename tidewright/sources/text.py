@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.timing import unit_microseconds
+
 
 def key_values(report: Column, entry: str = "\n", between: str = ":") -> Column:
     """A report of ``name : value`` lines as a map of trimmed strings; lines without the mark are left out."""
@@ -20,6 +22,27 @@ def columns(lines: DataFrame, names: list[str], text: str = "value", comment: st
     return told.select(*[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
 
 
+def time_sources(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Lines of a time daemon's list of sources: mode, state, name, stratum, poll, reach (from octal), last_rx (seconds), offset_us and error_us.
+
+    Heads and lines of another form are left out; a last_rx of ``-`` is null.
+    """
+    pattern = r"^\s*([#^=])([*+\-x~?])\s+(\S+)\s+(\d+)\s+(\d+)\s+([0-7]+)\s+(\S+)\s+([+-]?[\d.]+(?:ns|us|ms|s))\[[^\]]*\]\s+\+/-\s+([\d.]+(?:ns|us|ms|s))\s*$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    age, factor = part(7), F.when(part(7).endswith("m"), 60).when(part(7).endswith("h"), 3600).when(part(7).endswith("d"), 86400).when(part(7).endswith("y"), 365 * 86400).otherwise(1)
+    return lines.where(F.col(text).rlike(pattern)).select(
+        part(1).alias("mode"), part(2).alias("state"), part(3).alias("name"), part(4).cast("int").alias("stratum"), part(5).cast("int").alias("poll"), F.conv(part(6), 8, 10).cast("int").alias("reach"),
+        (F.regexp_extract(age, r"^(\d+)[mhdy]?$", 1).try_cast("long") * factor).alias("last_rx"), unit_microseconds(part(8)).alias("offset_us"), unit_microseconds(part(9)).alias("error_us"),
+    )
+
+
+def source_statistics(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Lines of a time daemon's statistics by source: name, samples, frequency_ppm, skew_ppm, offset_us and deviation_us."""
+    names = ["name", "samples", "runs", "span", "frequency", "skew", "offset", "deviation"]
+    told = columns(lines, names, text).where(F.col("samples").rlike(r"^\d+$"))
+    return told.select("name", F.col("samples").cast("int").alias("samples"), F.col("frequency").try_cast("double").alias("frequency_ppm"), F.col("skew").try_cast("double").alias("skew_ppm"), unit_microseconds(F.col("offset")).alias("offset_us"), unit_microseconds(F.col("deviation")).alias("deviation_us"))
+
+
 #: Fixed value: seconds from 1900 to 1970.
 NTP_EPOCH = 2_208_988_800
 
@@ -44,7 +67,7 @@ def ionex(spark: SparkSession, path: str) -> DataFrame:
     A file is one row of its whole text, as maps depend on the lines before them;
     maps then unfold into rows.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     exponent = F.coalesce(F.nullif(F.regexp_extract("value", r"(?m)^\s*(-?\d+)\s+EXPONENT", 1), F.lit("")).cast("int"), F.lit(-1))
     blocks = F.regexp_extract_all("value", F.lit(r"(?s)START OF TEC MAP(.*?)END OF TEC MAP"), F.lit(1))
     maps = files.select(exponent.alias("e"), F.posexplode(blocks).alias("map", "block"))
@@ -52,8 +75,9 @@ def ionex(spark: SparkSession, path: str) -> DataFrame:
     epoch = F.try_to_timestamp(F.regexp_replace(F.trim(stamp), r"\s+", "-"), F.lit("y-M-d-H-m-s"))
     bands = F.regexp_extract_all("block", F.lit(r"(?s)((?:\s*-?\d+\.\d+){5}\s*LAT/LON1/LON2/DLON/H\s*\n(?:[\s\d-]+\n)+)"), F.lit(1))
     rows = maps.select("map", "e", epoch.alias("epoch"), F.explode(bands).alias("band"))
-    head = F.split(F.trim(F.regexp_replace(F.substring_index("band", "LAT/LON1", 1), r"(\d)-", "$1 -")), r"\s+")
-    values = F.split(F.trim(F.regexp_extract("band", r"(?s)DLON/H[^\n]*\n(.*)$", 1)), r"\s+")
+    # Numbers may run into one another where the second has a sign.
+    head = F.regexp_extract_all(F.substring_index("band", "LAT/LON1", 1), F.lit(r"(-?\d+\.\d+)"), F.lit(1))
+    values = F.regexp_extract_all(F.regexp_extract("band", r"(?s)DLON/H[^\n]*\n(.*)$", 1), F.lit(r"(-?\d+)"), F.lit(1))
     told = rows.select("map", "epoch", "e", head.alias("h"), F.posexplode(values).alias("i", "v"))
     number = F.col("v").cast("int")
     lat, lon = F.col("h")[0].cast("double"), F.col("h")[1].cast("double") + F.col("i") * F.col("h")[3].cast("double")
