@@ -132,3 +132,21 @@ def test_query_on_whole_table(spark, sf_dir):
     for r in rows:
         said = ",".join(f"{k}:{s}:{e}" for s, e, k in brute(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_columns_are_those_of_the_names():
+    for token in ("abc", " Word", "\nDEADBEEF00", " ünïque", "=", '"', "x9" * 30, "a1b2C3", "\t0123456789abcdef", "Ⅷ²", *ss._START, *ss._END):
+        names = [*ss.own_names(token), *(x for part in ss.near_names(token) for x in part)]
+        assert ss.columns_of(token) == [ss._column(x) for x in names] and len(names) == 14
+
+
+def test_scores_of_a_text_are_sums_of_its_features():
+    rng = np.random.default_rng(0)
+    model = ss.Field(rng.normal(size=(ss.COLUMNS, 3)), np.zeros((3, 3)))
+    text = 'The key: "AbC9-x" and\n0123abcd, then ünder.' * 3
+    tokens, file = ss.tokens_of(text), ss.file_features(text)
+    padded = [*ss._START, *tokens, *ss._END]
+    want = [model.emit[ss.token_features(padded, i + 3, file)].sum(axis=0) for i in range(len(tokens))]
+    scorer = ss.Scorer(model, most=5)
+    for _ in range(2):
+        assert np.allclose(scorer(tokens, file), want)

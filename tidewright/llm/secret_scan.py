@@ -8,6 +8,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,29 +62,46 @@ def tokens_of(text: str) -> list[str]:
 
 def shape(token: str) -> str:
     """Runs of capitals, small letters, digits and other characters as A, a, 0 and the character itself, run lengths left out."""
+    if token.isascii() and token.isalpha() and (token.islower() or token.isupper()):
+        return "a" if token.islower() else "A"
     kinds = re.sub("[0-9]+", "0", re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", token)))
     return re.sub(r"[^\x00-\x7F]+", "u", kinds)[:24]
 
 
+@lru_cache(100_000)
+def _entropy(counts: tuple[int, ...]) -> float:
+    n = sum(counts)
+    return -sum(c / n * math.log2(c / n) for c in counts)
+
+
 def _bits(token: str) -> float:
     """Entropy of the characters, in bits."""
-    return -sum((n := token.count(c) / len(token)) * math.log2(n) for c in set(token))
+    return _entropy(tuple(sorted(map(token.count, set(token)))))
 
 
+@lru_cache(100_000)
 def _column(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % COLUMNS
 
 
-def own_names(token: str) -> list[str]:
-    """Features of a token by itself: its shape, length, entropy and alphabet, and the white space before it."""
-    t = token.lstrip(_WHITE)
-    gap = "glued" if len(t) == len(token) else "line" if "\n" in token else "space"
-    length, digits = min(8, len(t) // 4), sum(c.isdigit() for c in t)
-    hexed = not t.strip("0123456789abcdef")
-    kind = shape(t)
+@lru_cache(100_000)
+def _own_names(kind: str, gap: str, length: int, bits: int, hexed: bool, digits: int, upper: bool) -> list[str]:
     # Keys change between letters and digits at random; what counts is which kinds they have.
     kind = kind if len(kind) <= 4 else "mixed " + "".join(sorted(set(kind)))
-    return ["bias", f"shape {kind}", f"length {length}", f"bits {int(_bits(t) * 2)}", f"hex {hexed} {length}", f"digits {digits * 4 // len(t)} {length}", f"gap {gap}", f"gap {gap} {kind}", f"upper {t.isupper()} {length}"]
+    return ["bias", f"shape {kind}", f"length {length}", f"bits {bits}", f"hex {hexed} {length}", f"digits {digits} {length}", f"gap {gap}", f"gap {gap} {kind}", f"upper {upper} {length}"]
+
+
+def _own_of(token: str) -> tuple:
+    """All that the own features of a token depend on."""
+    t = token.lstrip(_WHITE)
+    gap = "glued" if len(t) == len(token) else "line" if "\n" in token else "space"
+    digits = 0 if t.isalpha() else sum(map(str.isdigit, t))
+    return shape(t), gap, min(8, len(t) // 4), int(_bits(t) * 2), not t.strip("0123456789abcdef"), digits * 4 // len(t), t.isupper()
+
+
+def own_names(token: str) -> list[str]:
+    """Features of a token by itself: its shape, length, entropy and alphabet, and the white space before it."""
+    return _own_names(*_own_of(token))
 
 
 def near_names(token: str) -> tuple[list[str], list[str], list[str], list[str]]:
@@ -92,6 +110,23 @@ def near_names(token: str) -> tuple[list[str], list[str], list[str], list[str]]:
     return [f"before {t}", f"before shape {shape(t)}"], [f"second {t}"], [f"third {t}"], [f"after {t}"]
 
 
+@lru_cache(100_000)
+def _own_columns(*of: object) -> list[int]:
+    return [_column(x) for x in _own_names(*of)]
+
+
+#: Checksums go on from where a name's beginning ends.
+_BEGUN = [zlib.crc32(x) for x in (b"before ", b"second ", b"third ", b"after ")]
+
+
+def columns_of(token: str) -> list[int]:
+    """Columns of a token's own names and of those it gives to its neighbours, end to end; the same as by their names."""
+    t = token.strip(_WHITE).lower()[:16]
+    raw = t.encode("utf-8", "replace")
+    before, second, third, after = (zlib.crc32(raw, x) % COLUMNS for x in _BEGUN)
+    return [*_own_columns(*_own_of(token)), before, _column(f"before shape {shape(t)}"), second, third, after]
+
+
 def mark_of(token: str) -> int:
     t = token.strip(_WHITE)
     return 1 if t in "=:" else 2 if t in "\"'" else 3 if t in "+/_.-" else 0
@@ -99,7 +134,7 @@ def mark_of(token: str) -> int:
 
 def look_of(token: str) -> int:
     t = token.strip(_WHITE)
-    return min(7, len(t) // 4) * 4 + 2 * any(c.isdigit() for c in t) + (t != t.lower())
+    return min(7, len(t) // 4) * 4 + 2 * (not t.isalpha() and any(map(str.isdigit, t))) + (t != t.lower())
 
 
 def token_features(padded: list[str], at: int, file: list[str]) -> list[int]:
@@ -131,21 +166,27 @@ class Scorer(dict):
         self.pair = np.array([[model.emit[_column(f"pair {k} {c}")] for c in range(32)] for k in range(4)])
         self.table, self.kinds = np.empty((1024, 5, 3)), np.empty((1024, 2), dtype=np.int64)
 
-    def __missing__(self, token: str) -> int:
-        at, emit = len(self), self.model.emit
-        if at == len(self.table):
+    def learn(self, tokens: list[str]) -> None:
+        """Gives places to tokens that have none, all at once."""
+        first, end = len(self), len(self) + len(tokens)
+        while end > len(self.table):
             self.table, self.kinds = (np.concatenate([x, np.empty_like(x)]) for x in (self.table, self.kinds))
-        for i, names in enumerate((own_names(token), *near_names(token))):
-            self.table[at, i] = emit[[_column(x) for x in names]].sum(axis=0)
-        self.kinds[at] = mark_of(token), look_of(token)
-        self[token] = at
-        return at
+        each = self.model.emit[np.array([columns_of(t) for t in tokens])]
+        # Nine columns of their own, two for the next token and one for each other neighbour.
+        parts = (each[:, :9], each[:, 9:11], each[:, 11:12], each[:, 12:13], each[:, 13:])
+        self.table[first:end] = np.stack([x.sum(axis=1) for x in parts], axis=1)
+        self.kinds[first:end] = [(mark_of(t), look_of(t)) for t in tokens]
+        self.update(zip(tokens, range(first, end)))
 
     def __call__(self, tokens: list[str], file: list[str]) -> np.ndarray:
         """Scores of all tokens of a text by tag."""
         if len(self) > self.most:
             self.clear()
-        at = np.array([self[t] for t in (*_START, *tokens, *_END)])
+        padded = [*_START, *tokens, *_END]
+        fresh = {t for t in padded if t not in self}
+        if fresh:
+            self.learn(sorted(fresh))
+        at = np.fromiter(map(self.__getitem__, padded), np.int64, len(padded))
         own, table, kinds = at[3:-1], self.table, self.kinds
         out = table[own, 0] + table[at[2:-2], 1] + table[at[1:-3], 2] + table[at[:-4], 3] + table[at[4:], 4]
         out += self.pair[kinds[at[2:-2], 0], kinds[own, 1]]
