@@ -51,10 +51,11 @@ def test_probes_hold_all_neighbours():
     q = ed.train(x, 16, 4, 16)
     at, reach = q.lists(x), 0.374
     _, error = q.encode(x, at)
-    probes = q.probes(x, at, reach)
+    probes, asks = q.probes(x, at, reach), q.asks(x, at, reach)
     for i in range(0, 600, 7):
         near = np.flatnonzero(np.linalg.norm(x - x[i], axis=1) <= reach)
         assert set(at[near]) <= set(probes[i])
+        assert all((at[j] in asks[i]) + (at[i] in asks[j]) == (2 if at[i] == at[j] else 1) for j in near)
         for j in near:
             codes, _ = q.encode(x[j : j + 1], at[j : j + 1])
             table = q.tables(x[i : i + 1], at[j])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import stash
+from tidewright.llm.common import if_small, stash
 from tidewright.llm.components import components, connected
 
 
@@ -59,6 +59,18 @@ class Quantiser:
         near[np.arange(len(x)), at] = True
         return [np.flatnonzero(row) for row in near]
 
+    def asks(self, x: np.ndarray, at: np.ndarray, reach: float) -> list[np.ndarray]:
+        """The own list and about half of the probes: of two lists whose rows may be near, one asks the other.
+
+        Being near is mutual, so the rows of either list would find all pairs.
+        Which of two asks depends on whether their numbers add up to an odd one,
+        so that all lists ask about as many.
+        """
+        out = []
+        for own, found in zip(at, self.probes(x, at, reach)):
+            out.append(found[(found == own) | ((own < found) ^ ((own + found) % 2 == 1))])
+        return out
+
     def tables(self, q: np.ndarray, coarse: int) -> np.ndarray:
         """For each row of ``q`` and each subspace, the squared distances of its residual to the codewords."""
         m, _, d = self.words.shape
@@ -86,12 +98,17 @@ def near_links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     The quantiser is fitted on at most ``sample_rows`` unit vectors of each
     length, those whose id hashes lowest; every row is indexed. Unit vectors
     link within a distance of sqrt(2 - 2 cosine). A row is compared with the
-    lists whose border is that near, so the probes are sufficient. A list's
+    lists whose border is that near, so the probes are sufficient; of two such
+    lists only one asks the other, and a pair then counts for both rows. A list's
     codes give each distance by table lookup, up to the row's own, stored
     quantisation error; what may be near enough is compared by cosine in double
     precision. Equal vectors of a label are one entry that counts as many.
-    Lists of more than ``block`` entries are split, and pairs of blocks meet in
-    one task, which gives counts and who is connected, not all pairs.
+    Small lists of a label share a place of about ``block`` entries, to which a
+    row goes once; places of more are split, and pairs of blocks meet in one
+    task, which gives counts and who is connected, not all pairs.
+
+    An empty table gives an empty result; other columns are not read, whatever
+    their names.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     numbers = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -125,48 +142,64 @@ def near_links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
                 codes, error = q.encode(x, at)
                 yield pd.DataFrame({
                     "entry": part["entry"].to_numpy(), "label": part["_label"].to_numpy(), "size": size, "copies": part["copies"].to_numpy(), "at": at,
-                    "probes": q.probes(x, at, reach), "unit": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "error": error,
+                    "probes": q.asks(x, at, reach), "unit": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "error": error,
                 })
 
     kind = f"entry long, label {vectors.schema[label_col].dataType.simpleString()}, size int, copies long, at int, probes array<int>, unit binary, code binary, error double"
-    indexed = stash(entries.mapInPandas(index, kind))
-    asked, place = indexed.withColumn("list", F.explode("probes")), ["label", "size", "list"]
-    held = indexed.withColumn("list", F.col("at"))
+    indexed = entries.mapInPandas(index, kind)
+    # One row for each label and length: the places that its lists share.
+    shares = stash(entries.groupBy(F.col("_label").alias("label"), "size").agg(F.least(F.lit(lists).cast("long"), F.ceil(F.count("*") / block).cast("long")).alias("places")))
+    indexed = stash(indexed.join(if_small(shares), ["label", "size"]))
+    place = ["label", "size", "place"]
+    asked = indexed.withColumn("place", F.explode(F.array_distinct(F.transform("probes", lambda x: x % F.col("places")))))
+    held = indexed.withColumn("place", F.col("at") % F.col("places"))
     in_blocks = lambda rows, name: rows.groupBy(*place).agg(F.ceil(F.count("*") / block).cast("long").alias(name))
-    # A block of askers and a block of the list's entries make a cell.
+    # A block of askers and a block of the place's entries make a cell.
     cells = stash(in_blocks(asked, "xs").join(in_blocks(held, "ys"), place))
     own = lambda n: F.pmod(F.xxhash64("entry"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["entry", "copies", "unit", "code", "error"]
-    left = asked.join(cells, place).withColumn("x", own("xs")).select(*place, "x", every("ys").alias("y"), F.lit(True).alias("asks"), *columns)
-    right = held.join(cells, place).withColumn("y", own("ys")).select(*place, every("xs").alias("x"), "y", F.lit(False).alias("asks"), *columns)
+    columns = ["entry", "copies", "unit", "at"]
+    none = lambda name: F.lit(None).cast(indexed.schema[name].dataType).alias(name)
+    left = asked.join(cells, place).withColumn("x", own("xs")).select(*place, "x", every("ys").alias("y"), F.lit(True).alias("asks"), *columns, "probes", none("code"), none("error"))
+    right = held.join(cells, place).withColumn("y", own("ys")).select(*place, every("xs").alias("x"), "y", F.lit(False).alias("asks"), *columns, none("probes"), "code", "error")
 
     def compare(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        q, where = shared.value[key[1]], key[2]
+        q = shared.value[key[1]]
         asks, holds = cell[cell["asks"]], cell[~cell["asks"]]
         if not len(asks) or not len(holds):
             return pd.DataFrame({"entry": [], "n": [], "other": []}, dtype="int64")
         x, y = (np.stack([np.frombuffer(v) for v in part["unit"]]) for part in (asks, holds))
         codes, error = np.stack([np.frombuffer(c, dtype=np.uint8) for c in holds["code"]]), holds["error"].to_numpy()
-        ids, copies = np.concatenate([asks["entry"], holds["entry"]]), holds["copies"].to_numpy()
-        n, pairs = np.zeros(len(x), dtype=np.int64), []
-        for s in range(0, len(x), 256):
-            table = q.tables(x[s : s + 256], where)
-            guess = np.sqrt(sum(table[:, i, codes[:, i]] for i in range(codes.shape[1])))
-            i, j = np.nonzero(guess <= reach + error[None, :] + 1e-7)
-            i = i + s
-            apart = ids[i] != ids[len(x) + j]
-            i, j = i[apart], j[apart]
-            near = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
-            pairs.append((i[near], len(x) + j[near]))
-            np.add.at(n, i[near], copies[j[near]])
-        label = connected(len(ids), *(np.concatenate(p) for p in zip(*pairs)))
-        tied = np.flatnonzero(label != np.arange(len(ids)))
-        counted = n > 0
+        ids, copies = np.concatenate([asks["entry"], holds["entry"]]), np.concatenate([asks["copies"], holds["copies"]])
+        home, away = asks["at"].to_numpy(), holds["at"].to_numpy()
+        wants = np.zeros((len(x), len(q.coarse)), dtype=bool)
+        for row, probes in zip(wants, asks["probes"]):
+            row[probes] = True
+        n, pairs = np.zeros(len(ids), dtype=np.int64), []
+        for where in np.unique(away):
+            there, here = np.flatnonzero(away == where), np.flatnonzero(wants[:, where])
+            for s in range(0, len(here), 256):
+                some = here[s : s + 256]
+                table = q.tables(x[some], where)
+                guess = np.sqrt(sum(table[:, i, codes[there, i]] for i in range(codes.shape[1])))
+                i, j = np.nonzero(guess <= reach + error[there][None, :] + 1e-7)
+                i, j = some[i], there[j]
+                apart = ids[i] != ids[len(x) + j]
+                i, j = i[apart], j[apart]
+                near = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
+                i, j = i[near], j[near]
+                pairs.append((i, len(x) + j))
+                np.add.at(n, i, copies[len(x) + j])
+                # Rows of one list ask each other; of two lists only one asks.
+                once = home[i] != where
+                np.add.at(n, len(x) + j[once], copies[i[once]])
+        i, j = (np.concatenate(p) for p in zip(*pairs)) if pairs else (np.zeros(0, dtype=np.int64),) * 2
+        label = connected(len(ids), i, j)
+        tied, counted = np.flatnonzero(label != np.arange(len(ids))), np.flatnonzero(n)
         return pd.DataFrame({
-            "entry": np.concatenate([ids[: len(x)][counted], ids[tied]]),
+            "entry": np.concatenate([ids[counted], ids[tied]]),
             "n": np.concatenate([n[counted], np.zeros(len(tied), dtype=np.int64)]),
-            "other": np.concatenate([ids[: len(x)][counted], ids[label[tied]]]),
+            "other": np.concatenate([ids[counted], ids[label[tied]]]),
         })
 
     found = stash(left.unionByName(right).groupBy(*place, "x", "y").applyInPandas(compare, "entry long, n long, other long"))
