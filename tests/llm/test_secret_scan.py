@@ -150,3 +150,30 @@ def test_scores_of_a_text_are_sums_of_its_features():
     scorer = ss.Scorer(model, most=5)
     for _ in range(2):
         assert np.allclose(scorer(tokens, file), want)
+
+
+def test_words_learned_together_have_the_columns_of_their_names():
+    words = ["a", "A", "Ab", "deadbeef", "Face", "FACE", "secret", "AKIAABCDEFGHIJKL", "abcdefghijklmnop", "aaaaaaaaaaaaaaaa", "tttteeesst"]
+    tokens = [gap + w for w in words for gap in ("", " ", "\n\t")]
+    bare = [t.lstrip() for t in tokens]
+    assert min(map(ss.word_case, bare)) == 0
+    assert ss.word_columns(tokens, bare, list(map(ss.word_case, bare))).tolist() == list(map(ss.columns_of, tokens))
+    assert [ss.word_case(w) for w in ("aB", "abcdefghijklmnopq", "é", "a1", "", "=")] == [-1] * 6
+
+
+def test_a_scorer_that_starts_anew_scores_alike():
+    rng = np.random.default_rng(5)
+    model = ss.Field(rng.normal(size=(ss.COLUMNS, 3)), rng.normal(size=(3, 3)))
+    texts = ["The key = abc123 and\nMore", "Naïve PWD: Xyz-99 the the", "other words Here"]
+    tiny, wide = ss.Scorer(model, most=3), ss.Scorer(model)
+    for text in texts * 2:
+        tokens = ss.tokens_of(text)
+        tiny.meet({*ss._START, *ss._END, *tokens})
+        padded = [*ss._START, *tokens, *ss._END]
+        plain = np.array([model.emit[ss.token_features(padded, i + 3, ["file"])].sum(axis=0) for i in range(len(tokens))])
+        assert np.allclose(tiny(tokens, ["file"]), plain) and np.allclose(wide(tokens, ["file"]), plain)
+
+
+def test_slices_hold_every_text_whole():
+    texts = [None, "", "abc", "defgh" * 5, "ij", "k"]
+    assert list(ss.sliced(texts, most=4)) == [["", "", "abc"], ["defgh" * 5], ["ij", "k"]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -15,10 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import stash
+
 #: Fixed values, in the order in which kinds are listed. Letters of the names match in either case, ASCII only.
 KINDS = ("assign", "access", "hex", "field")
 _ANY = lambda word: "".join(f"[{c}{c.upper()}]" for c in word)
 _ASSIGN = re.compile("(" + "|".join([_ANY("password"), _ANY("passwd"), _ANY("secret"), _ANY("token"), _ANY("api") + "_?" + _ANY("key")]) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+#: A text without any of these has no assigned value.
+_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
 
@@ -31,7 +36,8 @@ def base_spans(text: str) -> list[Span]:
     A hex run of 24 characters or more is found as such: a shorter run, which the
     plain pattern would find and drop, holds none.
     """
-    out = [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    low = text.lower()
+    out = [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if any(name in low for name in _NAMES) else []
     out += [(*m.span(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(*m.span(), "hex") for m in _HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -157,6 +163,39 @@ class Field:
     move: np.ndarray
 
 
+#: Words of ASCII letters up to so long are learned together.
+_WORD = 16
+#: What tells the counts of a word's letters apart: so many letters can be there c times, in mixed radix.
+_RADIX = np.concatenate([[0, 1], np.cumprod([_WORD // c + 1 for c in range(1, _WORD)])])
+
+
+def word_case(word: str) -> int:
+    """0 for small letters, 1 for capitals, 2 for a capital and small letters, all ASCII; -1 for whatever else or longer than ``_WORD``."""
+    if len(word) > _WORD or not (word.isascii() and word.isalpha()):
+        return -1
+    return 0 if word.islower() else 1 if word.isupper() else 2 if word.istitle() else -1
+
+
+def word_columns(tokens: list[str], words: list[str], cases: list[int]) -> np.ndarray:
+    """``columns_of`` each token, for tokens that are white space and a word with a ``word_case``.
+
+    Own columns depend on the case, the gap, the alphabet and the counts of the
+    letters only, so they are worked out once for each that occurs.
+    """
+    letters = np.array([w.encode() for w in words], dtype=f"S{_WORD}").view(np.uint8).reshape(len(words), _WORD)
+    same = letters[:, :, None] == letters[:, None, :]
+    first = (same.argmax(axis=2) == np.arange(_WORD)) & (letters > 0)
+    counts = (_RADIX[same.sum(axis=2) * first]).sum(axis=1)
+    hexed = ((letters == 0) | ((letters >= 97) & (letters <= 102))).all(axis=1)
+    gaps = [0 if len(w) == len(t) else 1 if "\n" in t else 2 for t, w in zip(tokens, words)]
+    kinds = ((counts * 3 + np.array(cases)) * 3 + np.array(gaps)) * 2 + hexed
+    _, some, kind = np.unique(kinds, return_index=True, return_inverse=True)
+    own = np.array([_own_columns(*_own_of(tokens[i])) for i in some])[kind]
+    low = [w.lower().encode() for w in words]
+    before, second, third, after = (np.array([zlib.crc32(w, x) for w in low]) % COLUMNS for x in _BEGUN)
+    return np.column_stack([own, before, np.full(len(low), _column("before shape a")), second, third, after])
+
+
 class Scorer(dict):
     """Places of distinct tokens in a table of what each adds to its own score and to those of its neighbours."""
 
@@ -171,28 +210,57 @@ class Scorer(dict):
         first, end = len(self), len(self) + len(tokens)
         while end > len(self.table):
             self.table, self.kinds = (np.concatenate([x, np.empty_like(x)]) for x in (self.table, self.kinds))
-        each = self.model.emit[np.array([columns_of(t) for t in tokens])]
+        words = [t.lstrip(_WHITE) for t in tokens]
+        cases = [word_case(w) for w in words]
+        plain = [i for i, c in enumerate(cases) if c >= 0]
+        columns, kinds = np.empty((len(tokens), 14), dtype=np.int64), np.empty((len(tokens), 2), dtype=np.int64)
+        if plain:
+            columns[plain] = word_columns([tokens[i] for i in plain], [words[i] for i in plain], [cases[i] for i in plain])
+            kinds[plain] = [(0, min(7, len(words[i]) // 4) * 4 + (cases[i] > 0)) for i in plain]
+        for i, case in enumerate(cases):
+            if case < 0:
+                columns[i], kinds[i] = columns_of(tokens[i]), (mark_of(tokens[i]), look_of(tokens[i]))
+        each = self.model.emit[columns]
         # Nine columns of their own, two for the next token and one for each other neighbour.
         parts = (each[:, :9], each[:, 9:11], each[:, 11:12], each[:, 12:13], each[:, 13:])
         self.table[first:end] = np.stack([x.sum(axis=1) for x in parts], axis=1)
-        self.kinds[first:end] = [(mark_of(t), look_of(t)) for t in tokens]
+        self.kinds[first:end] = kinds
         self.update(zip(tokens, range(first, end)))
 
+    def meet(self, tokens: set[str]) -> None:
+        """Sees to it that all ``tokens`` have places; over ``most`` it starts anew."""
+        if len(self) > self.most and not tokens <= self.keys():
+            self.clear()
+        fresh = sorted(tokens - self.keys())
+        for k in range(0, len(fresh), 4096):
+            self.learn(fresh[k : k + 4096])
+
     def __call__(self, tokens: list[str], file: list[str]) -> np.ndarray:
         """Scores of all tokens of a text by tag."""
-        if len(self) > self.most:
-            self.clear()
         padded = [*_START, *tokens, *_END]
-        fresh = {t for t in padded if t not in self}
-        if fresh:
-            self.learn(sorted(fresh))
-        at = np.fromiter(map(self.__getitem__, padded), np.int64, len(padded))
+        try:
+            at = np.fromiter(map(self.__getitem__, padded), np.int64, len(padded))
+        except KeyError:
+            self.meet(set(padded))
+            at = np.fromiter(map(self.__getitem__, padded), np.int64, len(padded))
         own, table, kinds = at[3:-1], self.table, self.kinds
         out = table[own, 0] + table[at[2:-2], 1] + table[at[1:-3], 2] + table[at[:-4], 3] + table[at[4:], 4]
         out += self.pair[kinds[at[2:-2], 0], kinds[own, 1]]
         return out + self.model.emit[[_column(x) for x in file]].sum(axis=0)
 
 
+#: The worker's scorer and the model that it is for: tasks that one Python worker runs in turn share what it has learned.
+_SCORERS: dict[bytes, Scorer] = {}
+
+
+def worker_scorer(key: bytes, model: Field) -> Scorer:
+    """The scorer for ``model``, whose digest is ``key``; one for another model is let go."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
+
+
 #: Moves that cannot be: inside follows begin or inside only.
 _FORBIDDEN = np.array([[0, 0, 0], [0, 0, 0], [0, -np.inf, 0]])
 
@@ -337,10 +405,24 @@ def planted(text: str, seed: int, length: int = 160) -> tuple[str, list[Span]]:
     return f"{head}{value} {tail}", [] if plain else [(len(head), len(head) + len(value), "planted")]
 
 
-def field_spans(text: str, model: Field | Scorer, known: list[Span]) -> list[Span]:
-    """Secrets that the field finds apart from ``known``, by the likeliest tags of all tokens of the text."""
+def sliced(texts: pd.Series, most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in order, null ones as empty, as lists of up to ``most`` characters, or of one text that is longer."""
+    out, size = [], 0
+    for text in texts:
+        text = text or ""
+        if out and size + len(text) > most:
+            yield out
+            out, size = [], 0
+        out.append(text)
+        size += len(text)
+    if out:
+        yield out
+
+
+def field_spans(text: str, model: Field | Scorer, known: list[Span], tokens: list[str] | None = None) -> list[Span]:
+    """Secrets that the field finds apart from ``known``, by the likeliest tags of all tokens of the text; ``tokens`` are its ``tokens_of``."""
     scorer = model if isinstance(model, Scorer) else Scorer(model)
-    tokens, found = tokens_of(text), []
+    tokens, found = tokens_of(text) if tokens is None else tokens, []
     if not tokens:
         return found
     emitted, move = scorer(tokens, file_features(text)), scorer.model.move
@@ -372,7 +454,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     """
     likely = F.col("_text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     texts = docs.select(F.col(text_col).alias("_text")).where(F.col("_text").rlike("[0-9=]")).withColumn("_likely", likely).withColumn("_h", F.xxhash64("_text"))
-    keys = texts.select("_h", "_likely")
+    # Twice sorted, once read: the patterns run over each text a single time.
+    keys = stash(texts.select("_h", "_likely"))
     picked = [keys.where(c).distinct().orderBy("_h").limit(most_texts) for c in (F.col("_likely"), ~F.col("_likely"))]
     # At most 2 * most_texts hashes.
     sample = texts.join(F.broadcast(picked[0].union(picked[1]).select("_h")), "_h").select("_h", "_text")
@@ -395,18 +478,20 @@ def scan(docs: DataFrame, model: Field | None, text_col: str = "text") -> DataFr
     ``field``. Null and empty texts have none. Repeated rows get the same result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    #: The task's scorer, once it has one.
-    scorers: list[Scorer] = []
+    key = b"" if model is None else hashlib.sha256(model.emit.tobytes() + model.move.tobytes()).digest()
 
     @F.pandas_udf("array<struct<start:long,end:long,kind:string>>")
     def find(texts: pd.Series) -> pd.Series:
         out = []
-        if shared.value is not None and not scorers:
-            scorers.append(Scorer(shared.value))
-        for text in texts:
-            known = base_spans(text) if text else []
-            more = field_spans(text, scorers[0], known) if text and shared.value is not None else []
-            out.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted([*known, *more], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))])
+        scorer = None if shared.value is None else worker_scorer(key, shared.value)
+        for part in sliced(texts):
+            tokens = [tokens_of(t) if scorer is not None else [] for t in part]
+            if scorer is not None:
+                scorer.meet({*_START, *_END}.union(*tokens))
+            for text, each in zip(part, tokens):
+                known = base_spans(text)
+                more = field_spans(text, scorer, known, each) if scorer is not None else []
+                out.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted([*known, *more], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))])
         return pd.Series(out, dtype=object)
 
     return docs.withColumn("secrets", find(F.col(text_col)))
