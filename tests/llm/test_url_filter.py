@@ -37,6 +37,15 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert wrong.count() == 0
 
 
+def test_cascade_of_many_parts_is_exact(spark):
+    universe = spark.range(6_000).select(F.concat(F.lit("host"), "id").alias("key"), (F.col("id") % 5 == 3).alias("listed"))
+    levels = uf.build_cascade(universe, part_bytes=100)
+    assert len(levels[0].bits) * 8 // levels[0].part > 5
+    assert len(levels[0].bits) <= 1.1 * 1200 * 4 / 8 and len(levels) < 20
+    wrong = uf._tested(universe, levels).where((F.col("_depth") % 2 == 1) != F.col("listed"))
+    assert wrong.count() == 0
+
+
 def test_join_beyond_the_bound(spark):
     rows = spark.range(3000).select(F.concat(F.lit("h"), F.col("id") % 1000).alias("k"))
     listed = spark.range(500).select(F.concat(F.lit("h"), "id").alias("key"))

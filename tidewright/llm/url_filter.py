@@ -16,10 +16,10 @@ from tidewright.llm.common import ascii_lower, stash
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: its bits as bytes, their number, the hash functions and the seed."""
+    """One Bloom filter: its bits as bytes, in parts of so many bits, the number of hash functions and the seed."""
 
     bits: bytes
-    size: int
+    part: int
     hashes: int
     seed: int
 
@@ -28,40 +28,44 @@ def _hash_columns(key: Column, seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(2 * seed + i), key) for i in (0, 1)]
 
 
+def _places(h1: np.ndarray, h2: np.ndarray, part: int, hashes: int) -> Iterator[np.ndarray]:
+    """For each hash function the keys' bits within their parts: (h1 + i * h2) modulo a part's bits."""
+    h1, h2 = h1.astype(np.int64).view(np.uint64), h2.astype(np.int64).view(np.uint64) | np.uint64(1)
+    for i in range(hashes):
+        yield ((h1 + np.uint64(i) * h2) % np.uint64(part)).astype(np.int64)
+
+
 def _hit(level: Level, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """Which keys the level holds; bit i of a key is (h1 + i * h2) modulo the size."""
+    """Which keys the level holds; a key's part goes by the upper half of h2."""
     table = np.frombuffer(level.bits, dtype=np.uint8)
-    h1, h2 = h1.astype(np.int64).view(np.uint64), h2.astype(np.int64).view(np.uint64) | np.uint64(1)
+    start = (h2.astype(np.int64) >> 32) % (8 * len(table) // level.part) * level.part
     found = np.ones(len(h1), dtype=bool)
-    for i in range(level.hashes):
-        at = (h1 + np.uint64(i) * h2) % np.uint64(level.size)
-        found &= (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    for at in _places(h1, h2, level.part, level.hashes):
+        found &= (table[(start + at) >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
     return found
 
 
-def _build(keys: DataFrame, n: int, rate: float, seed: int, most_bytes: int) -> Level:
-    """The filter over ``n`` keys with false positives at ``rate``: partitions make partial filters, OR-ed by segment."""
-    size = max(64, 8 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 8))
-    if size // 8 > most_bytes:
-        raise MemoryError(f"a filter of {size // 8} bytes is over the bound of {most_bytes}")
-    hashes = max(1, round(size / max(n, 1) * math.log(2)))
+def _build(keys: DataFrame, n: int, rate: float, seed: int, most_bytes: int, part_bytes: int = 64 << 10) -> Level:
+    """The filter over ``n`` keys with false positives at ``rate``: one group of keys makes each part, and the parts come to the driver as bytes."""
+    size = max(8, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 8))
+    if size > most_bytes:
+        raise MemoryError(f"a filter of {size} bytes is over the bound of {most_bytes}")
+    parts = math.ceil(size / part_bytes)
+    part = 8 * math.ceil(size / parts)
+    hashes = max(1, round(parts * part / max(n, 1) * math.log(2)))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            h1, h2 = b["h1"].to_numpy().view(np.uint64), b["h2"].to_numpy().view(np.uint64) | np.uint64(1)
-            at = np.unique(np.concatenate([(h1 + np.uint64(i) * h2) % np.uint64(size) for i in range(hashes)]))
-            byte = (at >> np.uint64(3)).astype(np.int64)
-            starts = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]]) if len(byte) else np.array([], dtype=int)
-            value = np.bitwise_or.reduceat((1 << (at & np.uint64(7))).astype(np.int64), starts) if len(starts) else np.array([], dtype=np.int64)
-            yield pd.DataFrame({"byte": byte[starts], "value": value})
+    def make(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(part, dtype=np.uint8)
+        for at in _places(b["h1"].to_numpy(), b["h2"].to_numpy(), part, hashes):
+            bits[at] = 1
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     h1, h2 = _hash_columns(F.col("key"), seed)
-    parts = keys.select(h1.alias("h1"), h2.alias("h2")).mapInPandas(partial, "byte long, value long")
-    bits = np.zeros(size // 8, dtype=np.uint8)
-    # At most size / 8 rows, a number fixed above by most_bytes.
-    whole = parts.groupBy("byte").agg(F.bit_or("value").alias("value")).toPandas()
-    bits[whole["byte"].to_numpy(dtype=np.int64)] = whole["value"].to_numpy(dtype=np.uint8)
-    return Level(bits.tobytes(), size, hashes, seed)
+    hashed = keys.select(h1.alias("h1"), h2.alias("h2")).withColumn("part", F.pmod(F.shiftright("h2", 32), F.lit(parts)))
+    # A part of 64 KB has some 400,000 keys at most, and all parts together have most_bytes.
+    made = hashed.groupBy("part").applyInPandas(make, "part long, bits binary").toPandas()
+    found = dict(zip(made["part"], made["bits"]))
+    return Level(b"".join(bytes(found.get(i, bytes(part // 8))) for i in range(parts)), part, hashes, seed)
 
 
 def _tested(keys: DataFrame, levels: list[Level], name: str = "_depth") -> DataFrame:
@@ -80,7 +84,7 @@ def _tested(keys: DataFrame, levels: list[Level], name: str = "_depth") -> DataF
     return keys.withColumn(name, depth(*[c for x in levels for c in _hash_columns(F.col("key"), x.seed)]))
 
 
-def build_cascade(universe: DataFrame, rate: float = 0.5, most_bytes: int = 64 << 20, most_levels: int = 48) -> list[Level]:
+def build_cascade(universe: DataFrame, rate: float = 0.5, most_bytes: int = 64 << 20, most_levels: int = 48, part_bytes: int = 64 << 10) -> list[Level]:
     """The cascade for ``universe`` (key string, listed boolean): each distinct non-null key once.
 
     Level 0 holds the listed keys; level 1 the unlisted ones that level 0 lets
@@ -88,7 +92,7 @@ def build_cascade(universe: DataFrame, rate: float = 0.5, most_bytes: int = 64 <
     nothing is let through wrongly. A key of the universe is listed exactly if
     the number of levels it passes in a row is odd. ``most_bytes`` bounds each
     level, and thereby what is broadcast; beyond it MemoryError is raised and
-    ``listed_mask`` uses a join instead.
+    ``listed_mask`` uses a join instead. Levels are built in parts of ``part_bytes``.
     """
     levels: list[Level] = []
     inside, outside = universe.where("listed").select("key"), universe.where("not listed").select("key")
@@ -97,7 +101,7 @@ def build_cascade(universe: DataFrame, rate: float = 0.5, most_bytes: int = 64 <
         if len(levels) == most_levels:
             raise RuntimeError("the cascade does not end: are keys both listed and not?")
         first = min(0.5, max(1e-6, n_in / max(n_out, 1) * math.sqrt(0.5))) if not levels else rate
-        levels.append(_build(inside, n_in, first, len(levels), most_bytes))
+        levels.append(_build(inside, n_in, first, len(levels), most_bytes, part_bytes))
         # The other side's keys that this level lets through are what the next level has to hold.
         through = stash(_tested(outside, levels[-1:]).where("_depth = 1").select("key"))
         inside, outside, n_in, n_out = through, inside, through.count(), n_in
