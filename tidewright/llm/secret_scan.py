@@ -450,7 +450,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
 
     Each text also gives one example with a planted secret, of one token or more.
     From the texts only windows of up to ``longest`` tokens reach the driver.
-    None where no text has a match.
+    None where no text has a match, as in an empty table.
     """
     likely = F.col("_text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     texts = docs.select(F.col(text_col).alias("_text")).where(F.col("_text").rlike("[0-9=]")).withColumn("_likely", likely).withColumn("_h", F.xxhash64("_text"))
@@ -476,6 +476,9 @@ def scan(docs: DataFrame, model: Field | None, text_col: str = "text") -> DataFr
 
     Places are code points, ends exclusive. Kinds are those of the patterns and
     ``field``. Null and empty texts have none. Repeated rows get the same result.
+    An empty table gives an empty result. A column ``secrets`` that ``docs`` has
+    is replaced; all others stay. Long texts are tagged whole. Of equally likely
+    tags begin goes before inside, and that before outside.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = b"" if model is None else hashlib.sha256(model.emit.tobytes() + model.move.tobytes()).digest()
