@@ -7,23 +7,59 @@ from tidewright.operators import reports
 from tidewright.sources import text
 
 
+COLUMNS = "h int, s string, b string, v double, w double"
+
+
+def fused(spark, rows, **more):
+    return {r.h: r for r in reports.fusion_cycle(spark.createDataFrame(rows, COLUMNS), "h", "s", "b", "v", "w", **more).collect()}
+
+
 def test_fusion_cycle_gates_coasts_and_holds(spark):
     rows = [(h, s, f"{s}{b}", 10.0 + 0.1 * b + (20.0 if h == 5 else 0.0), 1.0) for h in range(12) for s in "ab" for b in (1, 2) if not (h in (3, 4) and s == "b")]
     rows += [(0, "a", "a1", 500.0, 1.0), (1, "a", "a1", None, 1.0), (1, "a", "a1", math.nan, 1.0)]
-    got = {r.h: r for r in reports.fusion_cycle(spark.createDataFrame(rows, "h int, s string, b string, v double, w double"), "h", "s", "b", "v", "w").collect()}
+    got = fused(spark, rows)
     assert got[0].n == 5 and got[0].used == 4 and abs(got[0].raw - 10.15) < 1e-9
     assert not got[3].locked and got[3].coasting and got[3].grade == "D" and abs(got[3].fused - 10.15) < 1e-9 and got[3].uncertainty > got[2].uncertainty
     # A jump is held for a cycle, and so is the way back.
     assert got[5].jumped and abs(got[5].fused - 10.15) < 1e-9 and got[6].jumped and abs(got[6].fused - 30.15) < 1e-9 and not got[7].jumped
-    assert reports.fusion_cycle(spark.createDataFrame([], "h int, s string, b string, v double, w double"), "h", "s", "b", "v", "w").count() == 0
+    assert fused(spark, []) == {}
 
 
 def test_all_rejected_keeps_all(spark):
-    rows = [(0, s, s, v, 1.0) for s, v in (("a", -500.0), ("b", -490.0), ("c", 490.0), ("d", 500.0))]
-    got = reports.fusion_cycle(spark.createDataFrame(rows, "h int, s string, b string, v double, w double"), "h", "s", "b", "v", "w").first()
+    got = fused(spark, [(0, s, s, v, 1.0) for s, v in (("a", -500.0), ("b", -490.0), ("c", 490.0), ("d", 500.0))])[0]
     assert got.used == 4 and got.raw == 0
 
 
+def test_fused_value_is_never_tighter_than_what_it_came_from(spark):
+    rows = [(0, s, f"{s}{i}", 10.0 + off, 100.0) for s in "ab" for i in range(50) for off in (-1.0, 1.0)]
+    assert abs(fused(spark, rows)[0].uncertainty - 1.0) < 1e-9
+    assert abs(fused(spark, [(0, s, s, 10.0, 4.0) for s in "abcd"])[0].uncertainty - 0.25) < 1e-9  # formal: 1 / sqrt(16)
+
+
+def test_uncertainty_grows_while_coasting(spark):
+    rows = [(0, s, s, 10.0, 50.0) for s in "ab"] + [(h, "a", "a", 300.0, 1e-4) for h in (1, 120, 1200, 12_000)]
+    got = fused(spark, rows)
+    grown = [got[h].uncertainty for h in (1, 120, 1200, 12_000)]
+    assert grown == sorted(grown) and grown[-1] > grown[0] and abs(grown[1] - math.hypot(0.1, 0.12)) < 1e-9 and grown[3] == 10.0
+    assert all(got[h].fused == 10.0 and got[h].coasting for h in (1, 120, 1200, 12_000))
+    # Before the first lock there is nothing to coast on.
+    first = fused(spark, [(5, "a", "a", 7.0, 1.0)])[5]
+    assert not first.coasting and first.fused == 7.0 and first.uncertainty == 1.0
+
+
+def test_anchor_is_no_source(spark):
+    rows = [(0, "a", "a1", 1.0, 1.0), (0, "GLOBAL", None, 2.0, 3.0)]
+    got = fused(spark, rows, anchor="GLOBAL")[0]
+    assert not got.locked and got.sources == 1 and got.broadcasts == 1 and got.used == 2 and got.raw == 1.75
+
+
+def test_variance_weight(spark):
+    rows = spark.createDataFrame([(0.5, "A", "1E"), (2.0, "A", "1E"), (None, "B", "2F"), (0.0, "x", None), (1e-9, "C", "3F"), (1e6, "D", "zz")], "s double, g string, m string")
+    got = [r[0] for r in rows.select(reports.variance_weight(F.col("s"), F.col("g"), F.col("m"))).collect()]
+    assert got[0] == 4.0 and got[0] / got[1] == 16.0
+    assert np.allclose(got[2:], [0.9 * 0.85, 0.5 * 0.7, 0.7 * 0.7 / 0.05**2, 0.01])
+
+
 def test_logistic_fit(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 2))

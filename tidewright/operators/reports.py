@@ -45,16 +45,37 @@ def merged_statistics(rows: DataFrame, keys: list[str], part: Column, value: str
     return squares.select(*keys, "n", "mean", F.when(F.col("n") > 1, F.col("_s") / (F.col("n") - 1)).alias("variance"))
 
 
-def fusion_cycle(rows: DataFrame, cycle: str, source: str, broadcast: str, value: str, weight: str, most_off: float = 100.0, scale: tuple[float, float] = (0.5, 5.0), jump: float = 5.0, coast: int = 6, grades: tuple = ((1.0, "A"), (2.0, "B"), (5.0, "C"))) -> DataFrame:
+#: Trust by grade and by path that a variance does not tell, and what others get.
+TRUST_BY_GRADE = {"A": 1.0, "B": 0.9, "C": 0.7, "D": 0.5}
+TRUST_BY_MODE = {"1E": 1.0, "1F": 0.95, "2F": 0.85, "3F": 0.7, "GW": 1.0}
+TRUST_ELSE = {"grade": 0.5, "mode": 0.7}
+
+
+def variance_weight(sigma: Column, grade: Column, mode: Column, default: float = 1.0, floor: float = 0.05) -> Column:
+    """Precision times trust: 1 / sigma^2 by grade and path, 0.01 at least. A sigma that is missing or not positive counts as ``default``."""
+    told = lambda c, table, rest: reduce(lambda otherwise, item: F.when(c == item[0], item[1]).otherwise(otherwise), table.items(), F.lit(rest))
+    s = F.greatest(F.when(sigma > 0, sigma).otherwise(default), F.lit(floor))
+    return F.greatest(told(grade, TRUST_BY_GRADE, TRUST_ELSE["grade"]) * told(mode, TRUST_BY_MODE, TRUST_ELSE["mode"]) / (s * s), F.lit(0.01))
+
+
+def fusion_cycle(
+    rows: DataFrame, cycle: str, source: str, broadcast: str, value: str, weight: str, minutes: float = 1.0, anchor: str | None = None, most_off: float = 100.0, scale: tuple[float, float] = (0.5, 5.0), jump: float = 5.0,
+    drift: float = 0.001, most_uncertain: float = 10.0, grades: tuple = ((1.0, "A"), (2.0, "B"), (5.0, "C")),
+) -> DataFrame:
     """One fused value for each cycle: gate, weights, two levels of estimates, holdover, jump hold and grade.
 
-    Gate: with more than two values, those less than min(``most_off``, 3.5 scaled
-    MADs, held within ``scale``) from the median stay, or all if none is. Sources
-    have weighted means; the fused value is the weighted mean of all. Its
-    uncertainty is the larger of the formal one and the scatter, five times that
-    with a single source. A cycle of fewer than two sources or broadcasts is not
-    locked: it takes the last locked value, for at most ``coast`` cycles. A value
-    that moves by over ``jump`` from the cycle before is held back for one cycle.
+    ``cycle`` is the number of a cycle of ``minutes`` minutes. Gate: with more than two
+    values, those less than min(``most_off``, 3.5 scaled MADs, held within ``scale``)
+    from the median stay, or all if none is. Sources have weighted means; the fused
+    value is the weighted mean of all. Its uncertainty is the larger of the formal one
+    and the weighted scatter of the values about it, so that it is never tighter than
+    they are.
+
+    A cycle of fewer than two sources or broadcasts, not counting ``anchor``'s rows,
+    is not locked: it takes the last locked value, and the uncertainty of that grows
+    by ``drift`` a minute since, in squares, to at most ``most_uncertain`` and to at
+    most twice the cycle's own. Before the first lock it is 1 at most. A value that moves by over
+    ``jump`` from the cycle before is held back for one cycle.
 
     Cycles are aggregated before their windows, so what one task orders is a row
     a cycle. Null and NaN values are left out.
@@ -65,22 +86,26 @@ def fusion_cycle(rows: DataFrame, cycle: str, source: str, broadcast: str, value
     bound = near.groupBy(cycle).agg(F.least(F.lit(most_off), 3.5 * F.least(F.greatest(1.4826 * F.median("_off"), F.lit(scale[0])), F.lit(scale[1]))).alias("_bound"), F.min("_off").alias("_least"))
     gated = near.join(bound, cycle).where((F.col("n") <= 2) | (F.col("_off") < F.col("_bound")) | (F.col("_least") >= F.col("_bound")))
     w, x = F.col(weight), F.col(value) - F.col("_med")
-    per_source = gated.where(w > 0).groupBy(cycle, source).agg(F.first("n").alias("n"), F.first("_med").alias("_med"), F.count("*").alias("_k"), F.sum(w).alias("_w"), F.sum(w * x).alias("_wx"), F.sum(w * x * x).alias("_wxx"), F.collect_set(broadcast).alias("_b"))
+    own = F.lit(True) if anchor is None else F.col(source) != anchor
+    per_source = gated.where(w > 0).groupBy(cycle, source).agg(F.first("n").alias("n"), F.first("_med").alias("_med"), F.count("*").alias("_k"), F.sum(w).alias("_w"), F.sum(w * x).alias("_wx"), F.sum(w * x * x).alias("_wxx"), F.collect_set(F.when(own, F.col(broadcast))).alias("_b"))
+    mean = F.when(own, F.col("_wx") / F.col("_w"))
     out = per_source.groupBy(cycle).agg(
-        F.first("n").alias("n"), F.sum("_k").alias("used"), F.count("*").alias("sources"), F.size(F.array_distinct(F.flatten(F.collect_list("_b")))).cast("long").alias("broadcasts"),
-        F.first("_med").alias("_med"), F.sum("_w").alias("_w"), (F.sum("_wx") / F.sum("_w")).alias("_x"), (F.sum("_wxx") / F.sum("_w")).alias("_xx"),
-        (F.max(F.col("_wx") / F.col("_w")) - F.min(F.col("_wx") / F.col("_w"))).alias("agreement"),
+        F.first("n").alias("n"), F.sum("_k").alias("used"), F.count(F.when(own, 1)).alias("sources"), F.size(F.array_distinct(F.flatten(F.collect_list("_b")))).cast("long").alias("broadcasts"),
+        F.first("_med").alias("_med"), F.sum("_w").alias("_w"), (F.sum("_wx") / F.sum("_w")).alias("_x"), (F.sum("_wxx") / F.sum("_w")).alias("_xx"), (F.max(mean) - F.min(mean)).alias("agreement"),
     )
-    scatter = F.sqrt(F.greatest(F.col("_xx") - F.col("_x") * F.col("_x"), F.lit(0.0)) / F.col("used"))
-    u = F.greatest(1 / F.sqrt("_w"), scatter) * F.when(F.col("sources") == 1, 5.0).otherwise(1.0)
+    scatter = F.sqrt(F.greatest(F.col("_xx") - F.col("_x") * F.col("_x"), F.lit(0.0)))
     locked = (F.col("sources") >= 2) & (F.col("broadcasts") >= 2)
-    out = out.withColumns({"raw": F.col("_med") + F.col("_x"), "uncertainty": u, "locked": locked})
+    out = out.withColumns({"raw": F.col("_med") + F.col("_x"), "_u": F.greatest(1 / F.sqrt("_w"), scatter), "locked": locked})
     along = Window.orderBy(cycle)
-    out = out.withColumn("_place", F.row_number().over(along))
-    last = F.max(F.when(F.col("locked"), F.struct("_place", "raw"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max(F.when(F.col("locked"), F.struct(cycle, "raw", "_u"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
     out = out.withColumn("_last", last)
-    coasting = ~F.col("locked") & (F.col("_place") - F.col("_last._place") <= coast)
-    out = out.withColumns({"coasting": F.coalesce(coasting, F.lit(False)), "_held": F.when(F.col("locked"), F.col("raw")).when(coasting, F.col("_last.raw")).otherwise(F.col("raw"))})
+    coasting = ~F.col("locked") & F.col("_last").isNotNull()
+    grown = drift * minutes * (F.col(cycle) - F.col(f"_last.{cycle}"))
+    held_u = F.coalesce(F.sqrt(F.col("_last._u") * F.col("_last._u") + grown * grown), F.lit(1.0))
+    out = out.withColumns({
+        "coasting": coasting, "_held": F.when(coasting, F.col("_last.raw")).otherwise(F.col("raw")),
+        "uncertainty": F.when(F.col("locked"), F.col("_u")).otherwise(F.least(held_u, 2.0 * F.col("_u"), F.lit(most_uncertain))),
+    })
     before = F.lag("_held").over(along)
     jumped = F.coalesce(F.abs(F.col("_held") - before) > jump, F.lit(False))
     out = out.withColumns({"jumped": jumped, "fused": F.when(jumped, before).otherwise(F.col("_held"))})

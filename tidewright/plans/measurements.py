@@ -37,12 +37,13 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query(sql: str | None = None, name: str = ""):
-    """Registers a query under its function's name, and its SQL, which may use m."""
+    """Registers a query under its function's name, and its SQL, which may use m. SQL that begins with RECURSIVE_ refers to tables of its own before they end."""
 
     def keep(f):
         QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLES[name or f.__name__] = f"WITH {M}{',' if sql.lstrip()[:6].upper() != 'SELECT' else ''} {sql}"
+            head, rest = ("WITH RECURSIVE", sql[len("RECURSIVE_") :]) if sql.startswith("RECURSIVE_") else ("WITH", sql)
+            ORACLES[name or f.__name__] = f"{head} {M}{',' if rest.lstrip()[:6].upper() != 'SELECT' else ''} {rest}"
         return f
 
     return keep

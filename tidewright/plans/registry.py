@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewright.plans import fusion, measurements, propagation, service
+from tidewright.plans import fusion, measurements, propagation, service, solutions
 
 FLAGSHIP = "hourly_fusion"
 
-QUERIES = {**fusion.QUERIES, **measurements.QUERIES, **propagation.QUERIES, **service.QUERIES}
-#: Those of ``propagation`` and ``service`` are registered with those of ``measurements``.
+QUERIES = {**fusion.QUERIES, **measurements.QUERIES, **propagation.QUERIES, **service.QUERIES, **solutions.QUERIES}
+#: Those of ``propagation``, ``service`` and ``solutions`` are registered with those of ``measurements``.
 ORACLES = {**fusion.ORACLES, **measurements.ORACLES}

@@ -1,4 +1,4 @@
-"""What a service over the measurement stream answers: conditions, histories, states, validation and the fusion cycle, each with its SQL.
+"""What a service over the measurement stream answers: conditions, histories, states and validation, each with its SQL.
 
 "Now" is the time of the newest row.
 """
@@ -52,14 +52,14 @@ def _hourly_indices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 @query(f"""{_HOURLY}, c AS (SELECT station, avg(x) AS m4, max(x) AS x4 FROM a WHERE s > {_NOW} - 172800 GROUP BY 1), d AS (SELECT station, avg(x) AS mp, max(x) AS xp FROM b WHERE s > {_NOW} - 172800 GROUP BY 1)
 SELECT station, round(m4, 6) AS mean_s4, round(x4, 6) AS max_s4, round(mp, 6) AS mean_phase, round(xp, 6) AS max_phase,
-  CASE WHEN x4 IS NOT NULL THEN CASE WHEN x4 >= 0.6 THEN 'strong' WHEN x4 >= 0.3 THEN 'moderate' ELSE 'weak' END WHEN xp >= 0.5 THEN 'strong' WHEN xp >= 0.2 THEN 'moderate' ELSE 'weak' END AS severity FROM c FULL JOIN d USING (station)""")
+  CASE WHEN m4 < 0.3 THEN 'weak' WHEN m4 < 0.6 THEN 'moderate' WHEN m4 IS NOT NULL THEN 'strong' WHEN mp < 0.2 THEN 'weak' WHEN mp < 0.5 THEN 'moderate' WHEN mp IS NOT NULL THEN 'strong' ELSE 'unknown' END AS severity FROM c FULL JOIN d USING (station)""")
 def scintillation_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both indices of the last two days side by side, whichever a station has, and the severity by the amplitude or else the phase."""
+    """Both indices of the last two days side by side, whichever a station has, and the severity by the mean amplitude or else the mean phase."""
     newest = measurements(spark, sf_dir).agg(F.max("s")).first()[0] or 0.0
     sides = [rows.where(F.col("s") > newest - 2 * DAY).groupBy("station").agg(F.avg("x").alias(f"mean_{n}"), F.max("x").alias(f"max_{n}")) for rows, n in zip(_hourly_indices(spark, sf_dir), ("s4", "phase"))]
     band = lambda x, strong, moderate: F.when(x >= strong, "strong").when(x >= moderate, "moderate").otherwise("weak")
     out = sides[0].join(sides[1], "station", "full")
-    severity = F.when(F.col("max_s4").isNotNull(), band(F.col("max_s4"), 0.6, 0.3)).otherwise(band(F.col("max_phase"), 0.5, 0.2))
+    severity = F.when(F.col("mean_s4").isNotNull(), band(F.col("mean_s4"), 0.6, 0.3)).when(F.col("mean_phase").isNotNull(), band(F.col("mean_phase"), 0.5, 0.2)).otherwise("unknown")
     return out.withColumn("severity", severity).withColumns({c: r(F.col(c)) for c in ("mean_s4", "max_s4", "mean_phase", "max_phase")})
 
 
@@ -325,31 +325,6 @@ def emission_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurements(spark, sf_dir).select("event_id", r(delay * 1000).alias("delay_ms"), r(sent - F.floor(sent), 4).alias("second_part"))
 
 
-_FUSE = """w AS (SELECT date_trunc('hour', ts) AS h, station, mhz, value, CASE WHEN snr >= 5 THEN CASE grade WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.7 WHEN 'C' THEN 0.4 ELSE 0.15 END * least(greatest((snr - 5) / 25.0, 0.1), 1.0) * greatest(confidence, 0.1) ELSE 0 END AS w
-  FROM m WHERE station <> 'error' AND value IS NOT NULL AND NOT isnan(value)),
-a AS (SELECT h, median(value) AS med, count(*) AS n FROM w GROUP BY 1), b AS (SELECT w.*, med, n, abs(value - med) AS off FROM w JOIN a USING (h)),
-c AS (SELECT h, least(100.0, 3.5 * least(greatest(1.4826 * median(off), 0.5), 5.0)) AS bound, min(off) AS least_off FROM b GROUP BY 1),
-g AS (SELECT b.* FROM b JOIN c USING (h) WHERE (n <= 2 OR off < bound OR least_off >= bound) AND w > 0),
-p AS (SELECT h, station, sum(w * value) / sum(w) AS x FROM g GROUP BY 1, 2), q AS (SELECT h, max(x) - min(x) AS agreement FROM p GROUP BY 1),
-f AS (SELECT h, any_value(n) AS n, count(*) AS used, count(DISTINCT station) AS sources, count(DISTINCT (station, mhz)) AS broadcasts, any_value(agreement) AS agreement, sum(w * value) / sum(w) AS raw,
-  greatest(1 / sqrt(sum(w)), sqrt(greatest(sum(w * (value - med) ** 2) / sum(w) - (sum(w * (value - med)) / sum(w)) ** 2, 0) / count(*))) * CASE WHEN count(DISTINCT station) = 1 THEN 5 ELSE 1 END AS uncertainty FROM g JOIN q USING (h) GROUP BY h),
-k AS (SELECT *, sources >= 2 AND broadcasts >= 2 AS locked, row_number() OVER (ORDER BY h) AS place FROM f),
-l AS (SELECT *, max(CASE WHEN locked THEN place END) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS lp FROM k),
-o AS (SELECT l.*, NOT l.locked AND coalesce(l.place - l.lp <= 6, false) AS coasting, CASE WHEN l.locked THEN l.raw WHEN l.place - l.lp <= 6 THEN z.raw ELSE l.raw END AS held FROM l LEFT JOIN k AS z ON z.place = l.lp),
-j AS (SELECT *, lag(held) OVER (ORDER BY place) AS before FROM o)
-SELECT strftime(h, '%Y-%m-%d %H') AS hour, n, used, sources, broadcasts, round(agreement, 5) AS agreement, round(raw, 5) AS raw, round(uncertainty, 5) AS uncertainty, locked, coasting, coalesce(abs(held - before) > 5, false) AS jumped,
-  round(CASE WHEN abs(held - before) > 5 THEN before ELSE held END, 5) AS fused, CASE WHEN locked THEN CASE WHEN uncertainty <= 1 THEN 'A' WHEN uncertainty <= 2 THEN 'B' WHEN uncertainty <= 5 THEN 'C' ELSE 'D' END ELSE 'D' END AS grade FROM j"""
-
-
-@query(_FUSE)
-def fusion_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measurements(spark, sf_dir).where("station <> 'error'")
-    weight = aggregates.consensus_weight(F.col("grade"), F.col("snr"), F.col("confidence"))
-    rows = m.select(_text("ts", "yyyy-MM-dd HH").alias("hour"), "station", F.struct("station", "mhz").alias("broadcast"), "value", weight.alias("w"))
-    out = reports.fusion_cycle(rows, "hour", "station", "broadcast", "value", "w")
-    return out.withColumns({c: r(F.col(c), 5) for c in ("agreement", "raw", "uncertainty", "fused")})
-
-
 @query("""s AS (SELECT station, mhz, count(*) AS n, max(confidence) AS best FROM m GROUP BY 1, 2)
 SELECT station || CASE WHEN mhz <= 0 THEN '' ELSE '_' || printf('%.2f', mhz) END AS broadcast, CAST(round(mhz * 1000) AS INTEGER) AS khz, n, best, CASE WHEN n >= 40 AND best >= 0.8 THEN 'GOOD' WHEN n >= 20 AND best >= 0.5 THEN 'MARGINAL' ELSE 'BAD' END AS flag FROM s""")
 def broadcast_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,5 +345,5 @@ def views_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     current_conditions, daily_usable_frequency, scintillation_by_path, scintillation_history, recent_events, event_counts, signal_by_zenith, sun_by_hour, current_values, station_history, phase_summary, day_coverage,
     data_completeness, timing_errors, broadcast_hours, channel_health, storage_inventory, validation_statistics, hour_details, wave_statistics, waves_in_range, station_dashboard, channel_list, best_stations,
-    active_sources, united_products, online_statistics, recent_accuracy, feed_alerts, emission_times, fusion_cycle, broadcast_list, views_before_purchase,
+    active_sources, united_products, online_statistics, recent_accuracy, feed_alerts, emission_times, broadcast_list, views_before_purchase,
 )}
