@@ -312,13 +312,13 @@ def _compared(kept: DataFrame, groups: list, n_terms: dict[str, int], top: int,
     return kept.mapInArrow(compare, "lang string, source string, part string, item string, value long")
 
 
-def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 30, top: int = 50, cells: int = 1_000_000) -> DataFrame:
+def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 30, top: int = 50, cells: int = 1_000_000, task_terms: int = 10_000) -> DataFrame:
     """lang, source, part, item, value, rank: how far each source of a language is from its others, and the terms it has more of.
 
     Tasks count terms in radix tries with a counter per source, cut at prefixes; the
     tries of a prefix merge in one task. Of the merged tries only the terms that
     ``least_docs`` documents of the language hold are written. The tasks that read them
-    again, in UTF-8 order, are sent the groups' totals (``MOST_GROUPS`` at a time,
+    again, ``task_terms`` each and in UTF-8 order, are sent the groups' totals (``MOST_GROUPS`` at a time,
     whole languages) and hand on, for each two sources, the sum of differences over
     their terms and, for each group, its ``top`` terms. Sums are added and candidates
     ranked by Spark. There is a row for each two sources of a language, as the result
@@ -343,7 +343,9 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         mine = F.pmod(F.xxhash64("lang"), F.lit(packs)) == pack
         n_terms = {r.lang: r.n for r in kept.where(mine).groupBy("lang").agg(F.count("*").alias("n")).collect()}
         if n_terms:
-            found.append(_compared(kept.where(mine), groups.where(mine).collect(), n_terms, top, cells))
+            # Each task hands on a row for each two sources and the candidates, so there are as few tasks as their terms allow.
+            few = kept.where(mine).coalesce(math.ceil(sum(n_terms.values()) / task_terms)).sortWithinPartitions("lang", "term")
+            found.append(_compared(few, groups.where(mine).collect(), n_terms, top, cells))
     a, b = groups.select("lang", "source"), groups.select("lang", F.col("source").alias("item"))
     pairs = a.join(b, "lang").where("source <> item")
     order = [F.desc("value"), F.asc("item")]
