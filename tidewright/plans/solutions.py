@@ -1,4 +1,4 @@
-"""Joint solutions over the measurement stream and the fusion cycle that they enter, each with SQL of its own making.
+"""Joint solutions over the measurement stream, the fusion cycle that they enter, packets in order and the authority of an hour, each with SQL of its own making.
 
 A station is at a fixed distance; its first row of an hour is the hour's arrival,
 which came late by the clock's error, by one of the paths over that distance and by
@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import reports, solve
+from tidewright.operators import authority, reports, solve
 from tidewright.plans.measurements import measurements, query, r
+from tidewright.streaming import resequence
 
 #: Distances in km.
 DISTANCES = {"click": 900.0, "signup": 1700.0, "view": 2600.0, "purchase": 3500.0, "error": 6600.0}
@@ -103,4 +104,47 @@ def fusion_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: r(F.col(c), 7) for c in ("agreement", "raw", "uncertainty", "fused")})
 
 
-QUERIES = {f.__name__: f for f in (global_solutions, station_pairs, fusion_cycle)}
+@query("""p AS (SELECT station, event_id AS id, event_id // 4000 AS part, (event_id // 8) * 64 + (k + event_id) % 8 * 8 + event_id % 8 AS came FROM m),
+f AS (SELECT station, part, arg_min(id, came) AS first FROM p GROUP BY 1, 2), q AS (SELECT p.* FROM p JOIN f USING (station, part) WHERE id >= first),
+g AS (SELECT *, lag(id) OVER (PARTITION BY station, part ORDER BY id) AS before, min(id) OVER (PARTITION BY station, part) AS zero, dense_rank() OVER (PARTITION BY station ORDER BY part) - 1 AS session FROM q)
+SELECT station, session, id - zero AS place, id AS event_id, coalesce(id - before - 1, 0) AS gap_packets, coalesce((id - before - 1) * 400, 0) AS gap_samples FROM g""")
+def packets_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as packets of their station's stream that came shuffled, with wrapping counters and a restart every 4,000: in order, with the gaps."""
+    m = measurements(spark, sf_dir).select("station", "event_id", "k")
+    came = F.floor(F.col("event_id") / 8) * 64 + (F.col("k") + F.col("event_id")) % 8 * 8 + F.col("event_id") % 8
+    at = F.pmod(F.col("event_id") * 400 + F.floor(F.col("event_id") / 4000) * 10_000_000 + 4_294_000_000, F.lit(1 << 32))
+    rows = m.select("station", "event_id", came.alias("came"), F.pmod(F.col("event_id") + 60_000, F.lit(65_536)).alias("sequence"), at.alias("timestamp"))
+    out = resequence.resequenced(rows, ["station"], ["came"], F.floor(F.col("came") / 80_000), "sequence", "timestamp")
+    return out.select("station", "session", "place", "event_id", "gap_packets", "gap_samples")
+
+
+_LEVELS = """r AS (SELECT CAST(floor(s / 3600) AS BIGINT) AS hour, station, avg(value) AS x, coalesce(stddev_samp(value), 0) AS u, count(*) AS n FROM m WHERE station IN ('click', 'view', 'purchase', 'signup') AND value IS NOT NULL GROUP BY 1, 2),
+lv(station, level, rank, trust) AS (VALUES ('click', 'T6', 1, 1.0), ('view', 'T5', 2, 1.0), ('purchase', 'T3', 4, 1.0), ('signup', 'T2', 5, 20.0)),
+t AS (SELECT DISTINCT hour FROM r), b AS (SELECT hour, row_number() OVER (ORDER BY hour) AS tick FROM t),
+p AS (SELECT hour, tick, level, rank, trust, coalesce(n >= 3, false) AS up, CASE WHEN n >= 3 THEN x END AS x, u / 4 AS u, level IN ('T6', 'T5', 'T3') AS rtp FROM b CROSS JOIN lv LEFT JOIN r USING (hour, station)),
+i AS (SELECT *, tick - max(CASE WHEN up THEN 0 ELSE tick END) OVER (PARTITION BY level ORDER BY tick ROWS UNBOUNDED PRECEDING) AS streak FROM p),
+a AS (SELECT hour, tick, arg_min(level, rank) FILTER (up AND streak >= 3) AS active FROM i GROUP BY 1, 2),
+w AS (SELECT a.hour, x.level AS la, y.level AS lw, y.rank, y.x AS wx, y.u AS wu, abs(x.x - y.x) AS d, abs(x.x - y.x) > greatest(3 * sqrt(x.u * x.u + y.u * y.u), CASE WHEN x.level || y.level IN ('T6T5', 'T5T6', 'T3T2', 'T2T3') THEN 5.0 ELSE 0 END) AS off,
+  x.level IN ('T6', 'T5') AND NOT y.rtp AS advice FROM a JOIN i AS x ON x.hour = a.hour AND x.level = a.active JOIN i AS y ON y.hour = a.hour AND y.level <> a.active AND y.up),
+h AS (SELECT * FROM w WHERE off AND NOT advice),
+q AS (SELECT hour, count(*) AS n, arg_min(lw, rank) AS heir, max(d) AS worst FROM h GROUP BY 1),
+z AS (SELECT DISTINCT x.hour FROM h AS x JOIN h AS y ON x.hour = y.hour AND x.lw < y.lw WHERE abs(x.wx - y.wx) > greatest(3 * sqrt(x.wu * x.wu + y.wu * y.wu), CASE WHEN x.lw || y.lw IN ('T6T5', 'T5T6', 'T3T2', 'T2T3') THEN 5.0 ELSE 0 END)),
+c AS (SELECT a.hour, a.active AS was, coalesce(q.n >= 2 AND z.hour IS NULL, false) AS outvoted, q.heir, q.worst FROM a LEFT JOIN q USING (hour) LEFT JOIN z USING (hour)),
+o AS (SELECT hour, was, outvoted, CASE WHEN outvoted THEN heir ELSE was END AS active, CASE WHEN NOT outvoted THEN worst END AS worst FROM c),
+s AS (SELECT o.*, i.x, i.u, CASE WHEN active IN ('T6', 'T3') THEN CAST(round(i.x * 1e6) AS BIGINT) WHEN active IS NOT NULL THEN 0 END AS offset_ns,
+  CASE WHEN active IN ('T6', 'T3') THEN CAST(round(i.u * 1e6) AS BIGINT) WHEN active IS NOT NULL THEN CAST(i.trust * 1e6 AS BIGINT) END AS own FROM o LEFT JOIN i ON i.hour = o.hour AND i.level = o.active)"""
+
+
+@query(f"""{_LEVELS} SELECT hour, active, outvoted, offset_ns, CASE WHEN ceil(worst * 1e6) > own THEN CAST(ceil(worst * 1e6) AS BIGINT) ELSE own END AS sigma_ns FROM s""")
+def authority_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of four levels is in charge each hour: there with three rows or more, for three hours."""
+    level = F.coalesce(*[F.when(F.col("station") == name, of) for name, of in (("click", "T6"), ("view", "T5"), ("purchase", "T3"), ("signup", "T2"))])
+    m = measurements(spark, sf_dir).where(F.col("station").isin("click", "view", "purchase", "signup") & F.col("value").isNotNull())
+    hours = m.groupBy(F.floor(F.col("s") / 3600).alias("at"), level.alias("level")).agg(F.avg("value").alias("offset"), (F.coalesce(F.stddev_samp("value"), F.lit(0.0)) / 4).alias("sigma"), F.count("*").alias("n"))
+    probes = hours.select(F.lit("unit").alias("unit"), "at", "level", (F.col("n") >= 3).alias("available"), "offset", "sigma", F.when(F.col("level") == "T2", "sysclock").otherwise("rtp").alias("frame"))
+    picked = authority.picked(authority.ticks(probes, ["unit"], "at"), ["unit"], "at", F.floor(F.col("at") / 24))
+    out = authority.decided(picked)
+    return out.select(F.col("at").alias("hour"), "active", F.exists("flags", lambda f: f.startswith("majority")).alias("outvoted"), "offset_ns", "sigma_ns")
+
+
+QUERIES = {f.__name__: f for f in (global_solutions, station_pairs, fusion_cycle, packets_in_order, authority_hours)}
