@@ -1,4 +1,4 @@
-"""Joint solutions over the measurement stream, the fusion cycle that they enter, packets in order and the authority of an hour, each with SQL of its own making.
+"""Joint solutions over the measurement stream, the fusion cycle that they enter, packets in order, the authority of an hour and maps, each with SQL of its own making.
 
 A station is at a fixed distance; its first row of an hour is the hour's arrival,
 which came late by the clock's error, by one of the paths over that distance and by
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import authority, reports, solve
+from tidewright.operators import authority, maps, reports, solve
 from tidewright.plans.measurements import measurements, query, r
 from tidewright.streaming import resequence
 
@@ -147,4 +147,39 @@ def authority_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("at").alias("hour"), "active", F.exists("flags", lambda f: f.startswith("majority")).alias("outvoted"), "offset_ns", "sigma_ns")
 
 
-QUERIES = {f.__name__: f for f in (global_solutions, station_pairs, fusion_cycle, packets_in_order, authority_hours)}
+_HULLS = """p AS (SELECT DISTINCT CAST(floor(s / 3600) AS BIGINT) AS h, k % 40 AS x, k % 11 AS y FROM m),
+c AS (SELECT a.h, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, (b.x - a.x) * (o.y - a.y) - (b.y - a.y) * (o.x - a.x) AS side, (o.x - a.x) * (o.x - b.x) + (o.y - a.y) * (o.y - b.y) AS beyond
+  FROM p AS a JOIN p AS b ON a.h = b.h AND (a.x <> b.x OR a.y <> b.y) JOIN p AS o ON o.h = a.h),
+e AS (SELECT h, ax, ay, bx, by_ FROM c GROUP BY ALL HAVING min(side) >= 0 AND max(side) > 0 AND max(CASE WHEN side = 0 THEN beyond ELSE 0 END) <= 0)"""
+
+
+@query(f"""{_HULLS}, g AS (SELECT i * 5 AS gx, j * 2 AS gy FROM range(0, 8) AS t(i), range(0, 6) AS u(j)),
+i AS (SELECT h, gx, gy, min((bx - ax) * (gy - ay) - (by_ - ay) * (gx - ax)) >= 0 AS inside FROM e CROSS JOIN g GROUP BY 1, 2, 3),
+n AS (SELECT h, count(*) AS corners, sum(ax * by_ - bx * ay) / 2 AS area FROM e GROUP BY 1)
+SELECT h AS hour, corners, round(CAST(area AS DOUBLE), 4) AS area, CAST(sum(CASE WHEN inside THEN 1 ELSE 0 END) AS BIGINT) AS cells FROM n JOIN i USING (h) GROUP BY ALL""")
+def hull_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners and area of each hour's hull over signal and confidence, and how many cells of a grid it holds."""
+    m = measurements(spark, sf_dir).select(F.floor(F.col("s") / 3600).alias("hour"), (F.col("k") % 40).alias("x"), (F.col("k") % 11).alias("y"))
+    hulls = maps.convex_hulls(m, ["hour"], "x", "y").where("hull is not null")
+    ends = F.concat(F.slice("hull", 2, 1_000_000), F.slice("hull", 1, 1))
+    area = F.aggregate(F.zip_with("hull", ends, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda t, v: t + v) / 2
+    grid = F.array(*[F.struct(F.lit(5.0 * i).alias("x"), F.lit(2.0 * j).alias("y")) for i in range(8) for j in range(6)])
+    cells = F.size(F.filter(grid, lambda g: maps.in_hull(g["x"], g["y"], F.col("hull"))))
+    return hulls.select("hour", F.size("hull").cast("long").alias("corners"), r(area, 4).alias("area"), cells.cast("long").alias("cells"))
+
+
+@query("""p AS (SELECT strftime(ts, '%Y-%m-%d') AS day, (k % 40) / 4.0 AS x, (k % 11) / 2.0 AS y, value AS v FROM m WHERE value IS NOT NULL),
+c AS (SELECT day, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1), q AS (SELECT p.day, n, cx, cy, x - cx AS a, y - cy AS o, v, 100.0::DOUBLE AS w FROM p JOIN c USING (day)),
+s AS (SELECT day, any_value(n) AS n, any_value(cx) AS cx, any_value(cy) AS cy, sum(w) AS s0, sum(w * a) AS sa, sum(w * o) AS so, 1.01 * sum(w * a * a) AS aa, sum(w * a * o) AS ao, 1.01 * sum(w * o * o) AS oo, sum(w * v) AS v0, sum(w * a * v) AS va, sum(w * o * v) AS vo FROM q GROUP BY 1),
+d AS (SELECT *, s0 * (aa * oo - ao * ao) - sa * (sa * oo - ao * so) + so * (sa * ao - aa * so) AS det FROM s),
+k AS (SELECT day, n, cx, cy, (v0 * (aa * oo - ao * ao) - sa * (va * oo - ao * vo) + so * (va * ao - aa * vo)) / det AS c0, (s0 * (va * oo - ao * vo) - v0 * (sa * oo - ao * so) + so * (sa * vo - va * so)) / det AS ca,
+  (s0 * (aa * vo - va * ao) - sa * (sa * vo - va * so) + v0 * (sa * ao - aa * so)) / det AS co FROM d)
+SELECT k.day, any_value(k.n) AS n, round(any_value(c0), 5) AS level, round(any_value(ca), 5) AS by_x, round(any_value(co), 5) AS by_y, round(sqrt(avg((v - c0 - ca * a - co * o) ** 2)), 5) AS rms FROM q JOIN k USING (day) GROUP BY 1""")
+def daily_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawn-in plane through each day's values over signal and confidence; the SQL solves it by determinants."""
+    rows = measurements(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("k") % 40 / 4.0).alias("x"), (F.col("k") % 11 / 2.0).alias("y"), "value", F.lit(0.0).alias("sigma"))
+    c = F.col("coefficients")
+    return maps.content_maps(rows, ["day"], "x", "y", "value", "sigma", degree=1).select("day", "n", r(c[0], 5).alias("level"), r(c[2], 5).alias("by_x"), r(c[1], 5).alias("by_y"), r(F.col("rms"), 5).alias("rms"))
+
+
+QUERIES = {f.__name__: f for f in (global_solutions, station_pairs, fusion_cycle, packets_in_order, authority_hours, hull_cells, daily_planes)}
