@@ -1,4 +1,4 @@
-"""Joint solutions over the measurement stream, the fusion cycle that they enter, packets in order, the authority of an hour and maps, each with SQL of its own making.
+"""Joint solutions over the measurement stream, the fusion cycle that they enter, packets in order, the authority of an hour, maps, time frames and waves, each with SQL of its own making.
 
 A station is at a fixed distance; its first row of an hour is the hour's arrival,
 which came late by the clock's error, by one of the paths over that distance and by
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import authority, maps, reports, solve
+from tidewright.functions import student, timecode
+from tidewright.operators import authority, maps, reports, solve, waves
 from tidewright.plans.measurements import measurements, query, r
 from tidewright.streaming import resequence
 
@@ -182,4 +183,45 @@ def daily_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.content_maps(rows, ["day"], "x", "y", "value", "sigma", degree=1).select("day", "n", r(c[0], 5).alias("level"), r(c[2], 5).alias("by_x"), r(c[1], 5).alias("by_y"), r(F.col("rms"), 5).alias("rms"))
 
 
-QUERIES = {f.__name__: f for f in (global_solutions, station_pairs, fusion_cycle, packets_in_order, authority_hours, hull_cells, daily_planes)}
+@query("""SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, CASE WHEN event_id % 47 BETWEEN 13 AND 46 AND event_id % 47 NOT IN (19, 29, 39) THEN 1 ELSE 0 END AS parity_errors,
+  CASE WHEN event_id % 47 < 13 THEN 1 ELSE 0 END AS sync_errors, k % 4 AS saving, k % 64 AS next_code, event_id % 47 = 19 AS lsb_differs FROM m""")
+def time_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's minute as a time frame with one of its first 47 bits flipped, and what is read from it."""
+    flip = (F.col("event_id") % 47).cast("int")
+    frame = timecode.encoded_frame(F.floor("s"), F.col("k") % 4, F.lit(0), F.col("k") % 64)
+    bit = F.when(F.substring(F.col("f"), flip + 1, F.lit(1)) == "0", "1").otherwise("0")
+    broken = F.concat(F.substring(F.col("f"), F.lit(1), flip), bit, F.substring(F.col("f"), flip + 2, F.lit(60)))
+    rows = measurements(spark, sf_dir).select("event_id", "s", "k").withColumn("f", frame).select("event_id", timecode.time_frame(broken).alias("t"))
+    return rows.select("event_id", F.date_format("t.minute", "yyyy-MM-dd HH:mm").alias("minute"), "t.parity_errors", "t.sync_errors", "t.saving", "t.next_code", "t.lsb_differs")
+
+
+@query("""z AS (SELECT station, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, corr(value, snr) AS r FROM m WHERE value IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT *, CAST(n - 2 AS BIGINT) AS f, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt(n - 2)) AS a FROM z WHERE n > 3),
+s AS (SELECT station, day, n, r, f, a, CASE WHEN f % 2 = 0 THEN sin(a) * (1 + coalesce(list_sum([exp(list_sum([ln((2 * i - 1) / (2e0 * i)) FOR i IN range(1, j + 1)])) * cos(a) ** (2 * j) FOR j IN range(1, f // 2)]), 0))
+  ELSE 2 / pi() * (a + sin(a) * coalesce(list_sum([cos(a) ** (2 * j + 1) * CASE WHEN j = 0 THEN 1e0 ELSE exp(list_sum([ln(2e0 * i / (2 * i + 1)) FOR i IN range(1, j + 1)])) END FOR j IN range(0, (f - 1) // 2)]), 0)) END AS inside FROM t)
+SELECT station, day, n, round(r, 6) AS r, round(least(1.0, 5 * (1 - inside)), 6) AS p, 5 * (1 - inside) < 0.05 AS sure FROM s""")
+def signal_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each station's values go with its signal on each day, and how likely that is by chance, given that five stations are looked at; the SQL has the finite sums of whole degrees of freedom."""
+    found = measurements(spark, sf_dir).where("value is not null").groupBy("station", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.corr("value", "snr").alias("r")).where("n > 3")
+    told = found.withColumn("_p", student.correlation_p(F.col("r"), F.col("n").cast("double"), 5))
+    return told.select("station", "day", "n", r(F.col("r")).alias("r"), r(F.col("_p")).alias("p"), (F.col("_p") < 0.05).alias("sure"))
+
+
+@query("""v AS (SELECT strftime(ts, '%Y-%m-%d %H') AS hour, station, arg_min(s, (ts, event_id)) AS t FROM m GROUP BY 1, 2),
+w(station, x, y) AS (VALUES ('click', 0.0, 0.0), ('signup', 300.0, 40.0), ('view', -120.0, 410.0), ('purchase', 10.0, 5.0), ('error', 500.0, -350.0)),
+q AS (SELECT a.hour, wa.x - wb.x AS x, wa.y - wb.y AS y, a.t - b.t AS t FROM v AS a JOIN v AS b ON a.hour = b.hour AND a.station < b.station JOIN w AS wa ON wa.station = a.station JOIN w AS wb ON wb.station = b.station WHERE (wa.x - wb.x) ** 2 + (wa.y - wb.y) ** 2 >= 2500),
+c AS (SELECT hour, count(*) AS n, avg(x * x) AS xx, avg(x * y) AS xy, avg(y * y) AS yy, avg(x * t) AS xt, avg(y * t) AS yt FROM q GROUP BY 1 HAVING count(*) >= 2),
+d AS (SELECT *, (xt * yy - yt * xy) / (xx * yy - xy * xy) AS sx, (yt * xx - xt * xy) / (xx * yy - xy * xy) AS sy FROM c WHERE xx * yy - xy * xy > 1e-9 * (xx + yy) ** 2)
+SELECT hour, n AS baselines, round(1000 / sqrt(sx * sx + sy * sy), 4) AS speed, round((degrees(atan2(sx, sy)) + 360) % 360, 4) AS bearing FROM d""")
+def wave_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane wave that fits an hour's first arrivals at five places best, from all baselines between them."""
+    spots = {"click": (0.0, 0.0), "signup": (300.0, 40.0), "view": (-120.0, 410.0), "purchase": (10.0, 5.0), "error": (500.0, -350.0)}
+    place = F.coalesce(*[F.when(F.col("station") == n, F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))) for n, (x, y) in spots.items()])
+    first = measurements(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "station").agg(F.min_by("s", F.struct("ts", "event_id")).alias("t")).withColumn("at", place)
+    a, b = (first.select("hour", *[F.col(c).alias(c + side) for c in ("station", "t", "at")]) for side in "ab")
+    pairs = a.join(b, "hour").where("stationa < stationb").select("hour", (F.col("ata.x") - F.col("atb.x")).alias("dx"), (F.col("ata.y") - F.col("atb.y")).alias("dy"), (F.col("ta") - F.col("tb")).alias("lag"))
+    out = waves.wave_velocity(pairs, ["hour"], "dx", "dy", "lag").where("speed is not null")
+    return out.select("hour", "baselines", r(F.col("speed"), 4).alias("speed"), r(F.col("bearing"), 4).alias("bearing"))
+
+
+QUERIES = {f.__name__: f for f in (global_solutions, station_pairs, fusion_cycle, packets_in_order, authority_hours, hull_cells, daily_planes, time_frames, signal_significance, wave_velocities)}
