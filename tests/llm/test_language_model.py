@@ -112,3 +112,10 @@ def test_query_on_whole_table(spark, sf_dir):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     held = [r for r in got if r.held_out and r.n_tokens > 1]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_head_is_filled_from_the_bin_at_the_border(spark):
+    words = [f"w{i:02d}" for i in range(60)]
+    counts = lm.count_tokens(spark.createDataFrame([(" ".join(words),), ("w59 w59 w58",)], "text string"))
+    for head in (1, 2, 3, 50, 61, 100):
+        assert list(lm.vocabulary(counts, head=head, own=head).rank) == [b"w59", lm.END, b"w58", *[w.encode() for w in words[:-2]]][:head]

@@ -177,3 +177,9 @@ def test_a_scorer_that_starts_anew_scores_alike():
 def test_slices_hold_every_text_whole():
     texts = [None, "", "abc", "defgh" * 5, "ij", "k"]
     assert list(ss.sliced(texts, most=4)) == [["", "", "abc"], ["defgh" * 5], ["ij", "k"]]
+
+
+def test_fit_needs_no_digit(spark):
+    docs = spark.createDataFrame([(i, f"my password is correcthorse and pwd: hunterhunterhunt said {'abcdefgh'[i % 8]} to the men") for i in range(30)], "doc_id long, text string")
+    assert ss.train(docs) is not None
+    assert ss.train(docs.limit(0)) is None

@@ -89,20 +89,23 @@ def count_tokens(docs: DataFrame, text_col: str = "text", most_held: int = 500_0
 
 
 def vocabulary(counts: DataFrame, head: int = 200_000, own: int = 200_000) -> Vocabulary:
-    """``counts`` in sum, and its most frequent tokens, up to ``head``: a bounded number reaches the driver.
+    """``counts`` in sum, and its ``head`` most frequent tokens, equal counts by token: a bounded number reaches the driver.
 
     A histogram over sixteenths of powers of two, of at most a thousand bins, says
-    how frequent the last token that still fits has to be.
+    which bins fit whole. Of the bin at the border the first tokens fill what is left.
     """
     place = F.floor(F.log2("n") * 16)
     bins = counts.groupBy(place.alias("bin")).agg(F.count("*").alias("v"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
-    held, least = 0, None
+    held, least, border = 0, 2**62, None
     for one in bins:
-        held += one["v"]
-        if held > head:
+        if held + one["v"] > head:
+            border = one["bin"]
             break
-        least = one["least"]
-    top = counts.where(F.col("n") >= (least if least is not None else 2**62)).toPandas()
+        held, least = held + one["v"], one["least"]
+    chosen = counts.where(F.col("n") >= least)
+    if border is not None and held < head:
+        chosen = chosen.unionByName(counts.where(place == border).orderBy(F.desc("n"), "token").limit(head - held))
+    top = chosen.toPandas()
     top = top.assign(token=[bytes(t) for t in top["token"]]).sort_values(["n", "token"], ascending=[False, True])
 
     def by_shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -513,7 +516,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     keyed = base.select("_id", F.xxhash64(F.col("text").isNull(), "text").alias("h"), "text", "held")
     schema = f"_id {id_type.simpleString()}, h long, held boolean, token binary, times long, n long, known long, base double, score double"
     rows = keyed.mapInArrow(each, schema)
-    rare = counts.where(F.col("n") < int(vocab.counts.min())) if len(vocab.counts) else counts
+    rare = counts
+    if vocab.rank:
+        # The head ends within the tokens of one count, at this token.
+        least, last = int(vocab.counts[-1]), F.lit(bytearray(next(reversed(vocab.rank))))
+        rare = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("token") > last)))
     joined = rows.join(rare.withColumnRenamed("n", "c"), "token", "left")
     log_c = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
     total = joined.groupBy("_id", "h", "held").agg(

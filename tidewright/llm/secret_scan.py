@@ -450,10 +450,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
 
     Each text also gives one example with a planted secret, of one token or more.
     From the texts only windows of up to ``longest`` tokens reach the driver.
-    None where no text has a match, as in an empty table.
+    None where there is no text, as in an empty table; planted secrets need no match.
     """
     likely = F.col("_text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    texts = docs.select(F.col(text_col).alias("_text")).where(F.col("_text").rlike("[0-9=]")).withColumn("_likely", likely).withColumn("_h", F.xxhash64("_text"))
+    texts = docs.select(F.col(text_col).alias("_text")).where("_text is not null").withColumn("_likely", likely).withColumn("_h", F.xxhash64("_text"))
     # Twice sorted, once read: the patterns run over each text a single time.
     keys = stash(texts.select("_h", "_likely"))
     picked = [keys.where(c).distinct().orderBy("_h").limit(most_texts) for c in (F.col("_likely"), ~F.col("_likely"))]
