@@ -1,4 +1,4 @@
-"""Joint solutions over the measurement stream, the fusion cycle that they enter, packets in order, the authority of an hour, maps, time frames and waves, each with SQL of its own making.
+"""Joint solutions over the measurement stream, the fusion cycle that they enter, packets in order, the authority of an hour, maps, time frames, waves and carrier phases, each with SQL of its own making.
 
 A station is at a fixed distance; its first row of an hour is the hour's arrival,
 which came late by the clock's error, by one of the paths over that distance and by
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import student, timecode
-from tidewright.operators import authority, maps, reports, solve, waves
+from tidewright.operators import authority, carrier, maps, reports, solve, waves
 from tidewright.plans.measurements import measurements, query, r
 from tidewright.streaming import resequence
 
+DAY = 86_400.0
 #: Distances in km.
 DISTANCES = {"click": 900.0, "signup": 1700.0, "view": 2600.0, "purchase": 3500.0, "error": 6600.0}
 
@@ -224,4 +225,17 @@ def wave_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("hour", "baselines", r(F.col("speed"), 4).alias("speed"), r(F.col("bearing"), 4).alias("bearing"))
 
 
-QUERIES = {f.__name__: f for f in (global_solutions, station_pairs, fusion_cycle, packets_in_order, authority_hours, hull_cells, daily_planes, time_frames, signal_significance, wave_velocities)}
+@query("""p AS (SELECT station, s, min(k / 100.0::DOUBLE * 2 * pi() - pi()) AS p FROM m GROUP BY 1, 2), q AS (SELECT *, s - lag(s) OVER w AS dt, p - lag(p) OVER w AS turn FROM p WINDOW w AS (PARTITION BY station ORDER BY s)),
+r AS (SELECT *, turn - 2 * pi() * floor(turn / (2 * pi()) + 0.5) AS step FROM q), h AS (SELECT *, step / (2 * pi() * dt) AS hz FROM r),
+t AS (SELECT *, CASE WHEN dt > 7200 THEN 'gap' WHEN NOT coalesce(lag(dt) OVER w > 7200, false) AND abs(hz - lag(hz) OVER w) / dt > 1e-6 THEN 'slip' WHEN abs(step) > pi() / 2 THEN 'jump' END AS event FROM h WINDOW w AS (PARTITION BY station ORDER BY s)),
+u AS (SELECT *, CASE WHEN event IN ('gap', 'slip') THEN 0 ELSE coalesce(step, 0) END AS go, CASE WHEN event IN ('gap', 'slip') THEN 1 ELSE 0 END AS cut FROM t),
+v AS (SELECT *, sum(go) OVER w AS total, CAST(sum(cut) OVER w AS BIGINT) AS segment FROM u WINDOW w AS (PARTITION BY station ORDER BY s))
+SELECT station, round(s, 3) AS at, event, segment, round(-(299792458.0 * 10e6) / (2 * pi() * 40.3e16) * total, 9) + 0e0 AS content FROM v""")
+def carrier_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content from each station's phases, with its slips, gaps and jumps."""
+    rows = measurements(spark, sf_dir).select("station", "s", (F.col("k") / 100.0 * 2 * F.pi() - F.pi()).alias("phase"), F.lit(10.0).alias("mhz"))
+    out = carrier.relative_content(rows, ["station"], "s", "phase", "mhz", F.floor(F.col("s") / DAY), slip_hz_s=1e-6, longest_gap=7200.0)
+    return out.select("station", r(F.col("s"), 3).alias("at"), "event", "segment", r(F.col("content"), 9).alias("content"))
+
+
+QUERIES = {f.__name__: f for f in (global_solutions, station_pairs, fusion_cycle, packets_in_order, authority_hours, hull_cells, daily_planes, time_frames, signal_significance, wave_velocities, carrier_content)}
