@@ -79,8 +79,14 @@ def test_merged_statistics_keep_their_digits(spark):
     assert got.n == 1000 and abs(got.variance - values.var(ddof=1)) < 1e-7  # sums of squares would be off by over 100
 
 
-def test_recent_of_nothing(spark):
-    assert reports.recent(spark.createDataFrame([], "s double"), "s", 10.0).count() == 0
+def test_recent(spark, sf_dir):
+    assert reports.recent(spark.createDataFrame([], "ts timestamp"), "ts", 10.0).count() == 0
+    rows = spark.range(100).select(F.timestamp_seconds(F.col("id") / 2).alias("ts"), "id")
+    assert sorted(r.id for r in reports.recent(rows, "ts", 1.5).collect()) == [97, 98, 99]
+    assert reports.recent(rows, "ts", 5.0, base=rows.where("id < 50")).count() == 60
+    stored = spark.read.parquet(f"{sf_dir}/events.parquet")
+    plan = reports.recent(stored, "ts", 3600.0)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ts," in plan
 
 
 def test_time_daemon_reports(spark):

@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def recent(rows: DataFrame, seconds: str, length: float) -> DataFrame:
-    """Rows of the last ``length`` seconds before the newest row. Its time is one number, so the bound reaches the scan as a constant."""
-    newest = rows.agg(F.max(seconds)).first()[0]
-    return rows.where(F.lit(False)) if newest is None else rows.where(F.col(seconds) > newest - length)
+def recent(rows: DataFrame, at: str, seconds: float, base: DataFrame | None = None) -> DataFrame:
+    """Rows of the last ``seconds`` before the newest time ``at`` of ``base`` (or of ``rows``).
+
+    The newest time is read while the plan is made: give the stored table as ``base``
+    where ``rows`` are the outcome of much work, which would be done twice. The bound
+    is then a constant time stamp on the bare column, so it reaches the scan.
+    """
+    newest = (rows if base is None else base).agg(F.unix_micros(F.max(at).cast("timestamp"))).first()[0]
+    return rows.where(F.lit(False)) if newest is None else rows.where(F.col(at) > F.timestamp_micros(F.lit(newest - round(seconds * 1e6))))
 
 
 def by_age(age: Column, steps: list[tuple[float, str]], otherwise: str) -> Column:

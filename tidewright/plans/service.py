@@ -24,7 +24,7 @@ def _text(at: Column | str, form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
 d AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY n DESC, f) AS place, sum(n) OVER (PARTITION BY station) AS total, sum(q) OVER (PARTITION BY station) AS sq FROM c)
 SELECT station, CAST(total AS BIGINT) AS n, mode AS dominant, round(n / total, 6) AS share, round(sq / total, 6) AS mean_snr, round(CASE WHEN regexp_matches(mode, '^[0-9]+F') AND strong >= 3 THEN top * 1.15 END, 6) AS usable FROM d WHERE place = 1""")
 def current_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.recent(measurements(spark, sf_dir), "s", DAY)
+    rows = reports.recent(measurements(spark, sf_dir), "ts", DAY)
     out = reports.conditions(rows, ["station"], "mode", "snr", "mhz", ORDER)
     return out.withColumns({c: r(F.col(c)) for c in ("share", "mean_snr", "usable")})
 
@@ -82,14 +82,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.unionByName(moved)
 
 
-@query(f"{_EVENTS} SELECT event_id, kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM e WHERE s > (SELECT max(s) FROM e) - 259200")
+@query(f"{_EVENTS} SELECT event_id, kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM e WHERE s > {_NOW} - 259200")
 def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.recent(_events(spark, sf_dir), "s", 3 * DAY).orderBy(F.desc("ts"), "event_id", "kind").select("event_id", "kind", _text("ts").alias("at"))
+    return reports.recent(_events(spark, sf_dir), "ts", 3 * DAY, base=measurements(spark, sf_dir)).orderBy(F.desc("ts"), "event_id", "kind").select("event_id", "kind", _text("ts").alias("at"))
 
 
-@query(f"{_EVENTS} SELECT kind, count(*) AS n FROM e WHERE s > (SELECT max(s) FROM e) - 21600 GROUP BY 1")
+@query(f"{_EVENTS} SELECT kind, count(*) AS n FROM e WHERE s > {_NOW} - 21600 GROUP BY 1")
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.recent(_events(spark, sf_dir), "s", 6 * HOUR).groupBy("kind").agg(F.count("*").alias("n"))
+    return reports.recent(_events(spark, sf_dir), "ts", 6 * HOUR, base=measurements(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 _SUN = """y AS (SELECT *, 2 * pi() / 365 * (dayofyear(ts) + (hour(ts) - 12) / 24.0 - 1) AS g FROM m),
@@ -205,7 +205,7 @@ def storage_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""v AS (SELECT *, value - 30 AS e FROM m WHERE s > {_NOW} - 864000)
 SELECT grade, count(*) AS n, round(avg(e), 6) AS mean, round(stddev_samp(e), 6) AS deviation, round(sqrt(avg(e * e)), 6) AS rms, round(min(e), 6) AS low, round(max(e), 6) AS high, round(100 * avg(CASE WHEN abs(e) <= 10 THEN 1.0 ELSE 0 END), 6) AS within_10, count(DISTINCT date_trunc('hour', ts)) AS hours FROM v GROUP BY 1""")
 def validation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.recent(measurements(spark, sf_dir), "s", 10 * DAY).withColumn("e", F.col("value") - 30)
+    rows = reports.recent(measurements(spark, sf_dir), "ts", 10 * DAY).withColumn("e", F.col("value") - 30)
     return rows.groupBy("grade").agg(
         F.count("*").alias("n"), r(F.avg("e")).alias("mean"), r(F.stddev_samp("e")).alias("deviation"), r(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rms"), r(F.min("e")).alias("low"), r(F.max("e")).alias("high"),
         r(100 * F.avg(F.when(F.abs("e") <= 10, 1.0).otherwise(0.0))).alias("within_10"), F.countDistinct(F.date_trunc("hour", "ts")).alias("hours"),
