@@ -196,14 +196,15 @@ def time_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.date_format("t.minute", "yyyy-MM-dd HH:mm").alias("minute"), "t.parity_errors", "t.sync_errors", "t.saving", "t.next_code", "t.lsb_differs")
 
 
-@query("""z AS (SELECT station, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, corr(value, snr) AS r FROM m WHERE value IS NOT NULL GROUP BY 1, 2),
-t AS (SELECT *, CAST(n - 2 AS BIGINT) AS f, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt(n - 2)) AS a FROM z WHERE n > 3),
+@query("""z AS (SELECT station, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CASE WHEN max(value) > min(value) AND max(snr) > min(snr) THEN corr(value, snr) END AS r FROM m WHERE value IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT *, CAST(n - 2 AS BIGINT) AS f, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt(n - 2)) AS a FROM z WHERE n > 3 AND r IS NOT NULL),
 s AS (SELECT station, day, n, r, f, a, CASE WHEN f % 2 = 0 THEN sin(a) * (1 + coalesce(list_sum([exp(list_sum([ln((2 * i - 1) / (2e0 * i)) FOR i IN range(1, j + 1)])) * cos(a) ** (2 * j) FOR j IN range(1, f // 2)]), 0))
   ELSE 2 / pi() * (a + sin(a) * coalesce(list_sum([cos(a) ** (2 * j + 1) * CASE WHEN j = 0 THEN 1e0 ELSE exp(list_sum([ln(2e0 * i / (2 * i + 1)) FOR i IN range(1, j + 1)])) END FOR j IN range(0, (f - 1) // 2)]), 0)) END AS inside FROM t)
 SELECT station, day, n, round(r, 6) AS r, round(least(1.0, 5 * (1 - inside)), 6) AS p, 5 * (1 - inside) < 0.05 AS sure FROM s""")
 def signal_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each station's values go with its signal on each day, and how likely that is by chance, given that five stations are looked at; the SQL has the finite sums of whole degrees of freedom."""
-    found = measurements(spark, sf_dir).where("value is not null").groupBy("station", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.corr("value", "snr").alias("r")).where("n > 3")
+    found = measurements(spark, sf_dir).where("value is not null").groupBy("station", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.covar_pop("value", "snr").alias("_c"), F.stddev_pop("value").alias("_a"), F.stddev_pop("snr").alias("_b"))
+    found = found.where("n > 3").withColumn("r", F.try_divide("_c", F.nullif(F.col("_a") * F.col("_b"), F.lit(0.0)))).where("r is not null")
     told = found.withColumn("_p", student.correlation_p(F.col("r"), F.col("n").cast("double"), 5))
     return told.select("station", "day", "n", r(F.col("r")).alias("r"), r(F.col("_p")).alias("p"), (F.col("_p") < 0.05).alias("sure"))
 
