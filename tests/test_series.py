@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -75,6 +78,34 @@ def test_asof_joins(spark):
     assert {x.id: x.r for x in back.collect()} == {1: 7, 2: 8, 3: 9}
 
 
+def most_rows(plan):
+    """The most rows that a node of an executed plan gave out."""
+    metric = plan.metrics().get("numOutputRows")
+    children = plan.children()
+    return max([metric.get().value() if metric.isDefined() else 0, *(most_rows(children.apply(i)) for i in range(children.size()))])
+
+
+def test_nearest_against_all_pairs_without_pairs(spark):
+    draw = random.Random(5)
+    odd = [None, math.nan, math.inf, -math.inf]
+    times = lambda n: [draw.choice([draw.randrange(-400, 400) / 4, draw.randrange(-9, 9) * 60.0, draw.randrange(10_000)]) * 1.0 for _ in range(n)] + odd
+    left = [(i, draw.choice("aab"), s) for i, s in enumerate(times(600))] + [(900, None, 0.0), (None, "a", 0.0), (901, "a", 0.0), (901, "a", 90.0)]
+    right = [(i, draw.choice("aab"), s, draw.random()) for i, s in enumerate(times(600))] + [(900, None, 0.0, 0.5)]
+    draw.shuffle(right)
+    ask = {}
+    for i, g, s in left:
+        if i is not None and s is not None:
+            ask.setdefault(i, []).extend((abs(t - s), r) for r, h, t, _ in right if h == g and g is not None and t is not None and abs(t - s) <= 60)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = joins.nearest(spark.createDataFrame(left, "id long, g string, s double"), spark.createDataFrame(right, "r long, g string, rs double, v double"), "id", "s", "rs", 60.0, ["r"], ["g"])
+        got = sorted(((x.id, x.r) for x in out.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == sorted(((i, min(ask.get(i) or [(0, None)])[1]) for i, _, _ in left), key=str)
+    assert sum(map(len, ask.values())) > 10 * (len(left) + len(right)) and most_rows(out._jdf.queryExecution().executedPlan()) < 4 * (len(left) + len(right))
+
+
 def test_sessions_and_runs(spark):
     df = frame(spark, [1, 9, 9, 1, 9]).withColumn("ts", F.timestamp_seconds(F.col("t") * F.when(F.col("t") > 2, 100).otherwise(1)))
     assert {(r.session, r.n) for r in series.sessions(df, KEY, ORDER, "ts", 50).collect()} == {(1, 3), (2, 1), (3, 1)}

@@ -36,13 +36,30 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, left_s: str, right_
 
     Of equally near ones the first by ``ties``. ``keep`` is tested after the choice, so
     a nearest row that fails gives nulls, not the next one.
+
+    No pairs are formed: each bucket's rows of both sides are put in order once each way,
+    and ``right`` sends the ends of its buckets, two rows a bucket, to the neighbours.
     """
     cols = [c for c in right.columns if c not in keys]
-    spread = right.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(right_s) / reach) - 1, F.floor(F.col(right_s) / reach) + 1)))
-    asks = left.withColumn("_bucket", F.floor(F.col(left_s) / reach))
-    met = asks.join(spread, [*keys, "_bucket"]).where(F.abs(F.col(right_s) - F.col(left_s)) <= reach)
-    best = F.min_by(F.struct(*cols), F.struct(F.abs(F.col(right_s) - F.col(left_s)), *ties))
-    chosen = met.groupBy(left_id).agg(best.alias("_b"))
+    finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).isNotNull()
+    bucket = lambda c: F.floor(F.col(c) / reach).alias("_bucket")
+    told = right.where(met & finite(right_s)).select(*keys, bucket(right_s), F.col(right_s).alias("_at"), F.struct(*ties).alias("_ties"), F.struct(*cols).alias("_told"))
+    one = F.struct("_at", "_ties", "_told")
+    ends = told.groupBy(*keys, "_bucket").agg(F.min_by(one, F.struct("_at", "_ties")).alias("_first"), F.min_by(one, F.struct(-F.col("_at"), "_ties")).alias("_last"))
+    sent = F.inline(F.array(F.struct((F.col("_bucket") - 1).alias("_bucket"), "_first"), F.struct((F.col("_bucket") + 1).alias("_bucket"), F.col("_last").alias("_first"))))
+    given = told.unionByName(ends.select(*keys, sent).select(*keys, "_bucket", "_first.*"))
+    asks = left.where(met & finite(left_s) & F.col(left_id).isNotNull()).select(*keys, bucket(left_s), F.col(left_s).alias("_at"), F.col(left_id).alias("_id"))
+    both = asks.unionByName(given, allowMissingColumns=True).withColumn("_asks", F.col("_told").isNull())
+    # The last one seen of a run of equal times is the first by the ties.
+    seen = lambda at: F.last(F.when(~F.col("_asks"), one), ignorenulls=True).over(Window.partitionBy(*keys, "_bucket").orderBy(at, "_asks", F.desc("_ties")).rowsBetween(Window.unboundedPreceding, 0))
+    sides = both.withColumns({"_before": seen(F.asc("_at")), "_after": seen(F.desc("_at"))}).where("_asks")
+    near = F.explode(F.array("_before", "_after")).alias("_n")
+    far = F.abs(F.col("_n._at") - F.col("_at"))
+    best = F.min_by("_n._told", F.struct(far, "_n._ties"))
+    chosen = sides.select("_id", "_at", near).where(far <= reach).groupBy(F.col("_id").alias(left_id)).agg(best.alias("_b"))
     out = left.join(chosen, left_id, "left")
     good = F.lit(True) if keep is None else keep
     return out.select(*left.columns, *[F.col(f"_b.{c}").alias(c) for c in cols]).withColumns({c: F.when(good, F.col(c)) for c in cols} if keep is not None else {})
