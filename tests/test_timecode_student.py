@@ -29,6 +29,14 @@ def test_every_single_error_is_mended(spark):
     assert spark.createDataFrame([(minute,)], "m timestamp").select(F.unix_timestamp("m")).first()[0] == timecode.EPOCH_S + WORD * 60
 
 
+def test_a_frame_is_worked_out_once(spark):
+    frame = bits_of(spark, saving=1, next_code=5)
+    df = spark.createDataFrame([(frame[::-1],), ("1" * 80,), (None,), ("",)], "f string").select(timecode.time_frame(F.reverse("f")).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    got = [r.t for r in df.collect()]
+    assert (got[0].saving, got[0].next_code, got[0].parity_errors) == (1, 5, 0) and got[1:] == [None, None, None]
+
+
 def test_double_errors_look_like_one_elsewhere(spark):
     rows = [(WORD ^ (1 << i) ^ (1 << j),) for i in range(26) for j in range(i)]
     sent = sum((bin(WORD & sum(1 << t for t in taps)).count("1") % 2) << k for k, taps in enumerate(timecode.PARITY_TAPS))

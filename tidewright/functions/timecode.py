@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +45,22 @@ def corrected(word: Column, received: Column) -> tuple[Column, Column]:
     return word.bitwiseXOR(flip), F.when(syndrome == 0, 0).otherwise(1)
 
 
-def _number(bits: Column) -> Column:
-    return F.conv(bits, 2, 10).cast("long")
+def _let(value: Column, told: Callable[[Column], Column]) -> Column:
+    """``told`` of a value that is worked out once, however often it is named there."""
+    return F.transform(F.array(value), told)[0]
+
+
+def _bits(number: Column, end: int, n: int) -> Column:
+    """``n`` bits of a number, as many as ``end`` after them."""
+    return F.shiftright(number, end).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+
+
+def _joined(*parts: tuple[Column, int]) -> Column:
+    """Numbers of no bits in common, each moved up, as one."""
+    total = F.lit(0).cast("long")
+    for number, up in parts:
+        total = total.bitwiseOR(F.shiftleft(number, up))
+    return total
 
 
 def time_frame(bits: Column) -> Column:
@@ -53,15 +69,25 @@ def time_frame(bits: Column) -> Column:
     saving and leap are null for a code that there is not. A second copy of the
     counter's lowest bit tells some of the double errors that the parity cannot.
     """
-    part = lambda start, n: F.substring(bits, start + 1, n)
-    word, errors = corrected(_number(F.concat(part(18, 1), part(20, 9), part(30, 9), part(40, 7))), _number(part(13, 5)))
-    code = F.concat(part(47, 2), part(50, 3))
-    table = lambda at: F.coalesce(*[F.when(code == c, v[at]) for c, v in SAVING.items()])
-    told = F.struct(
-        F.timestamp_seconds(word * 60 + EPOCH_S).alias("minute"), table(0).alias("saving"), table(1).alias("leap"), _number(part(53, 6)).cast("int").alias("next_code"), part(49, 1).cast("int").alias("notice"),
-        F.bit_count(_number(part(0, 13)).bitwiseXOR(F.lit(int(SYNC, 2)).cast("long"))).cast("int").alias("sync_errors"), errors.alias("parity_errors"), (word % 2 != part(19, 1).cast("long")).alias("lsb_differs"),
-    )
-    return F.when(bits.rlike("^[01]{60}$"), told)
+    codes: list[tuple[int | None, int | None]] = [(None, None)] * 32
+    for c, v in SAVING.items():
+        codes[int(c, 2)] = v
+
+    def read(frame: Column) -> Column:
+        """Of the frame as a number of 60 bits."""
+        part = lambda start, n: _bits(frame, 60 - start - n, n)
+        sent = F.struct(_joined((part(18, 1), 25), (part(20, 9), 16), (part(30, 9), 7), (part(40, 7), 0)).alias("word"), part(13, 5).alias("parity"))
+        mended = lambda s: F.struct(*(c.alias(n) for c, n in zip(corrected(s["word"], s["parity"]), ("word", "errors"))))
+        code = (_joined((part(47, 2), 3), (part(50, 3), 0)) + 1).cast("int")
+        table = lambda at: F.element_at(F.array(*[F.lit(v[at]).cast("int") for v in codes]), code)
+        told = lambda m: F.struct(
+            F.timestamp_seconds(m["word"] * 60 + EPOCH_S).alias("minute"), table(0).alias("saving"), table(1).alias("leap"), part(53, 6).cast("int").alias("next_code"), part(49, 1).cast("int").alias("notice"),
+            F.bit_count(part(0, 13).bitwiseXOR(F.lit(int(SYNC, 2)).cast("long"))).cast("int").alias("sync_errors"), m["errors"].alias("parity_errors"), (m["word"] % 2 != part(19, 1)).alias("lsb_differs"),
+        )
+        return _let(sent, lambda s: _let(mended(s), told))
+
+    number = lambda b: F.conv(F.substring(b, 1, 60), 2, 10).cast("long")
+    return _let(bits, lambda b: F.when(b.rlike("^[01]{60}$"), _let(number(b), read)))
 
 
 def encoded_frame(seconds: Column, saving: Column | None = None, leap: Column | None = None, next_code: Column | None = None, notice: Column | None = None) -> Column:
@@ -70,12 +96,10 @@ def encoded_frame(seconds: Column, saving: Column | None = None, leap: Column |
     saving, leap, next_code, notice = (zero if c is None else c for c in (saving, leap, next_code, notice))
     minute = F.floor((seconds - EPOCH_S) / 60)
     word = F.pmod(minute, F.lit(MINUTES))
-    written = lambda n, size: F.lpad(F.conv(n.cast("string"), 10, 2), size, "0")
-    w = written(word, 26)
+    counter = _joined((F.lit(int(SYNC, 2)).cast("long"), 34), (parity(word), 29), (_bits(word, 25, 1), 28), (_bits(word, 0, 1), 27), (_bits(word, 16, 9), 18), (_bits(word, 7, 9), 8), (_bits(word, 0, 7), 0))
     code = F.coalesce(*[F.when((saving == s) & (leap == x), c) for c, (s, x) in SAVING.items()])
-    part = lambda start, n: F.substring(w, start + 1, n)
     frame = F.concat(
-        F.lit(SYNC), written(parity(word), 5), part(0, 1), part(25, 1), part(1, 9), F.lit("0"), part(10, 9), F.lit("0"), part(19, 7),
-        F.substring(code, 1, 2), notice.cast("string"), F.substring(code, 3, 3), written(next_code, 6), F.lit("0"),
+        F.lpad(F.bin(counter), 47, "0"), F.substring(code, 1, 2), notice.cast("string"), F.substring(code, 3, 3),
+        F.lpad(F.conv(next_code.cast("string"), 10, 2), 6, "0"), F.lit("0"),
     )
     return F.when(minute >= 0, frame)
