@@ -3,9 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.llm import common
 from tidewright.llm import language_model as lm
 
 ROWS = [
@@ -119,3 +121,41 @@ def test_head_is_filled_from_the_bin_at_the_border(spark):
     counts = lm.count_tokens(spark.createDataFrame([(" ".join(words),), ("w59 w59 w58",)], "text string"))
     for head in (1, 2, 3, 50, 61, 100):
         assert list(lm.vocabulary(counts, head=head, own=head).rank) == [b"w59", lm.END, b"w58", *[w.encode() for w in words[:-2]]][:head]
+
+
+def test_groups_are_normalised_by_products(monkeypatch):
+    monkeypatch.setattr(lm, "PRODUCTS", 2500, raising=False)
+    rng = np.random.default_rng(1)
+    k, n = 3000 + lm.SHAPES, 20_000
+    counts = np.sort(rng.integers(2, 5000, k))[::-1].astype(float)
+    model = lm.LogBilinear.start(counts)
+    p1, p2, c = rng.integers(100, 2500, n), rng.integers(100, 2500, n), rng.integers(0, k, n)
+    p1[:300], p2[300:600] = rng.integers(2500, k, 300), rng.integers(2500, k, 300)
+    taken, exp = [], np.exp
+    tables = model.tables(100)
+    with monkeypatch.context() as m:
+        m.setattr(np, "exp", lambda x, *a, **o: taken.append(np.size(x)) or exp(x, *a, **o))
+        model.log_p(p1, p2, c, tables)
+    # The sums of some now leave the range of floats.
+    rows = model.rows()
+    rows[:, :16] *= 5
+    rows[200:210, :16] *= 2000
+    model = model.with_rows(rows, model.shared())
+    got = model.log_p(p1, p2, c, model.tables(100))
+    x = (model.inputs[p1] * model.positions[0] + model.inputs[p2] * model.positions[1]).astype(float)
+    groups = model.group_of()[c]
+    assert sum(taken) < 0.8 * (n * len(model.top_bias) + np.diff(model.starts)[groups].sum())
+    top = x @ model.tops.T.astype(float) + model.top_bias
+    want = top[np.arange(n), groups] - np.logaddexp.reduce(top, axis=1)
+    every = x @ model.outputs.T.astype(float) + model.bias
+    for g in np.unique(groups):
+        at, held = groups == g, slice(model.starts[g], model.starts[g + 1])
+        want[at] += every[at, c[at]] - np.logaddexp.reduce(every[at, held], axis=1)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+
+
+def test_batches_have_the_words_of_their_texts():
+    texts = [None, "", "  a\x0bB\x1c\x1d c\x85d\xa0e f \t", "\n\r\f", "\xdcnÏ X\x00y", "\u212a K", " lead", "trail "]
+    for some in (texts, texts[3:], [], [None]):
+        found, n = lm.batch_words(pa.array(some, pa.string()))
+        assert found.to_pylist() == [w for t in some for w in common.words(t)] and n.tolist() == [len(common.words(t)) for t in some]

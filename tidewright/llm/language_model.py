@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, stash, words
+from tidewright.llm.common import bounded_batches, stash
 
 #: The end of a text, a token of its own. No word can be it.
 END = b"\n"
@@ -27,6 +27,15 @@ FLAT, WIDEST = 512, 4096
 #: Contexts of two of the so many most frequent tokens have their groups' normaliser in a table.
 FREQUENT = 480
 
+#: After two of so many classes the groups' normaliser is a sum of products, without exponentials; those whose logits are as large as this may leave the range of floats.
+PRODUCTS, LARGE = 12_288, 40.0
+
+#: So many tokens are scored at a time, and tokens of so many bytes are counted at a time.
+SCORED, COUNTED = 262_144, 1 << 26
+
+#: Groups of up to so many of a minibatch's tokens are trained on together.
+USUAL = 64
+
 #: Parameters of so many classes are averaged in a task's group of rows.
 STRIPE = 256
 
@@ -69,23 +78,38 @@ class Vocabulary:
         return np.log10(self.shape_n + self.shape_v + 1.0)
 
 
-def count_tokens(docs: DataFrame, text_col: str = "text", most_held: int = 500_000) -> DataFrame:
-    """token (binary) and n over all rows of ``docs``; each task adds up what it can before the shuffle."""
+def batch_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of a batch of texts one after another, as ``common.words`` has them, and each text's number of them; without the ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, to = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    full = pc.greater(pc.binary_length(found), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return found.filter(full), np.diff(before[to])
+
+
+def count_tokens(docs: DataFrame, text_col: str = "text", most_held: int = COUNTED) -> DataFrame:
+    """token (binary) and n over all rows of ``docs``; each task adds up ``most_held`` bytes of tokens at a time before the shuffle."""
+
+    def told(held: list[pa.Array]) -> pa.RecordBatch:
+        counts = pa.concat_arrays(held).value_counts()
+        return pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["token", "n"])
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, ends = [], 0, 0
         for b in batches:
-            for text in b["text"]:
-                seen.update(words(text))
-            seen[END] += len(b)
-            if len(seen) > most_held:
-                yield pd.DataFrame({"token": list(seen.keys()), "n": list(seen.values())})
-                seen = Counter()
-        # Nothing to tell after a flush at the last batch, or without rows.
-        if seen:
-            yield pd.DataFrame({"token": list(seen.keys()), "n": list(seen.values())})
+            if not len(b):
+                continue
+            held.append(batch_words(b.column(0))[0])
+            size, ends = size + held[-1].nbytes, ends + len(b)
+            if size >= most_held:
+                yield told(held)
+                held, size = [], 0
+        if held:
+            yield told(held)
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["token", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(each, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(each, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def vocabulary(counts: DataFrame, head: int = 200_000, own: int = 200_000) -> Vocabulary:
@@ -159,6 +183,7 @@ class LogBilinear:
     top_bias: np.ndarray
     positions: np.ndarray
     starts: np.ndarray
+    _products: tuple[np.ndarray, np.ndarray, np.ndarray] | None = field(default=None, init=False, repr=False, compare=False)
 
     @classmethod
     def start(cls, class_counts: np.ndarray, dim: int = 16, seed: int = 3) -> LogBilinear:
@@ -173,7 +198,9 @@ class LogBilinear:
         return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
 
     def context(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-        return self.inputs[p1] * self.positions[0] + self.inputs[p2] * self.positions[1]
+        x = self.inputs.take(p1, axis=0) * self.positions[0]
+        x += self.inputs.take(p2, axis=0) * self.positions[1]
+        return x
 
     def rows(self) -> np.ndarray:
         """The parameters of the classes as a matrix with a row for each."""
@@ -197,46 +224,83 @@ class LogBilinear:
         first, second = ((self.inputs[:most] * self.positions[i]) @ self.tops.T for i in (0, 1))
         second = second + self.top_bias
         norm = np.empty((len(first), len(first)), dtype=np.float32)
+        x = np.hstack([self.inputs[:most] * self.positions[1], np.ones((len(norm), 1), dtype=np.float32)])
         for i in range(len(norm)):
-            norm[i] = _log_sum(first[i] + second)
+            norm[i] = _log_sum(x, np.vstack([self.tops.T, self.top_bias + first[i]]))
         return np.stack([first, second]).astype(np.float32), norm
 
     def log_p(self, p1: np.ndarray, p2: np.ndarray, c: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Natural log-probabilities of classes ``c``, normalised over all groups and then over the group's classes."""
-        first, norm = tables
-        groups = np.searchsorted(self.starts, c, side="right") - 1
-        out = np.empty(len(c), dtype=np.float64)
+        norm = tables[1]
+        groups = (np.searchsorted(self.starts, c, side="right") - 1).astype(np.uint16 if len(self.starts) <= 1 << 16 else np.int64)
+        x = self.context(p1, p2)
+        out = np.einsum("ij,ij->i", x, self.tops.take(groups, axis=0)).astype(np.float64) + self.top_bias[groups]
         held = (p1 < len(norm)) & (p2 < len(norm))
-        a, b, g = p1[held], p2[held], groups[held]
-        out[held] = first[0][a, g] + first[1][b, g] - norm[a, b]
-        # A last column of ones takes the biases into the matrix products.
-        x = np.hstack([self.context(p1, p2), np.ones((len(c), 1), dtype=np.float32)])
-        tops = np.vstack([self.tops.T, self.top_bias])
+        out[held] -= norm[p1[held], p2[held]]
         rest = np.flatnonzero(~held)
-        for i in range(0, len(rest), 128):
-            at = rest[i : i + 128]
-            logits = x[at] @ tops
-            out[at] = logits[np.arange(len(at)), groups[at]] - _log_sum(logits)
+        if len(rest):
+            # Each two classes that stand before a token are normalised once.
+            k = len(self.bias)
+            two, which = np.unique(p1[rest] * k + p2[rest], return_inverse=True)
+            out[rest] -= self._log_norm(two // k, two % k)[which]
         wide = np.flatnonzero(np.diff(self.starts)[groups] > 1)
+        # Small whole numbers are sorted by digits.
         wide = wide[np.argsort(groups[wide], kind="stable")]
-        for part in np.split(wide, np.flatnonzero(np.diff(groups[wide])) + 1) if len(wide) else ():
-            lo, hi = self.starts[groups[part[0]]], self.starts[groups[part[0]] + 1]
+        if not len(wide):
+            return out
+        # A last column of ones takes the biases into the matrix products.
+        x, c = np.hstack([x.take(wide, axis=0), np.ones((len(wide), 1), dtype=np.float32)]), c[wide]
+        inside = np.einsum("ij,ij->i", x[:, :-1], self.outputs.take(c, axis=0)) + self.bias[c]
+        ends = [*_runs(groups[wide]).tolist(), len(wide)]
+        for a, b in zip(ends[:-1], ends[1:]):
+            lo, hi = self.starts[groups[wide[a]]], self.starts[groups[wide[a]] + 1]
             inner = np.vstack([self.outputs[lo:hi].T, self.bias[lo:hi]])
             # Blocks of about so many numbers stay in a core's cache.
-            step = max(1, 65_536 // int(hi - lo))
-            for i in range(0, len(part), step):
-                at = part[i : i + step]
-                logits = x[at] @ inner
-                out[at] += logits[np.arange(len(at)), c[at] - lo] - _log_sum(logits)
+            step = max(1, 262_144 // int(hi - lo))
+            for i in range(a, b, step):
+                j = min(i + step, b)
+                inside[i:j] -= _log_sum(x[i:j], inner)
+        out[wide] += inside
+        return out
+
+    def products(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of what each of the first classes adds to the groups' logits as the previous and as the one before it, and whether both are far within the range of floats."""
+        if self._products is None:
+            first, second = ((self.inputs[:PRODUCTS] * self.positions[i]) @ self.tops.T for i in (0, 1))
+            second += self.top_bias
+            small = (np.abs(first).max(axis=1) < LARGE) & (np.abs(second).max(axis=1) < LARGE)
+            with np.errstate(over="ignore"):
+                self._products = np.exp(first, out=first), np.exp(second, out=second), small
+        return self._products
+
+    def _log_norm(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """The groups' normaliser after each two classes."""
+        first, second, small = self.products()
+        out = np.empty(len(p1), dtype=np.float32)
+        m = len(small)
+        known = (p1 < m) & (p2 < m)
+        known[known] = small[p1[known]] & small[p2[known]]
+        at = np.flatnonzero(known)
+        for i in range(0, len(at), 128):
+            some = at[i : i + 128]
+            out[some] = np.einsum("ij,ij->i", first.take(p1[some], axis=0), second.take(p2[some], axis=0))
+        out[at] = np.log(out[at])
+        at = np.flatnonzero(~known)
+        tops = np.vstack([self.tops.T, self.top_bias])
+        x = np.hstack([self.context(p1[at], p2[at]), np.ones((len(at), 1), dtype=np.float32)])
+        for i in range(0, len(at), 512):
+            out[at[i : i + 512]] = _log_sum(x[i : i + 512], tops)
         return out
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of each row's exponentials; rows that leave the range of floats are shifted first."""
-    ones = np.ones(logits.shape[1], dtype=logits.dtype)
+def _log_sum(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of the exponentials of each row of ``x @ by``; rows that leave the range of floats are shifted first."""
+    ones = np.ones(by.shape[1], dtype=by.dtype)
+    logits = x @ by
     with np.errstate(over="ignore"):
-        sums = np.exp(logits) @ ones
-    if not (sums > 1e-30).all() or not (sums < 1e30).all():
+        sums = np.exp(logits, out=logits) @ ones
+    if not (sums.min() > 1e-30 and sums.max() < 1e30):
+        logits = x @ by
         top = logits.max(axis=1)
         return top + np.log(np.exp(logits - top[:, None]) @ ones)
     return np.log(sums)
@@ -251,6 +315,15 @@ def _runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
 
 
+def _sums(rows: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``rows`` in ``order``. Most runs are of one row, which is taken as it is."""
+    sizes = np.diff(np.append(starts, len(order)))
+    out, more = rows.take(order[starts], axis=0), sizes > 1
+    if more.any():
+        out[more] = np.add.reduceat(rows.take(order[np.repeat(more, sizes)], axis=0), np.cumsum(sizes[more]) - sizes[more], axis=0)
+    return out
+
+
 class Trainer:
     """Noise-contrastive estimation by Adagrad in both levels; a minibatch shares its noise groups, and in each group its noise classes.
 
@@ -277,10 +350,13 @@ class Trainer:
         starts = _runs(index[order])
         rows = index[order[starts]]
         for i, value, grad in grads:
-            sums = np.add.reduceat(grad[order], starts, axis=0)
-            squares = self.squares_rows[i][rows] + sums * sums
+            sums = _sums(grad, order, starts)
+            squares = self.squares_rows[i].take(rows, axis=0)
+            squares += sums * sums
             self.squares_rows[i][rows] = squares
-            value[rows] -= self.rate_rows * sums / np.sqrt(squares)
+            sums *= self.rate_rows
+            sums /= np.sqrt(squares, out=squares)
+            value[rows] = value.take(rows, axis=0) - sums
             self.touched[rows] += np.add.reduceat(times[order], starts)
 
     def step(self, p1: np.ndarray, p2: np.ndarray, c: np.ndarray) -> None:
@@ -288,12 +364,12 @@ class Trainer:
         order = np.argsort(c)
         p1, p2, c = p1[order], p2[order], c[order]
         m, n, groups = self.m, len(c), self.group_of[c]
-        r1, r2 = m.inputs[p1], m.inputs[p2]
+        r1, r2 = m.inputs.take(p1, axis=0), m.inputs.take(p2, axis=0)
         x = r1 * m.positions[0] + r2 * m.positions[1]
         drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.noise)), len(m.top_bias) - 1)
         starts = _runs(groups)
         here, sizes = groups[starts], np.diff(np.append(starts, n))
-        good, bad = m.tops[groups], m.tops[drawn]
+        good, bad = m.tops.take(groups, axis=0), m.tops[drawn]
         g = (_sigma(np.einsum("ij,ij->i", x, good) + m.top_bias[groups] - self.log_kq[groups]) - 1).astype(np.float32)
         h = _sigma(x @ bad.T + (m.top_bias[drawn] - self.log_kq[drawn]))
         dx = g[:, None] * good + h @ bad
@@ -318,73 +394,65 @@ class Trainer:
         lo, hi = m.starts[here], m.starts[here + 1]
         u = self.below[lo][:, None] + self.rng.random((len(here), k)) * (self.below[hi] - self.below[lo])[:, None]
         drawn = np.clip(np.searchsorted(self.below, u, side="right") - 1, lo[:, None], hi[:, None] - 1)
-        ends = np.cumsum(sizes)
-        spans = list(zip((ends - sizes).tolist(), ends.tolist()))
-        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
-        x, c = x[at], c[at]
-        good, bad = m.outputs[c], m.outputs[drawn]
+        first = np.cumsum(sizes) - sizes
+        at = np.repeat(starts - first, sizes) + np.arange(sizes.sum())
+        x, c = x.take(at, axis=0), c[at]
+        good, bad = m.outputs.take(c, axis=0), m.outputs.take(drawn, axis=0)
         g = (_sigma(np.einsum("ij,ij->i", x, good) + m.bias[c] - self.log_kw[c]) - 1).astype(np.float32)
-        h = np.repeat(m.bias[drawn] - self.log_kw[drawn], sizes, axis=0)
-        for i, (a, b) in enumerate(spans):
-            h[a:b] += x[a:b] @ bad[i].T
-        h = _sigma(h)
-        more, d_bad = g[:, None] * good, np.empty_like(bad)
-        for i, (a, b) in enumerate(spans):
-            more[a:b] += h[a:b] @ bad[i]
-            np.matmul(h[a:b].T, x[a:b], out=d_bad[i])
-        dx[at] += more
+        more, d_bad, d_drawn = g[:, None] * good, np.empty_like(bad), np.empty_like(m.bias, shape=drawn.shape)
+        offset = m.bias[drawn] - self.log_kw[drawn]
+        # Groups have about as many tokens each: those of usual size are done together, filled up to the largest with rows that count as nothing.
+        usual = np.flatnonzero(sizes <= USUAL)
+        parts = [usual] if len(usual) else []
+        for some in [*parts, *np.flatnonzero(sizes > USUAL)[:, None]]:
+            place = first[some][:, None] + np.arange(sizes[some].max())
+            there = place < (first + sizes)[some][:, None]
+            held = x.take(np.minimum(place, len(x) - 1), axis=0)
+            h = _sigma(held @ bad[some].transpose(0, 2, 1) + offset[some][:, None]) * there[:, :, None]
+            more[place[there]] += (h @ bad[some])[there]
+            d_bad[some] = h.transpose(0, 2, 1) @ held
+            d_drawn[some] = h.sum(axis=1)
+        dx[at] = dx.take(at, axis=0) + more
         runs = _runs(c)
         index = np.concatenate([c[runs], drawn.ravel()])
         times = np.concatenate([np.diff(np.append(runs, len(c))), np.ones(drawn.size, dtype=np.int64)])
-        d_out = np.concatenate([np.add.reduceat(g[:, None] * x, runs, axis=0), d_bad.reshape(-1, x.shape[1])])
-        d_bias = np.concatenate([np.add.reduceat(g, runs), np.add.reduceat(h, ends - sizes, axis=0).ravel()])
+        d_out = np.concatenate([_sums(g[:, None] * x, np.arange(len(c)), runs), d_bad.reshape(-1, x.shape[1])])
+        d_bias = np.concatenate([np.add.reduceat(g, runs), d_drawn.ravel()])
         self._change(index, times, (1, m.outputs, d_out), (2, m.bias, d_bias))
 
 
-class Codes(dict):
-    """Tokens of the head by rank; others get the head's size and their shape. ``most`` bounds how many others are kept."""
-
-    def __init__(self, rank: dict[bytes, int], most: int = 200_000) -> None:
-        super().__init__(rank)
-        self.head, self.most = len(rank), len(rank) + most
-
-    def __missing__(self, token: bytes) -> int:
-        code = self.head + shape(token)
-        if len(self) < self.most:
-            self[token] = code
-        return code
-
-
 class Coder:
-    """Tokens of texts as ranks and classes."""
+    """Tokens of texts as ranks and classes, the end after each text's words."""
 
     def __init__(self, vocab: Vocabulary) -> None:
-        self.codes = Codes(vocab.rank)
+        self.head, self.values = len(vocab.rank), pa.array(list(vocab.rank), pa.binary())
         self.class_of = np.concatenate([vocab.class_of_rank(), vocab.own + np.arange(SHAPES)])
-        self.end = int(self.class_of[self.codes[END]])
-
-    def __call__(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Tokens, ranks (-1 beyond the head) and classes."""
-        found = [*words(text), END]
-        codes = np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found))
-        return found, np.where(codes < self.codes.head, codes, -1), self.class_of[codes]
-
-    def together(self, texts: Iterator[tuple[int, pa.Scalar]], most: int = 65_536) -> Iterator[list[tuple[int, list[bytes], np.ndarray, np.ndarray]]]:
-        """Number and tokens of texts, in lists of texts of about ``most`` tokens."""
-        out, size = [], 0
-        for i, text in texts:
-            out.append((i, *self(text.as_py())))
-            size += len(out[-1][3])
-            if size >= most:
-                yield out
-                out, size = [], 0
-        if out:
-            yield out
-
-    def contexts(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The classes one and two places before each; before the text stand ends."""
+        self.end_code = vocab.rank.get(END, self.head + shape(END))
+        self.end = int(self.class_of[self.end_code])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Each text's number of tokens, the tokens' ranks (-1 beyond the head) and classes, and the words beyond the head, all in order."""
+        found, n = batch_words(texts)
+        ranks = pc.index_in(found, value_set=self.values)
+        rare = found.filter(ranks.is_null())
+        codes = ranks.fill_null(-1).to_numpy().astype(np.int64)
+        distinct = rare.dictionary_encode()
+        shapes = np.array([shape(w) for w in distinct.dictionary.to_pylist()], dtype=np.int64)
+        codes[codes < 0] = self.head + shapes[distinct.indices.to_numpy()]
+        n = n + 1
+        ends = np.cumsum(n) - 1
+        word = np.ones(len(codes) + len(n), dtype=bool)
+        word[ends] = False
+        every = np.full(len(word), self.end_code, dtype=np.int64)
+        every[word] = codes
+        return n, np.where(every < self.head, every, -1), self.class_of[every], rare
+
+    def contexts(self, n: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes one and two places before each; before a text stand ends, as one does after the text before it."""
         before = np.concatenate([[self.end, self.end], classes])
-        return before[1:-1], before[:-2]
+        p1, p2 = before[1:-1], before[:-2].copy()
+        p2[np.cumsum(n) - n] = self.end
+        return p1, p2
 
 
 def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", batch: int = 8192, **params) -> LogBilinear:
@@ -396,8 +464,9 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", batch: int
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
+    sent = pa.schema([("stripe", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("weight", pa.binary()), ("values", pa.binary())])
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sizes = Coder(shared.value), shared.value.class_counts()
         rng = np.random.default_rng(TaskContext.get().partitionId())
         trainer = Trainer(LogBilinear.start(sizes), sizes, rng, **params)
@@ -412,16 +481,22 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", batch: int
                 trainer.step(p1[at], p2[at], c[at])
 
         for b in batches:
-            for text in b["text"]:
-                classes = coder(text)[2]
-                held.append((*coder.contexts(classes), classes))
-                size += len(classes)
+            if not len(b):
+                continue
+            n, _, classes, _ = coder(b.column(0))
+            tokens, ends = (*coder.contexts(n, classes), classes), np.cumsum(n)
+            done = 0
+            while done < len(classes):
+                # Whole texts, until there are enough.
+                last = min(np.searchsorted(ends, done + 64 * batch - size), len(ends) - 1)
+                held.append(tuple(x[done : ends[last]] for x in tokens))
+                size, done = size + len(held[-1][0]), ends[last]
                 if size >= 64 * batch:
                     run()
                     held, size = [], 0
         if held:
             run()
-        yield _sent(trainer)
+        yield pa.RecordBatch.from_pandas(_sent(trainer), schema=sent, preserve_index=False)
 
     def mean(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         sums: dict[int, list] = {}
@@ -436,7 +511,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", batch: int
         return pd.DataFrame({"stripe": [key[0]], "part": [0], "at": [np.array(at, np.int32).tobytes()], "weight": [b""], "values": [values]})
 
     kind = "stripe int, part int, at binary, weight binary, values binary"
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(each, kind).groupBy("stripe").applyInPandas(mean, kind).toPandas()
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(each, kind).groupBy("stripe").applyInPandas(mean, kind).toPandas()
     model = LogBilinear.start(vocab.class_counts())
     rows, rest = model.rows(), model.shared()
     for one in found.itertuples():
@@ -488,29 +563,29 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         coder, within = Coder(vocab), np.log10(vocab.counts + 1.0) if len(vocab.counts) else np.zeros(1)
         share = np.concatenate([np.zeros(vocab.own), vocab.log_within()])
         for b in batches:
-            ids, hashes, held = (b.column(i) for i in (0, 1, 3))
-            at, tokens, times, numbers = [], [], [], []
-            for rows in coder.together(enumerate(b.column(2))):
-                p1, p2, c = (np.concatenate(x) for x in zip(*((*coder.contexts(r[3]), r[3]) for r in rows)))
-                logs = model.log_p(p1, p2, c, tables) / np.log(10)
-                sums = np.add.reduceat(logs, np.cumsum([0, *(len(r[3]) for r in rows[:-1])]))
-                for (i, found, ranks, c), classed in zip(rows, sums.tolist()):
-                    known = ranks >= 0
-                    counted = np.where(known, within[ranks], 0.0)
-                    inside = np.where(c >= vocab.own, counted - share[c], 0.0).sum()
-                    at.append(i)
-                    tokens.append(b" " + str(hashes[i]).encode() + b" " + str(ids[i]).encode())
-                    times.append(None)
-                    numbers.append((len(c), int(known.sum()), counted.sum(), classed + inside))
-                    if not known.all():
-                        for w, n in Counter(found[j] for j in np.flatnonzero(~known)).items():
-                            at.append(i)
-                            tokens.append(w)
-                            times.append(n)
-                            numbers.append((None, None, None, None))
-            pick = pa.array(at, pa.int32())
-            columns = [ids.take(pick), hashes.take(pick), held.take(pick), pa.array(tokens, pa.binary()), pa.array(times, pa.int64())]
-            columns += [pa.array([x[k] for x in numbers], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            if not len(b):
+                continue
+            n, ranks, c, rare = coder(b.column(2))
+            p1, p2 = coder.contexts(n, c)
+            logs = np.concatenate([model.log_p(p1[i : i + SCORED], p2[i : i + SCORED], c[i : i + SCORED], tables) for i in range(0, len(c), SCORED)])
+            known, starts = ranks >= 0, np.cumsum(n) - n
+            counted = np.where(known, within[ranks], 0.0)
+            inside = np.where(c >= vocab.own, counted - share[c], 0.0)
+            sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), counted, logs / np.log(10) + inside)]
+            ids, hashes = b.column(0), b.column(1)
+            own = pa.array([b" " + str(h).encode() + b" " + str(i).encode() for h, i in zip(hashes, ids)], pa.binary())
+            # Each distinct token of a text beyond the head goes out once; an end is one where the head is small.
+            text, word = np.repeat(np.arange(len(n)), n), np.ones(len(c), dtype=bool)
+            word[starts + n - 1] = False
+            rare = rare.dictionary_encode()
+            size = max(1, len(rare.dictionary))
+            pairs, times = np.unique(text[word & ~known] * size + rare.indices.to_numpy(), return_counts=True)
+            ends = np.flatnonzero(~known[starts + n - 1])
+            pick = pa.array(np.concatenate([np.arange(len(n)), pairs // size, ends]))
+            tokens = pa.concat_arrays([own, rare.dictionary.take(pa.array(pairs % size)), pa.array([END] * len(ends), pa.binary())])
+            times = pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(np.concatenate([times, np.ones(len(ends), dtype=np.int64)]))])
+            columns = [ids.take(pick), hashes.take(pick), b.column(3).take(pick), tokens, times]
+            columns += [pa.concat_arrays([pa.array(x), pa.nulls(len(pick) - len(n), t)]) for x, t in zip((n, *sums), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "h", "held", "token", "times", "n", "known", "base", "score"])
 
     keyed = base.select("_id", F.xxhash64(F.col("text").isNull(), "text").alias("h"), "text", "held")
