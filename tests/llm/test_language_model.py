@@ -159,3 +159,31 @@ def test_batches_have_the_words_of_their_texts():
     for some in (texts, texts[3:], [], [None]):
         found, n = lm.batch_words(pa.array(some, pa.string()))
         assert found.to_pylist() == [w for t in some for w in common.words(t)] and n.tolist() == [len(common.words(t)) for t in some]
+
+
+def test_tokens_have_few_classes_in_their_groups():
+    k = 50_000 + lm.SHAPES
+    counts = np.concatenate([1e6 / np.arange(1, 50_001), np.full(lm.SHAPES, 10.0)])
+    starts = lm.group_starts(counts)
+    sizes = np.diff(starts)
+    assert starts[0] == 0 and starts[-1] == k and 1 <= sizes.min() and sizes.max() <= lm.WIDEST
+    assert len(sizes) < np.sqrt(k) + lm.SHAPES
+    inside = np.repeat(np.where(sizes > 1, sizes, 0), sizes)
+    assert (counts * inside).sum() / counts.sum() < 0.5 * np.sqrt(k)
+
+
+def test_tasks_send_what_they_learnt_in_pieces(monkeypatch):
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 5})())
+    counts = np.full(3000, 50.0)
+    trainer = lm.Trainer(lm.LogBilinear.start(counts), counts, np.random.default_rng(0))
+    p1 = np.arange(2000)
+    trainer.step(p1, p1, p1 + 500)
+    frames = list(lm._sent(trainer, together=3))
+    assert max(len(f) for f in frames) == 3
+    every = [r for f in frames for r in f.itertuples()]
+    assert [r.stripe for r in every] == [-1, *range(len(every) - 1)] and {r.part for r in every} == {5}
+    at, weight = (np.concatenate([np.frombuffer(getattr(r, c), kind) for r in every[1:]]) for c, kind in (("at", np.int32), ("weight", np.int64)))
+    touched = np.flatnonzero(trainer.touched)
+    assert at.tolist() == touched.tolist() and weight.tolist() == trainer.touched[touched].tolist()
+    values = np.concatenate([np.frombuffer(r.values, np.float32) for r in every[1:]])
+    assert (values == trainer.m.rows()[touched].ravel()).all()

@@ -24,6 +24,9 @@ SHAPES = 24
 #: Up to so many classes are each a group of their own; more are put into groups of at most ``WIDEST``.
 FLAT, WIDEST = 512, 4096
 
+#: So many groups there are for a root of the number of classes.
+GROUPS = 0.8
+
 #: Contexts of two of the so many most frequent tokens have their groups' normaliser in a table.
 FREQUENT = 480
 
@@ -33,9 +36,6 @@ PRODUCTS, LARGE = 12_288, 40.0
 #: So many tokens are scored at a time, and tokens of so many bytes are counted at a time.
 SCORED, COUNTED = 262_144, 1 << 26
 
-#: Groups of up to so many of a minibatch's tokens are trained on together.
-USUAL = 64
-
 #: Parameters of so many classes are averaged in a task's group of rows.
 STRIPE = 256
 
@@ -108,6 +108,9 @@ def count_tokens(docs: DataFrame, text_col: str = "text", most_held: int = COUNT
             yield told(held)
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["token", "n"])
+        # The worker goes on to other tasks, which need this memory.
+        held = []
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(each, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
 
@@ -151,18 +154,21 @@ def vocabulary(counts: DataFrame, head: int = 200_000, own: int = 200_000) -> Vo
 def group_starts(class_counts: np.ndarray) -> np.ndarray:
     """Where each group of classes starts, and the number of classes.
 
-    Neighbours in rank share a group so that all groups have about as many
-    tokens: a mean over tokens of (groups + classes of the token's group) is then
-    near twice the root of the number of classes. Frequent words and the shape
-    classes are groups of one.
+    Neighbours in rank share a group. Words with more than a mean group's tokens
+    are groups of one, and so are the shape classes. Of the others a group takes
+    the next ones until the roots of their counts add up to its share: for a
+    given number of groups, a mean over tokens of the classes of the token's
+    group is least if groups are as large as one over the root of a word's count.
     """
     k = len(class_counts)
     if k <= FLAT:
         return np.arange(k + 1)
     body = class_counts[: k - SHAPES]
-    before = np.cumsum(body) - body
-    group = np.floor(before / body.sum() * np.ceil(np.sqrt(k)))
-    starts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(body))
+    share, most = body / body.sum(), int(np.ceil(np.sqrt(k) * GROUPS))
+    alone = int(np.argmin(np.append(share * np.sqrt(k) >= 1, False)))
+    roots = np.sqrt(share[alone:])
+    group = np.floor((np.cumsum(roots) - roots) / roots.sum() * max(1, most - alone))
+    starts = np.concatenate([np.arange(alone), alone + np.flatnonzero(np.diff(group, prepend=-1)), [len(body)]])
     split = [np.arange(x, y, WIDEST) for x, y in zip(starts[:-1], starts[1:])]
     return np.concatenate([*split, np.arange(len(body), k + 1)])
 
@@ -232,7 +238,7 @@ class LogBilinear:
     def log_p(self, p1: np.ndarray, p2: np.ndarray, c: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Natural log-probabilities of classes ``c``, normalised over all groups and then over the group's classes."""
         norm = tables[1]
-        groups = (np.searchsorted(self.starts, c, side="right") - 1).astype(np.uint16 if len(self.starts) <= 1 << 16 else np.int64)
+        groups = self.group_of().astype(np.uint16 if len(self.starts) <= 1 << 16 else np.int64).take(c)
         x = self.context(p1, p2)
         out = np.einsum("ij,ij->i", x, self.tops.take(groups, axis=0)).astype(np.float64) + self.top_bias[groups]
         held = (p1 < len(norm)) & (p2 < len(norm))
@@ -307,7 +313,19 @@ def _log_sum(x: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def _sigma(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-z))
+    """The logistic function, in place."""
+    np.exp(np.negative(z, out=z), out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def _order(index: np.ndarray) -> np.ndarray:
+    """``np.argsort`` of whole numbers below 2**31, equal ones in their order. Numbers with their places in the low bits are sorted faster than places."""
+    keys = index << 32
+    keys |= np.arange(len(index))
+    keys.sort()
+    keys &= 0xFFFFFFFF
+    return keys
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -346,9 +364,10 @@ class Trainer:
 
     def _change(self, index: np.ndarray, times: np.ndarray, *grads: tuple[int, np.ndarray, np.ndarray]) -> None:
         """Adagrad on the rows ``index`` (repeating) of class parameters: each with its number, values and gradients."""
-        order = np.argsort(index)
-        starts = _runs(index[order])
-        rows = index[order[starts]]
+        order = _order(index)
+        ordered = index[order]
+        starts = _runs(ordered)
+        rows = ordered[starts]
         for i, value, grad in grads:
             sums = _sums(grad, order, starts)
             squares = self.squares_rows[i].take(rows, axis=0)
@@ -357,11 +376,11 @@ class Trainer:
             sums *= self.rate_rows
             sums /= np.sqrt(squares, out=squares)
             value[rows] = value.take(rows, axis=0) - sums
-            self.touched[rows] += np.add.reduceat(times[order], starts)
+        self.touched[rows] += len(grads) * np.add.reduceat(times[order], starts)
 
     def step(self, p1: np.ndarray, p2: np.ndarray, c: np.ndarray) -> None:
         # In the order of classes, the tokens of a class and of a group lie together.
-        order = np.argsort(c)
+        order = _order(c)
         p1, p2, c = p1[order], p2[order], c[order]
         m, n, groups = self.m, len(c), self.group_of[c]
         r1, r2 = m.inputs.take(p1, axis=0), m.inputs.take(p2, axis=0)
@@ -399,25 +418,28 @@ class Trainer:
         x, c = x.take(at, axis=0), c[at]
         good, bad = m.outputs.take(c, axis=0), m.outputs.take(drawn, axis=0)
         g = (_sigma(np.einsum("ij,ij->i", x, good) + m.bias[c] - self.log_kw[c]) - 1).astype(np.float32)
-        more, d_bad, d_drawn = g[:, None] * good, np.empty_like(bad), np.empty_like(m.bias, shape=drawn.shape)
-        offset = m.bias[drawn] - self.log_kw[drawn]
-        # Groups have about as many tokens each: those of usual size are done together, filled up to the largest with rows that count as nothing.
-        usual = np.flatnonzero(sizes <= USUAL)
-        parts = [usual] if len(usual) else []
-        for some in [*parts, *np.flatnonzero(sizes > USUAL)[:, None]]:
-            place = first[some][:, None] + np.arange(sizes[some].max())
-            there = place < (first + sizes)[some][:, None]
-            held = x.take(np.minimum(place, len(x) - 1), axis=0)
-            h = _sigma(held @ bad[some].transpose(0, 2, 1) + offset[some][:, None]) * there[:, :, None]
-            more[place[there]] += (h @ bad[some])[there]
-            d_bad[some] = h.transpose(0, 2, 1) @ held
-            d_drawn[some] = h.sum(axis=1)
+        # A last column of ones takes the biases into the products; a last row counts as nothing.
+        n, d = x.shape
+        x1, bad1 = np.zeros((n + 1, d + 1), dtype=np.float32), np.empty((*drawn.shape, d + 1), dtype=np.float32)
+        x1[:-1, :-1], x1[:-1, -1] = x, 1
+        bad1[:, :, :-1], bad1[:, :, -1] = bad, m.bias[drawn] - self.log_kw[drawn]
+        more, d_bad1 = np.empty_like(x1[:, :-1]), np.empty_like(bad1)
+        # Groups whose sizes have as many binary digits are done together, filled up to the largest with that last row.
+        digits = np.frexp(sizes - 0.5)[1]
+        for some in [np.flatnonzero(digits == x) for x in np.unique(digits)]:
+            place = np.arange(sizes[some].max())
+            place = np.where(place < sizes[some][:, None], first[some][:, None] + place, n)
+            held = x1.take(place, axis=0)
+            h = _sigma(held @ bad1[some].transpose(0, 2, 1))
+            more[place] = h @ bad[some]
+            d_bad1[some] = h.transpose(0, 2, 1) @ held
+        more = more[:-1] + g[:, None] * good
         dx[at] = dx.take(at, axis=0) + more
         runs = _runs(c)
         index = np.concatenate([c[runs], drawn.ravel()])
         times = np.concatenate([np.diff(np.append(runs, len(c))), np.ones(drawn.size, dtype=np.int64)])
-        d_out = np.concatenate([_sums(g[:, None] * x, np.arange(len(c)), runs), d_bad.reshape(-1, x.shape[1])])
-        d_bias = np.concatenate([np.add.reduceat(g, runs), d_drawn.ravel()])
+        d_out = np.concatenate([_sums(g[:, None] * x, np.arange(n), runs), d_bad1[:, :, :-1].reshape(-1, d)])
+        d_bias = np.concatenate([np.add.reduceat(g, runs), d_bad1[:, :, -1].ravel()])
         self._change(index, times, (1, m.outputs, d_out), (2, m.bias, d_bias))
 
 
@@ -496,19 +518,21 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", batch: int
                     held, size = [], 0
         if held:
             run()
-        yield pa.RecordBatch.from_pandas(_sent(trainer), schema=sent, preserve_index=False)
+        for some in _sent(trainer):
+            yield pa.RecordBatch.from_pandas(some, schema=sent, preserve_index=False)
 
     def mean(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        sums: dict[int, list] = {}
+        base, size = (key[0] * STRIPE, STRIPE) if key[0] >= 0 else (0, 1)
+        n, sums = np.zeros(size, dtype=np.int64), None
         for p in parts.sort_values("part").itertuples():
-            at, weight = np.frombuffer(p.at, np.int32), np.frombuffer(p.weight, np.int64)
-            for i, n, v in zip(at.tolist(), weight.tolist(), np.frombuffer(p.values, np.float32).reshape(len(at), -1).astype(float)):
-                held = sums.setdefault(i, [0, 0.0])
-                held[0] += n
-                held[1] = held[1] + n * v
-        at = sorted(i for i in sums if sums[i][0])
-        values = np.stack([sums[i][1] / sums[i][0] for i in at]).astype(np.float32).tobytes() if at else b""
-        return pd.DataFrame({"stripe": [key[0]], "part": [0], "at": [np.array(at, np.int32).tobytes()], "weight": [b""], "values": [values]})
+            at, weight = np.frombuffer(p.at, np.int32) - base, np.frombuffer(p.weight, np.int64)
+            values = np.frombuffer(p.values, np.float32).reshape(len(at), -1).astype(float)
+            sums = np.zeros((size, values.shape[1])) if sums is None else sums
+            n[at] += weight
+            sums[at] += weight[:, None] * values
+        at = np.flatnonzero(n)
+        values = (sums[at] / n[at][:, None]).astype(np.float32).tobytes() if len(at) else b""
+        return pd.DataFrame({"stripe": [key[0]], "part": [0], "at": [(at + base).astype(np.int32).tobytes()], "weight": [b""], "values": [values]})
 
     kind = "stripe int, part int, at binary, weight binary, values binary"
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(each, kind).groupBy("stripe").applyInPandas(mean, kind).toPandas()
@@ -524,14 +548,18 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", batch: int
     return model.with_rows(rows, rest)
 
 
-def _sent(trainer: Trainer) -> pd.DataFrame:
-    """What a task learnt: the classes it changed, in stripes, and in stripe -1 the parameters that all share."""
-    at, part = np.flatnonzero(trainer.touched), TaskContext.get().partitionId()
-    rows = trainer.m.rows()
-    out = [(-1, part, np.zeros(1, np.int32).tobytes(), np.array([trainer.seen], np.int64).tobytes(), trainer.m.shared().astype(np.float32).tobytes())]
-    for some in np.split(at, np.flatnonzero(np.diff(at // STRIPE)) + 1) if len(at) else ():
-        out.append((int(some[0]) // STRIPE, part, some.astype(np.int32).tobytes(), trainer.touched[some].tobytes(), rows[some].tobytes()))
-    return pd.DataFrame(out, columns=["stripe", "part", "at", "weight", "values"])
+def _sent(trainer: Trainer, together: int = 64) -> Iterator[pd.DataFrame]:
+    """What a task learnt: in stripe -1 the parameters that all share, and the classes it changed, in stripes, so many at a time."""
+    m, at, part = trainer.m, np.flatnonzero(trainer.touched), TaskContext.get().partitionId()
+    columns = ["stripe", "part", "at", "weight", "values"]
+    yield pd.DataFrame([(-1, part, np.zeros(1, np.int32).tobytes(), np.array([trainer.seen], np.int64).tobytes(), m.shared().astype(np.float32).tobytes())], columns=columns)
+    stripes = np.split(at, np.flatnonzero(np.diff(at // STRIPE)) + 1) if len(at) else []
+    for i in range(0, len(stripes), together):
+        out = []
+        for some in stripes[i : i + together]:
+            rows = np.hstack([m.inputs[some], m.outputs[some], m.bias[some, None]])
+            out.append((int(some[0]) // STRIPE, part, some.astype(np.int32).tobytes(), trainer.touched[some].tobytes(), rows.tobytes()))
+        yield pd.DataFrame(out, columns=columns)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 200_000, own: int = 200_000, **params) -> DataFrame:
@@ -550,7 +578,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     a result each. Without training rows every count is 0. An empty table gives
     an empty result; other columns are not read, whatever their names.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 500)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     counts = stash(count_tokens(base.where("not held")))
     vocab = vocabulary(counts, head, own)
